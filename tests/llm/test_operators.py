@@ -1,0 +1,441 @@
+"""The ten operators against brute force, round trips and held-out accuracy, on the smallest tables and on edge cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import context_tree, decontaminate, entries, licenses, main_text, ngram_join, packing, preference, secrets, toxicity, vptree
+
+SF = "/root/testdata/sf0.001"
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ODD = [None, "", "   \n ", "a", "É", "x " * 20_000, "\x00\x01 b", "水 🫧 abc"]
+
+
+def words(text):
+    return WORDS.findall((text or "").translate(ASCII_LOWER))
+
+
+def docs_of(spark, texts, **more):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# 1 -----------------------------------------------------------------------------------------------------------------
+
+
+def base_spans(text):
+    out = []
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for k, pattern in enumerate((r"(?ai)" + assign, r"AKIA[A-Z0-9]+", r"[0-9a-f]+")):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]:
+                out.append((m.start(), k, m.end(), ("assign", "access", "hex")[k]))
+    return sorted(out)
+
+
+def test_secret_base(spark, documents):
+    extra = [
+        "secret=token = abcdefgh",
+        "tokensecret: x9\nPASSWORD = 'Abcdef1'",
+        "AKIAAKIA" + "A" * 12 + " é🫧 AKIA" + "B" * 16 + "x",
+        "ab" * 400 + " api_key:abcdef apikey='123456",
+        None,
+        "",
+    ]
+    texts = [r.text for r in documents.select("text").collect()] + extra
+    got = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        mine = [(s.start, s["rank"], s.end, s.kind) for s in got[i].spans if s.kind in secrets.STRONG]
+        assert mine == base_spans(t), t
+
+
+def test_secret_links(spark):
+    opaque = "zQ3kT8vW5xY1aB7cD9eF2g"
+    texts = [
+        f"the value {opaque} alone",
+        f"user = deploy with {opaque} here",
+        f"user = deploy\n\n{opaque} in another scope",
+        f"user = deploy {'far ' * 100} {opaque}",
+        f"at db.example.com login: root key {opaque}",
+        f"connect db.example.com and {opaque}",
+        "login: root at db.example.com",
+    ]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert got == {0: [], 1: ["account", "opaque"], 2: [], 3: [], 4: ["endpoint", "account", "opaque"], 5: ["opaque"], 6: []}
+
+
+def test_secret_redaction(spark):
+    texts = ["a password=abcdef1 b", "token = \"" + "ab12" * 8 + "\" é", "clean", None, ""]
+    got = {r.doc_id: r for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert got[0].text == "a [REDACTED] b" and got[0].n_chars == len(got[0].text)
+    assert got[1].text == "[REDACTED]\" é"
+    assert got[2].text == "clean" and got[3].text is None and got[4].text == "" and got[2].lang == "en"
+
+
+def test_secret_plan_is_native(spark, documents):
+    plan = secrets.scan(documents)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# 2 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_preference(spark):
+    side = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
+    chosen = side([(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "x"), (3, 0, None, None), (None, 0, "user", "n")])
+    rejected = side([(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", "why"), (2, 0, "user", "x"), (4, 0, "assistant", "é")])
+    got = {r.pair_id: r for r in preference.preferences(chosen, rejected).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    r = got[1]
+    assert r.n_common == 1 and r.prompt == "<|user|>\nq<|end|>\n"
+    a, b = map(int, r.chosen_mask.split(":"))
+    assert r.chosen == "<|assistant|>\ngood<|end|>\n" and r.chosen[a:b] == "good<|end|>"
+    assert r.rejected == "<|assistant|>\nbad<|end|>\n<|user|>\nwhy<|end|>\n" and r.rejected_mask.count(":") == 1
+    assert got[2].n_common == 0 and got[2].chosen == got[2].rejected
+    assert got[3].prompt == "" and got[3].rejected == "" and got[3].chosen == "<|unknown|>\n<|end|>\n"
+    assert got[4].chosen == "" and got[4].rejected_mask == "14:22"
+
+
+def test_preference_whole_table(spark):
+    got = entries.op2_chat_formatting(spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns[r.conv_id].append(f"<|{r.role}|>\n{r.text}<|end|>\n")
+    rows = got.collect()
+    assert {r.pair_id for r in rows} == set(turns)
+    assert all(r.prompt + r.chosen == "".join(turns[r.pair_id]) for r in rows)
+
+
+# 3 -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_nearest(vectors, ids, k):
+    out = {}
+    for i in range(len(ids)):
+        if ids[i] % 20 == 0:
+            s = [(-(vectors[j] * vectors[i]).sum(), ids[j]) for j in range(len(ids)) if j != i]
+            out[ids[i]] = [(v, -d) for d, v in sorted(s)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("shard", [64, 8192])
+def test_nearest_exact_with_factor_one(spark, monkeypatch, shard):
+    monkeypatch.setattr(vptree, "SHARD", shard)
+    monkeypatch.setattr(vptree, "QUERIES", 8)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 6)) * rng.uniform(0.1, 3, size=(400, 1))
+    x[50:200] = x[50]  # many copies, also of queries
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    rows += [(1000, None, 0), (1020, [0.0] * 6, 0), (1040, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (1060, [float("nan")] * 6, 0), (1080, [float("inf")] + [0.0] * 5, 0), (None, [1.0] * 6, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = defaultdict(list)
+    for r in vptree.nearest(df, lambda i: i % 20 == 0, k=20, factor=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = brute_nearest(x, list(range(400)), 20)
+    assert {q: [v for v, _ in g] for q, g in got.items()} == {q: [v for v, _ in g] for q, g in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_nearest_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.collect()
+    x, ids = np.array([r.embedding for r in rows], float), [r.vec_id for r in rows]
+    want = brute_nearest(x, ids, 20)
+    got = defaultdict(set)
+    for r in entries.op3_nearest_neighbours(spark, "/root/testdata/sf0.01").collect():
+        got[r.query_id].add(r.vec_id)
+    recall = np.mean([len(got[q] & {v for v, _ in w}) / len(w) for q, w in want.items()])
+    assert recall >= 0.9
+
+
+# 4 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in entries.op4_toxicity(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+    right = [got[d].predicted == t for d, t in marks.items() if got[d].held_out]
+    assert np.mean(right) > 0.95
+
+
+def test_toxicity_grammar_scores_clauses():
+    s = toxicity.Grammar().scorer()
+    score = lambda t: s.score(s.features(t))
+    assert score("you are an idiot") > score("he said: what an idiot. fine") > score("a quiet day")
+    assert score("you are not an idiot") < score("you are an idiot")
+    assert score("i will kill you") > score("kill the process")
+    assert score("") == score("   ") == score("nothing here")
+
+
+def test_toxicity_edges(spark):
+    docs = docs_of(spark, ODD)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    g = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, g).collect()
+    assert len(got) == len(ODD) and all(0 <= r.toxicity <= 1 for r in got)
+
+
+# 5 -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_ctw(train, texts, depth):
+    """Log10 probabilities by the definition: a recursion over (context, bit prefix)."""
+    low = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+    n = defaultdict(lambda: [0, 0])
+    kids = defaultdict(set)
+
+    def steps(t):
+        s = bytes([255]) * depth + low(t) + bytes([255])
+        for i in range(depth, len(s)):
+            p = 1
+            for j in range(7, -1, -1):
+                bit = s[i] >> j & 1
+                yield [s[i - d : i] for d in range(depth + 1)], p, bit
+                p = p << 1 | bit
+
+    for t in train:
+        for ctx, p, bit in steps(t):
+            for d, c in enumerate(ctx):
+                n[c, p][bit] += 1
+                if d:
+                    kids[ctx[d - 1], p].add(c)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    memo = {}
+
+    def weighted(c, p):
+        if (c, p) not in memo:
+            own = kt(*n[c, p])
+            if len(c) == depth:
+                memo[c, p] = own, 1.0
+            else:
+                below = sum(weighted(k, p)[0] for k in kids[c, p])
+                w = np.logaddexp(own, below) - math.log(2)
+                memo[c, p] = w, math.exp(own - math.log(2) - w)
+        return memo[c, p]
+
+    out = []
+    for t in texts:
+        total = 0.0
+        for ctx, p, bit in steps(t):
+            prob = None
+            for c in reversed(ctx):
+                a, b = n.get((c, p), (0, 0))
+                own = weighted(c, p)[1] if (c, p) in n else 0.5
+                here = (b + 0.5) / (a + b + 1)
+                prob = here if prob is None else own * here + (1 - own) * prob
+            total += math.log10(prob if bit else 1 - prob)
+        out.append(total)
+    return out
+
+
+def test_context_tree(spark, documents):
+    texts = [r.text[:200] for r in documents.orderBy("doc_id").limit(24).collect()] + [t for t in ODD if len(t or "") < 100]
+    docs = docs_of(spark, texts)
+    is_train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
+    for limits in ({}, {"top_words": 5, "top_grams": 5}):
+        got = sorted(context_tree.score(docs, depth=3, **limits).collect(), key=lambda r: r.doc_id)
+        want = brute_ctw([t for t, y in zip(texts, is_train, strict=True) if y], texts, 3)
+        assert np.allclose([r.score for r in got], want, rtol=1e-9)
+        split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(ASCII_LOWER)) + [None]
+        c = Counter(w for t, y in zip(texts, is_train, strict=True) if y for w in split(t))
+        total, v = sum(c.values()), len(c)
+        for r, t, y in zip(got, texts, is_train, strict=True):
+            w = split(t)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not y, len(w), sum(c[x] > 0 for x in w), total)
+            assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w))
+
+
+def test_context_tree_beats_base(spark):
+    got = entries.op5_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+# 6 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark):
+    texts = [
+        licenses.MIT.upper().replace("\n", "  "),
+        "MIT Licence\n\nCopyright (c) 2020 Somebody\n\n" + licenses.MIT,
+        "prose\nLicenced under the apache LICENSE - version 2.0\nmore",
+        "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0",
+        "near: Licensed under CC BY-NC 4.0 only",
+        None,
+        "",
+        "...",
+    ]
+    got = {r.doc_id: (r.whole_license, r.n_notices, r.licenses) for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got[0] == ("MIT", 1, "MIT") and got[1][0] == "MIT"
+    assert got[2] == (None, 1, "Apache-2.0") and got[3] == (None, 2, "CC-BY-NC-4.0")
+    assert got[4] == got[5] == got[6] == got[7] == (None, 0, "")
+
+
+# 7 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_packing_round_trip(spark, documents):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(entries.tokenizer_path())
+    texts = [r.text for r in documents.select("text").collect()] + ODD
+    texts += ["it's we'll I'D ½ x² ǅ İstanbul ΑΣ ﬁ <|endoftext|> a\x85b\xa0c\x1cd", "ſ K Å é é", "'" * 50 + "ŉ ĳ Ĳ"]
+    rows = packing.pack(docs_of(spark, texts), entries.tokenizer_path(), per_task=40).collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        mine = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in mine] == [(k, a, min(2048, len(ids) - a)) for k, a in enumerate(range(0, len(ids), 2048))]
+        for r in mine:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    for s in by_seq.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    least = math.ceil(sum(r.length for r in rows) / 2048)
+    assert len(by_seq) <= least * 1.1 + 1
+
+
+def test_best_fit():
+    bins = packing.best_fit(np.array([5, 5, 6, 4, 10, 1]), 10)
+    assert sorted(map(sorted, bins)) == [[0, 1], [2, 3], [4], [5]]
+
+
+def test_packing_empty(spark):
+    assert packing.pack(docs_of(spark, []), entries.tokenizer_path()).count() == 0
+
+
+# 8 -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_hits(texts, items):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    for t in texts:
+        w = words(t)
+        hit, found = set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    hit.update(range(k, k + size))
+                    found |= windows[tuple(w[k : k + size])]
+        yield len(w), len(hit), sorted(map(str, found))
+
+
+def test_decontamination(spark, documents):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items += [(900, "Tiny item"), (901, None), (902, "  "), (10, "one two three four five six seven eight nine ten"), (7, "a b a b a b a b a b a b")]
+    texts = [r.text for r in documents.select("text").collect()] + ODD
+    texts += ["TINY, item! tiny item", "x one two three four five six seven eight nine ten y", "a b " * 9, "é one two three"]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(brute_hits(texts, items)):
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == want
+    none = decontaminate.decontaminate(docs_of(spark, texts[:3]), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert [r.n_hit for r in none] == [0, 0, 0]
+
+
+# 9 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_main_text_of_labelled_pages(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    import html as entities
+
+    for r in entries.op9_main_text(spark, SF).collect():
+        article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        blocks = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?b>", "", b))).strip() for b in re.split(r"</?(?:h1|p)>", article.replace("<br>", " "))]
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_main_text_without_landmarks():
+    weights = main_text.fit([])
+    body = "<p>" + "word " * 60 + "</p><div class='ad'>buy now</div><p>" + "more text here " * 20 + "</p>"
+    page = f"<html><head><title>t</title></head><body><ul><li><a href=x>Home</a></li><li><a>News</a></li></ul><header>Site</header>{body}<div id=comments><p>{'nice ' * 50}</p></div><footer>c</footer></body></html>"
+    assert main_text.text_of(page, weights) == ("word " * 60).strip() + "\n" + ("more text here " * 20).strip()
+    assert main_text.text_of("", weights) == main_text.text_of("<p></p>", weights) == ""
+    assert main_text.text_of("plain &amp; simple", weights) == "plain & simple"
+    assert main_text.text_of("<p>cut <script>var x='<p>'", weights) == "cut"
+
+
+# 10 ----------------------------------------------------------------------------------------------------------------
+
+
+def brute_links(texts):
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0)) for w in map(words, texts)]
+    at = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            at[x].append(i)
+    shared = Counter((a, b) for v in at.values() for k, b in enumerate(v) for a in v[:k])
+    links, up = [0] * len(sets), list(range(len(sets)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (a, b), n in shared.items():
+        if n * 10 >= 8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    return [(find(i), n) for i, n in enumerate(links)]
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_ngram_join(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    texts = [r.text for r in documents.orderBy("doc_id").collect()] + ODD
+    base = words(texts[0])[:150]
+    for k in range(30):  # a group of near copies, each its own text
+        texts.append(" ".join([*base[: 4 * k], f"new{k}", *base[4 * k + 1 :]]))
+    texts += [texts[-1], texts[-1].upper()]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_links(texts)))
+
+
+def test_bayesian_pruning():
+    least = ngram_join.least_matches(0.8, 1e-6)
+    assert list(least) == [32, 64, 96, 128, 160] and all(0 < least[n] < 0.8 * n for n in least)
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 256, (200, ngram_join.HASHES)).astype(np.uint8)
+    near = np.where(rng.random(sig.shape) < 0.8, sig, sig ^ 1)
+    assert ngram_join.survivors(sig, near, least).all()
+    assert not ngram_join.survivors(sig, sig[::-1], least).any()
+
+
+def test_ngram_join_empty(spark):
+    assert ngram_join.similar(docs_of(spark, [])).count() == 0
+    assert sorted(tuple(r) for r in ngram_join.similar(docs_of(spark, [None, "", "a"])).select("doc_id", "class_id", "n_links").collect()) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
+
+
+def test_digest_of_nothing(spark):
+    got = entries.op8_decontamination(spark, SF).where("n_items = 0").first()
+    assert got.items_sha256 == hashlib.sha256(b"").hexdigest()
