@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.durable import durable
@@ -83,7 +83,7 @@ def _counts(docs: DataFrame, vocabulary: Bitmap) -> DataFrame:
     return parts.groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _places(docs: DataFrame, prefix: Bitmap, width: int) -> DataFrame:
+def _places(docs: DataFrame, prefix: Bitmap, width: int, row: Column) -> DataFrame:
     """A row per document (pos -1) and one per word that may be a prefix token, with the ``width - 1`` words on both sides."""
     held = docs.sparkSession.sparkContext.broadcast(prefix)
     schema = "row long, doc_id long, n_words long, hash long, pos int, at int, around string"
@@ -121,14 +121,14 @@ def _places(docs: DataFrame, prefix: Bitmap, width: int) -> DataFrame:
                 )
 
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
     ).mapInArrow(find, schema)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, n_words, n_hit, n_items, items (sorted as strings), hits (start, end in words)."""
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, row: Column | None = None) -> DataFrame:
+    """Per row of ``docs``: row (a long of the caller's, or a running number; rows of one number are one), doc_id, n_words, n_hit, n_items, items (sorted as strings), hits (start, end in words)."""
     windows = durable(_windows(items, width))
     tokens = windows.select("item_id", "words", F.posexplode("hashes").alias("place", "hash"))
     counts = _counts(docs, _slots(windows.select(F.explode("hashes").alias("h")), "h"))
@@ -139,7 +139,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
         .agg(F.min(by_rarity).alias("r"), F.collect_set("item_id").alias("items"))
         .select(F.col("r.hash").alias("hash"), F.col("r.place").alias("place"), "words", "items")
     )
-    places = _places(docs, _slots(rarest, "hash"), width)
+    places = _places(docs, _slots(rarest, "hash"), width, F.monotonically_increasing_id() if row is None else row)
     found = places.join(rarest, "hash", "left").withColumn(
         "hit",
         (F.col("pos") >= F.col("place"))

@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
@@ -56,8 +56,8 @@ def fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def sketch(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, fp (of the set of shingles; null if it is empty), sig (8 bits of each MinHash), bands."""
+def sketch(docs: DataFrame, size: int = SIZE, row: Column | None = None) -> DataFrame:
+    """Per row of ``docs``: row (a long of the caller's, or a running number), doc_id, fp (of the set of shingles; null if it is empty), sig (8 bits of each MinHash), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(BANDS, dtype=U64)
@@ -82,9 +82,8 @@ def sketch(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 ["row", "doc_id", "fp", "sig", "bands", "n_shingles"],
             )
 
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-    ).mapInArrow(run, "row long, doc_id long, fp binary, sig binary, bands array<long>, n_shingles long")
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, fp binary, sig binary, bands array<long>, n_shingles long")
 
 
 @lru_cache
@@ -280,9 +279,9 @@ def _verified(members: DataFrame, threshold: float, tolerance: float) -> DataFra
     return members.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "fp").mapInArrow(run, "fp binary, root binary, links long")
 
 
-def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, class_id (smallest doc_id of its class), n_links (rows of at least this similarity), n_copies."""
-    drawn = durable(sketch(docs, size))
+def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, row: Column | None = None) -> DataFrame:
+    """Per row of ``docs``: row (as in sketch), doc_id, class_id (smallest doc_id of its class), n_links (rows of at least this similarity), n_copies."""
+    drawn = durable(sketch(docs, size, row))
     sets = durable(
         drawn.where("fp IS NOT NULL")
         .groupBy("fp")
