@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, ngram_join, packing, secrets, toxicity
@@ -23,21 +23,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, grammar).where("toxicity < 0.5").drop("toxicity")
 
 
+def _row(docs: DataFrame) -> Column:
+    """A number that follows from a row's content alone: it stays the same however often, and on whatever executors, files are read."""
+    return F.xxhash64(*docs.columns)
+
+
 def _kept(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is in ``rows``. Numbers follow the files, which are read alike both times."""
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(rows.select("row"), "row", "left_semi").drop("row")
+    """The rows of ``docs`` that ``rows`` (row, doc_id) names."""
+    named = rows.select(F.col("row").alias("r"), F.col("doc_id").alias("d"))
+    marked = docs.withColumn("row", _row(docs))
+    return marked.join(named, (marked.row == named.r) & marked.doc_id.eqNullSafe(named.d), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id, and of its repeated rows the first."""
-    classes = ngram_join.similar(docs)
-    return _kept(docs, classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("row"))).agg(F.min_by("row", F.struct("doc_id", "row")).alias("row")))
+    """Of each class of near copies the document with the smallest id, and of equal rows one."""
+    classes = ngram_join.similar(docs, row=_row(docs))
+    first = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("row"))).agg(F.min(F.struct("doc_id", "row")).alias("m"))
+    return _kept(docs, first.select("m.*")).dropDuplicates(["row", "doc_id"]).drop("row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.where("n_hit = 0"))
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), row=_row(docs))
+    return _kept(docs, found.where("n_hit = 0")).drop("row")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
