@@ -81,6 +81,7 @@ def neighbour_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     The synthetic conversations hold no rejected answers; a neighbour's stands in for one. A conversation without a
     neighbour has its last turn left out instead.
     """
+    turns = turns.select("conv_id", "turn", "role", "text")
     last = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("other"), F.max("turn").alias("last"))
     beside = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), "other")
     ends = last.select("conv_id", "last").join(beside, "conv_id", "left")
