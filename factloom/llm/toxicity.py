@@ -24,8 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of what is learned: terms that reach the driver, and labelled rows that the class weights are fitted to.
-TERMS, SAMPLE = 20_000, 20_000
+from factloom.llm.durable import durable
+
+#: Bounds of what is learned: terms that reach the driver, and labelled rows that are learned from, picked by hash of the id.
+TERMS, SAMPLE = 20_000, 50_000
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 PART = re.compile(r"[^\W\d_]+|[.!?;\n]+|[\"“”„«»]")
@@ -216,11 +218,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, terms: int = TERMS, sample: int = SAMPLE) -> Grammar:
-    """The grammar from labelled rows outside the held-out fold; ``terms`` and ``sample`` bound what the driver holds."""
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.where(~held_out(F.col("doc_id"), folds)).select("doc_id", "text").join(marks, "doc_id")
+    """The grammar from at most ``sample`` labelled rows outside the held-out fold; ``terms`` and ``sample`` bound what is gathered."""
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), folds))
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    n = marks.count()
+    if n > sample:  # by a threshold on the id's hash; a margin of 2 % keeps it below the bound, which holds in any case
+        marks = marks.where(F.xxhash64("doc_id") < int(2**64 * 0.98 * sample / n) - 2**63).limit(sample)
+    marks = durable(marks)  # at most ``sample`` pairs of an id and a mark: texts stay where they are
+    train = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     grammar = Grammar()
-    count = {r["toxic"]: r["n"] for r in marks.where(~held_out(F.col("doc_id"), folds)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    count = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = count.get(1, 0), count.get(0, 0)
     if not toxic or not clean:
         return grammar
@@ -240,14 +247,13 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, terms: int = TERMS
             x = [s.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], ["x", "y"])
 
-    some = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).limit(sample)
-    rows = some.mapInArrow(features, "x array<double>, y int").toArrow()
+    rows = train.select("text", "toxic").mapInArrow(features, "x array<double>, y int").toArrow()
     grammar.weights = logistic(np.array(rows.column("x").to_pylist()), np.array(rows.column("y").to_pylist())).tolist()
     return grammar
 
 
-def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``docs`` (any columns) with toxicity, a double of 0 to 1."""
+def score(docs: DataFrame, grammar: Grammar, column: str = "toxicity") -> DataFrame:
+    """``docs`` (any columns) with ``column``, a double of 0 to 1."""
     held = docs.sparkSession.sparkContext.broadcast(grammar)
     names = docs.columns
 
@@ -255,7 +261,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
         s = held.value.scorer()
         for batch in batches:
             got = [s.score(s.features(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*names, column])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     return docs.mapInArrow(run, schema)
