@@ -70,3 +70,14 @@ def gather(pieces: DataFrame, budget: int) -> DataFrame:
         ).otherwise(a),
     )
     return rows.select("owner", fold.used.alias("used"), fold.n.alias("admitted"), (fold.n < F.size("all")).alias("truncated"), fold.seqs.alias("seqs"))
+
+
+def prompt(pieces: DataFrame, budget: int) -> DataFrame:
+    """Per owner, the text of the admitted pieces (owner, seq, text) in order under their headings, and its bytes by the piece."""
+    sized = pieces.withColumn("size", F.octet_length("text").cast("long"))
+    kept = gather(sized, budget).select("owner", F.split("seqs", ",").alias("kept"), "truncated")
+    rows = sized.join(kept, "owner").where(F.array_contains("kept", F.col("seq").cast("string")))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text", "size")))
+    return rows.groupBy("owner").agg(
+        F.array_join(F.transform(ordered, lambda p: F.concat(F.lit("## piece "), p.seq.cast("string"), F.lit("\n"), p.text)), "\n").alias("prompt"), F.sum("size").alias("bytes"), F.first("truncated").alias("truncated")
+    )

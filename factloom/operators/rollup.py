@@ -57,3 +57,10 @@ def capped_union(values: Column, limit: int) -> tuple[Column, Column]:
 def initialised(state: Column) -> Column:
     """Join of the initialisation lattice: equal states stay, different ones are maybe."""
     return F.when(F.min(state) == F.max(state), F.min(state)).otherwise("maybe")
+
+
+def ruler(values: DataFrame, column: str, stops: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)) -> DataFrame:
+    """(stop, height) of a scale ruler: the stops up to the maximum, and the maximum itself, each once."""
+    top = values.agg(F.max(column).alias("m"))
+    all_stops = F.array_distinct(F.concat(F.filter(F.array(*[F.lit(s).cast("long") for s in stops]), lambda s: s <= F.col("m")), F.array(F.col("m").cast("long"))))
+    return top.select(F.explode(all_stops).alias("stop")).select("stop", F.round(1000 * height(F.col("stop"))).cast("long").alias("height"))
