@@ -70,7 +70,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(table(spark, sf_dir, "documents")).drop("row")
+    return ngram_join.similar(table(spark, sf_dir, "documents")).drop("row", "root")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,7 +280,8 @@ def _verified(members: DataFrame, threshold: float, tolerance: float) -> DataFra
 
 
 def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, row: Column | None = None) -> DataFrame:
-    """Per row of ``docs``: row (as in sketch), doc_id, class_id (smallest doc_id of its class), n_links (rows of at least this similarity), n_copies."""
+    """Per row of ``docs``: row (as in sketch), doc_id, root (tells classes apart even if doc_ids repeat; null without words), class_id
+    (smallest doc_id of its class), n_links (rows of at least this similarity), n_copies."""
     drawn = durable(sketch(docs, size, row))
     sets = durable(
         drawn.where("fp IS NOT NULL")
@@ -309,10 +310,10 @@ def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tol
         .select("fp", "copies", "least", F.coalesce("comp", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     lowest = each.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = each.join(lowest, "root").select("fp", "copies", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    classes = each.join(lowest, "root").select("fp", "root", "copies", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     return (
         drawn.select("row", "doc_id", "fp", "n_shingles")
         .withColumn("fp", F.coalesce("fp", F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")))
         .join(classes, "fp", "left")
-        .select("row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+        .select("row", "doc_id", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
     )
