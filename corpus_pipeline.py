@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from factloom.llm import decontaminate, ngram_join, packing, secrets, toxicity
 from factloom.llm.durable import durable
 from factloom.llm.entries import tokenizer_path
-from factloom.llm.tables import table
+from factloom.llm.tables import table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; learned from the labelled rows of ``docs``."""
     grammar = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, grammar).where("toxicity < 0.5").drop("toxicity")
+    column = unused(docs, "toxicity")
+    return toxicity.score(docs, grammar, column).where(F.col(column) < 0.5).drop(column)
 
 
 def _row(docs: DataFrame) -> Column:
@@ -28,24 +29,26 @@ def _row(docs: DataFrame) -> Column:
     return F.xxhash64(*docs.columns)
 
 
-def _kept(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``rows`` (row, doc_id) names."""
+def _kept(docs: DataFrame, rows: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``rows`` (row, doc_id) names; ``once``: of equal rows one."""
     named = rows.select(F.col("row").alias("r"), F.col("doc_id").alias("d"))
-    marked = docs.withColumn("row", _row(docs))
-    return marked.join(named, (marked.row == named.r) & marked.doc_id.eqNullSafe(named.d), "left_semi")
+    number = unused(docs, "row")
+    marked = docs.withColumn(number, _row(docs))
+    kept = marked.join(named, (marked[number] == named.r) & marked.doc_id.eqNullSafe(named.d), "left_semi")
+    return (kept.dropDuplicates([number, "doc_id"]) if once else kept).drop(number)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id, and of equal rows one."""
     classes = ngram_join.similar(docs, row=_row(docs))
-    first = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("row"))).agg(F.min(F.struct("doc_id", "row")).alias("m"))
-    return _kept(docs, first.select("m.*")).dropDuplicates(["row", "doc_id"]).drop("row")
+    first = classes.groupBy("root", F.when(F.col("root").isNull(), F.col("row"))).agg(F.min(F.struct("doc_id", "row")).alias("m"))
+    return _kept(docs, first.select("m.*"), once=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), row=_row(docs))
-    return _kept(docs, found.where("n_hit = 0")).drop("row")
+    return _kept(docs, found.where("n_hit = 0"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
