@@ -19,10 +19,11 @@ REACH = 200
 #: kind: (class, strong, pattern, shortest match, group whose length counts). Strong kinds first, in order.
 KINDS = {
     "assign": ("secret", True, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
-    "access": ("identity", True, r"AKIA[A-Z0-9]+", 20, 0),
-    "hex": ("secret", True, r"[0-9a-f]+", 24, 0),
+    # runs of a class of characters: asking for the least length within the pattern finds the same runs as dropping short ones
+    "access": ("identity", True, r"AKIA[A-Z0-9]{16,}", 20, 0),
+    "hex": ("secret", True, r"[0-9a-f]{24,}", 24, 0),
     "account": ("identity", False, r"""(?i)(?<![a-z])(user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 3, 2),
-    "opaque": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]+", 20, 0),
+    "opaque": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{20,}", 20, 0),
     "endpoint": (
         "endpoint",
         False,
@@ -56,11 +57,12 @@ def _found(kind: str, pattern: str, least: int, group: int) -> Column:
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, start, end) of every part and scope border; a row with a null kind for each document as well."""
+    """(row, kind, start, end) of every part and scope border, and a head for each document: a null kind, doc_id and text."""
     kinds = [(k, p, n, g) for k, (_, _, p, n, g) in KINDS.items()] + [("border", SCOPE, 0, 0)]
     head = F.array(F.lit(None).cast("struct<kind:string,i:int,lead:bigint,size:bigint,ok:boolean>"))
     rows = docs.select("row", "doc_id", "text", F.explode(F.concat(head, *[_found(*k) for k in kinds])).alias("m"))
-    rows = rows.select("row", "doc_id", F.when(F.col("m").isNull(), F.col("text")).alias("text"), "m.*").repartition("row")
+    is_head = F.col("m").isNull()  # it alone carries what is the document's
+    rows = rows.select("row", F.when(is_head, F.col("doc_id")).alias("doc_id"), F.when(is_head, F.col("text")).alias("text"), "m.*").repartition("row")
     run = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("lead") + F.col("size")).over(run)).withColumn("start", F.col("end") - F.col("size"))
     return rows.where("kind IS NULL OR ok").drop("i", "lead", "size", "ok")
@@ -137,9 +139,8 @@ def _scanned_rows(docs: DataFrame, reach: int) -> DataFrame:
     """As _scanned, for documents whose doc_id column holds the whole row, which only the head carries on."""
     order = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)])
     span = F.when(F.col("kind").isNotNull(), F.struct("start", order.alias("rank"), "end", "kind"))
-    found = parts(docs).withColumn("doc_id", F.when(F.col("kind").isNull(), F.col("doc_id")))
     return (
-        linked(found, reach)
+        linked(parts(docs), reach)
         .groupBy("row")
         .agg(F.first("doc_id", ignorenulls=True).alias("whole"), F.max("text").alias("text"), F.array_sort(F.collect_list(span)).alias("spans"))
     )
