@@ -260,6 +260,15 @@ def _rest(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row[new], keys[new], np.diff(np.append(new, len(row)))
 
 
+def frequent(table: DataFrame, most: int) -> DataFrame:
+    """(key, value) of the most frequent keys: those above the least count that no more than ``most`` keys reach. The bound comes from how many
+    keys have each count, so that no task sorts keys."""
+    sizes = table.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).limit(most).toPandas()
+    fit = sizes["n"].to_numpy()[np.cumsum(sizes["keys"].to_numpy()) <= most]
+    least = int(fit[-1]) if len(fit) else None
+    return table.where(F.col("n") >= least if least is not None else F.lit(False)).select("key", "value", "n")
+
+
 def score(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     counted = durable(counts(docs, depth))
@@ -268,7 +277,7 @@ def score(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WORDS, top_g
     below = float(np.log10(total + 0.1 * (distinct + 1)))
     words = words.withColumn("value", F.log10(F.col("n") + 0.1) - below)
     codes = durable(probabilities(counted.where(F.col("kind") == GRAM), depth))
-    top = [t.orderBy(F.desc("n"), "key").select("key", "value").limit(k).toArrow() for t, k in ((words, top_words), (codes, top_grams))]
+    top = [frequent(t, k).toArrow().sort_by([("n", "descending"), ("key", "ascending")]) for t, k in ((words, top_words), (codes, top_grams))]
     held = docs.sparkSession.sparkContext.broadcast([(t.column("key").to_numpy(), t.column("value").to_numpy()) for t in top])
     model = uuid.uuid4().hex
 
@@ -276,19 +285,19 @@ def score(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WORDS, top_g
         if model not in _lookups:  # once per Python worker
             _lookups.clear()
             _lookups[model] = tuple(Lookup(k, v) for k, v in held.value)
-        frequent = _lookups[model]
+        lookup = _lookups[model]
         for batch in batches:
             ids = batch.column("doc_id")
             for first, data, offsets in chunks(batch.column("text")):
                 n = len(offsets) - 1
                 code, begin = grams(data, offsets, depth)
-                found, value = frequent[GRAM].get(code)
+                found, value = lookup[GRAM].get(code)
                 score = np.add.reduceat(value, begin)
                 gram_row, gram_key, gram_n = _rest(np.searchsorted(begin, np.flatnonzero(~found), "right") - 1, code[~found])
                 w = Words(data, offsets, _LETTERS)
                 key = np.insert(signed(w.hashes), w.bounds[1:], END_KEY)
                 row = np.repeat(np.arange(n), np.diff(w.bounds) + 1)
-                found, value = frequent[WORD].get(key)
+                found, value = lookup[WORD].get(key)
                 at = w.bounds[:-1] + np.arange(n)
                 base, known = np.add.reduceat(value, at), np.add.reduceat(found.astype(np.int64), at)
                 word_row, word_key, word_n = _rest(row[~found], key[~found])

@@ -166,7 +166,12 @@ def text_of(page: str, weights: dict[str, float]) -> str:
 def learn(pages: DataFrame, labelled: int = LABELLED) -> dict[str, float]:
     """Weights fitted to at most ``labelled`` pages whose markup names their content."""
     named = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("html", F.xxhash64("url", "html").alias("h"))
-    return fit([r["html"] for r in named.orderBy("h").limit(labelled).collect()])
+    # hashes first, then the pages they name: no task sends more than what is used
+    least = named.select("h").distinct().orderBy("h").limit(labelled).agg(F.max("h")).first()[0]
+    if least is None:
+        return fit([])
+    some = named.where(F.col("h") <= least).dropDuplicates(["h"]).limit(labelled)
+    return fit([r["html"] for r in sorted(some.collect(), key=lambda r: r["h"])])
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
