@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from factloom.llm import entries, toxicity
-from tests.llm.test_operators import brute_hits, brute_links, docs_of
+from tests.llm.test_llm_operators import brute_hits, brute_links, docs_of
 
 SF = "/root/testdata/sf0.001"
 
