@@ -28,7 +28,7 @@ from factloom.llm.durable import durable
 from factloom.llm.kernels import U64, Words, chunks, signed
 from factloom.llm.toxicity import held_out
 
-DEPTH = 6
+DEPTH = 5
 FOLDS = 10
 TOP_WORDS, TOP_GRAMS = 1 << 18, 1 << 19
 SLOTS = 20
