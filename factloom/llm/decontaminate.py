@@ -52,9 +52,7 @@ def _windows(items: DataFrame, width: int) -> DataFrame:
 
 
 def _slots(df: DataFrame, column: str) -> Bitmap:
-    """At most 2**24 distinct slots reach the driver, however large the table is."""
-    rows = df.select(F.expr(signed_slot_sql(column)).cast("int").alias("s")).distinct().toPandas()
-    return Bitmap(rows["s"].to_numpy())
+    return Bitmap.of(df, F.expr(signed_slot_sql(column)))
 
 
 def _counts(docs: DataFrame, vocabulary: Bitmap) -> DataFrame:

@@ -297,8 +297,8 @@ def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tol
         .join(sets.select("fp", "copies"), comp.id == sets.fp)
         .select("comp", "fp", "copies", "blocks", F.expr("CAST(pmod(xxhash64(fp), blocks) AS INT)").alias("block"))
     )
-    slots = comp.select(F.conv(F.hex(F.substring("id", 1, 3)), 16, 10).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
-    payload = _sets(docs, Bitmap(slots), size).dropDuplicates(["fp"])
+    wanted = Bitmap.of(comp, F.conv(F.hex(F.substring("id", 1, 3)), 16, 10))
+    payload = _sets(docs, wanted, size).dropDuplicates(["fp"])
     dealt = members.join(payload, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "copies", "shingles")
     links = durable(_verified(dealt, threshold, tolerance))

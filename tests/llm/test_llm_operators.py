@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import context_tree, decontaminate, entries, licenses, main_text, ngram_join, packing, preference, secrets, toxicity, vptree
+from factloom.llm.kernels import Bitmap
 
 SF = "/root/testdata/sf0.001"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -360,6 +361,12 @@ def test_decontamination(spark, documents):
     assert [r.n_hit for r in none] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("slots", [[], [0], [0, 7, 8, 32767, 32768, 32769, 2**24 - 1, 7]])
+def test_bitmap(spark, slots):
+    rows = spark.createDataFrame([(s,) for s in [*slots, None]], "s int")
+    assert np.flatnonzero(Bitmap.of(rows, F.col("s")).flags()).tolist() == sorted(set(slots))
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
