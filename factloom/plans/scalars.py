@@ -136,12 +136,17 @@ def d10(spark, d):
 
 
 @query("d12_frame_offsets", using("cat", "sym") + """ SELECT id, i+1 AS line_no, 'at '||path||':'||(i+1) AS frame FROM sym WHERE i%4=0 AND i<40""")
-def d12(spark, d):
-    rows = inputs.sym(spark, d).where("i % 4 = 0 AND i < 40").select("id", "path", "start").join(inputs.cat(spark, d).select("path", "text"), "path")
+def d12(spark, d, keep="i % 4 = 0 AND i < 40"):
+    rows = inputs.sym(spark, d).where(keep).select("id", "path", "start").join(inputs.cat(spark, d).select("path", "text"), "path")
     rows = rows.select("id", "path", line_of(F.col("text"), F.col("start")).alias("line_no"))
     return rows.select("id", "line_no", F.concat(F.lit("at "), "path", F.lit(":"), F.col("line_no").cast("string")).alias("frame"))
 
 
+@query("d12_frame_offsets_whole")
+def d12_whole(spark, d):
+    return d12(spark, d, "true")
+
+
 @query("d16_slice_manifest", using("cat", "imports", recursive=True) + ", e AS (SELECT i.path AS a, c.path AS b FROM imports i JOIN cat c ON c.doc_id=i.target_doc WHERE NOT type_only), r AS (SELECT path AS id FROM cat WHERE doc_id=1 UNION SELECT e.b FROM r JOIN e ON e.a=r.id), m AS (SELECT path, blob, row_number() OVER (ORDER BY path) AS k FROM cat WHERE path IN (SELECT id FROM r)) SELECT count(*) AS files, count(*) FILTER (k>512) AS skipped, sha256(string_agg(CASE WHEN k<=512 THEN path||'='||blob END, chr(10) ORDER BY path)) AS workdir_digest FROM m")
 def d16(spark, d):
     from factloom.operators import traverse

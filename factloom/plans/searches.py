@@ -128,11 +128,16 @@ def q15(spark, d):
 
 
 @query("q16_line_of_byte", using("cat", "sym") + " SELECT id, i+1 AS line_no FROM sym WHERE i<20")
-def q16(spark, d):
-    rows = inputs.sym(spark, d).where("i < 20").select("id", "path", "start").join(inputs.cat(spark, d).select("path", "text"), "path")
+def q16(spark, d, keep="i < 20"):
+    rows = inputs.sym(spark, d).where(keep).select("id", "path", "start").join(inputs.cat(spark, d).select("path", "text"), "path")
     return rows.select("id", line_of(F.col("text"), F.col("start")).alias("line_no"))
 
 
+@query("q16_line_of_byte_whole")
+def q16_whole(spark, d):
+    return q16(spark, d, "true")
+
+
 @query("q18_readme_excerpt", using("cat", "sym") + ", r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, line FROM sym WHERE trim(line)<>'') SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY k)) AS excerpt FROM r WHERE k<=12 GROUP BY doc_id")
 def q18(spark, d):
     docs = table(spark, d, "documents").where("trim(text) <> ''")

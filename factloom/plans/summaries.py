@@ -98,12 +98,17 @@ def a12(spark, d):
 
 
 @query("a13_value_merge", "SELECT l_suppkey AS id, CASE WHEN count(DISTINCT l_quantity)>8 THEN '' ELSE string_agg(DISTINCT CAST(l_quantity::INT AS VARCHAR), ',' ORDER BY CAST(l_quantity::INT AS VARCHAR)) END AS constants, count(DISTINCT l_quantity)>8 AS overflow FROM lineitem WHERE l_orderkey%40=0 GROUP BY l_suppkey")
-def a13(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey % 40 = 0")
+def a13(spark, d, keep="l_orderkey % 40 = 0"):
+    rows = table(spark, d, "lineitem").where(keep)
     constants, over = rollup.capped_union(F.col("l_quantity").cast("int").cast("string"), rollup.CONSTANTS)
     return rows.groupBy(F.col("l_suppkey").alias("id")).agg(constants.alias("constants"), over.alias("overflow"))
 
 
+@query("a13_value_merge_whole")
+def a13_whole(spark, d):
+    return a13(spark, d, "true")
+
+
 @query("a14_effect_join", "SELECT l_suppkey AS id, bool_or(l_quantity>49) AS writes, bool_or(l_discount>0.09) AS throws, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS targets FROM lineitem GROUP BY l_suppkey")
 def a14(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(
