@@ -111,13 +111,18 @@ def q12(spark, d):
     using("cat", "sym")
     + """ SELECT s.id, s."start" AS w_start, (length(substr(c.text,1,length(decode(encode(c.text)[1:s."start"]))))-length(replace(decode(encode(c.text)[1:s."start"]),chr(10),''))+1)::BIGINT AS start_line, s."end"-s."start">4000 AS truncated, sha256(s.line) AS digest FROM sym s JOIN cat c USING (path) WHERE s."end"-s."start"<=4000""",
 )
-def q13(spark, d):
+def q13(spark, d, keep="`end` - start <= 4000"):
     text = inputs.cat(spark, d).select("path", "text")
-    spans = inputs.sym(spark, d).where(F.col("end") - F.col("start") <= 4000).select("id", "path", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    spans = inputs.sym(spark, d).where(keep).select("id", "path", F.col("start").alias("lo"), F.col("end").alias("hi"))
     rows = documents.source_window(spans.join(text, "path"), F.col("lo"), 4000)
     return rows.select("id", "w_start", "start_line", "truncated", F.sha2("window", 256).alias("digest"))
 
 
+@query("q13_source_window_whole")
+def q13_whole(spark, d):
+    return q13(spark, d, "true")
+
+
 @query("q15_leading_comment", "SELECT doc_id, CASE WHEN doc_id%3=0 THEN trim(split_part(text,chr(10),1)) WHEN doc_id%3=1 THEN trim(split_part(text,chr(10),1)) END AS comment FROM documents WHERE NOT contains(split_part(text,chr(10),1),'*') AND trim(split_part(text,chr(10),1))<>''")
 def q15(spark, d):
     first = F.substring_index("text", "\n", 1)

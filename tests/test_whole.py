@@ -1,5 +1,6 @@
 """Queries over whole tables: DuckDB's rows by the SQL of the query over a subset, its filter taken out, or brute force."""
 
+import hashlib
 import re
 
 import duckdb
@@ -56,3 +57,27 @@ def test_ignore_rules_of_every_path(spark, tmp_path):
     assert len(got) == len(rows) and got == {p: ignored(p) for p in got}
     held = {(p.split("/")[0], p.split("/")[1], p.rsplit(".")[-1]) for p in got}
     assert {("src3", "en", "png"), ("src3", "de", "png"), ("src3", "de", "js"), ("src1", "de", "txt")} <= held
+
+
+def test_windows_of_long_spans(spark, tmp_path):
+    lines = ["é" * 1999 + "ab", "é" * 1999 + "abc", "a" + "é" * 3000, "ab" + "🫧" * 1500, "水" * 2000, "b" * 4000, "c" * 4001, "short é"]
+    rows = [(0, "\n".join(lines), "en", "src1", 1), (1, "d" * 9000, "en", "src2", 1), (2, "é\n\n" + lines[2], "de", "src1", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for doc, text, *_ in rows:
+        at = 0
+        for i, line in enumerate(text.split("\n")):
+            raw = line.encode()
+            if raw:
+                window = raw[:4000].decode(errors="ignore")
+                want[doc, at] = (i + 1, len(raw) > 4000, hashlib.sha256(window.encode()).hexdigest())
+            at += len(raw) + 1
+    got = {(int(re.search(r"doc_(\d+)", r.id)[1]), r.w_start): (r.start_line, r.truncated, r.digest) for r in plans.QUERIES["q13_source_window_whole"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert sum(t for _, t, _ in got.values()) == 7
+
+
+def test_short_windows_are_as_before(spark, oracle):
+    rows = lambda name: {tuple(r) for r in plans.QUERIES[name](spark, SF).collect()}
+    whole, pinned = rows("q13_source_window_whole"), rows("q13_source_window")
+    assert pinned <= whole and not any(r[3] for r in pinned)
