@@ -6,7 +6,8 @@ Documents are sets of five-word shingles; two are linked at a Jaccard similarity
 2. Candidates share a band of MinHash values. With 32 bands of 5 a pair at 0.8 is missed with a chance of 3e-6.
 3. Within a bucket, MinHash values are compared 32 at a time; a pair is dropped when the posterior probability
    (uniform prior) that its similarity reaches the threshold falls below ``tolerance``. What is left is kept as a
-   spanning forest, never as all pairs; its components are small and tight.
+   spanning forest, never as all pairs; its components are small and tight. A bucket above ``BLOCK`` documents is dealt out:
+   all meet its least document in salted parts, those that do not survive with it meet all others as pairs of blocks.
 4. Inside a component, each document's shingles arrive once. Pairs that share a band are verified exactly by a
    product of incidence matrices, in blocks; components above ``BLOCK`` documents are dealt as pairs of blocks.
 5. Verified links give the classes and each document's number of links; the links themselves are not expanded.
@@ -186,6 +187,70 @@ def _linked(buckets: DataFrame, threshold: float, tolerance: float) -> DataFrame
     return buckets.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a binary, b binary")
 
 
+def _across(sig: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, least: dict[int, int]) -> list[tuple[int, int]]:
+    """A spanning forest of the surviving pairs of ``left`` with later rows of ``right``. Rows of equal label are linked already."""
+    out = []
+    for x in left:
+        far = right[(label[right] != label[x]) & (right > x)]
+        ok = far[survivors(sig[far], sig[x], least)] if len(far) else far
+        for k in ok[np.unique(label[ok], return_index=True)[1]]:
+            out.append((int(x), int(k)))
+            label[label == label[k]] = label[x]
+    return out
+
+
+def _linked_large(buckets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b) as ``_linked`` gives, of buckets above ``BLOCK`` members. ``buckets``: band, fp, sig, n (members of the band).
+
+    Members that survive with the least one are linked by it and need not meet each other; each other member meets all.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = least_matches(threshold, tolerance)
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig", "lead_sig"))
+            ok = survivors(x, y, least) if len(x) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("band", "fp", "sig", "lead")), pa.array(ok)], ["band", "fp", "sig", "lead", "ok"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = least_matches(threshold, tolerance)
+        for t in by_key(batches, ["band", "i", "j"]):
+            key = np.stack([t.column(c).to_numpy() for c in ("band", "i", "j")])
+            cut = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
+            fp = t.column("fp").to_pylist()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            block, ok = t.column("block").to_numpy(), t.column("ok").to_numpy(zero_copy_only=False)
+            a: list[bytes] = []
+            b: list[bytes] = []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                i, j = key[1:, lo]
+                label = np.where(ok[lo:hi], hi - lo, np.arange(hi - lo))
+                left, right = (np.flatnonzero(block[lo:hi] == k) for k in (i, j))
+                for x, y in _across(sig[lo:hi], left, right, label, least):
+                    a.append(fp[lo + x]), b.append(fp[lo + y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    lead = buckets.groupBy("band").agg(F.min("fp").alias("lead"), F.first("n").alias("n"))
+    lead = lead.join(buckets.select("band", F.col("fp").alias("lead"), F.col("sig").alias("lead_sig")), ["band", "lead"])
+    lead = lead.select("band", "lead", "lead_sig", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = buckets.select("band", "fp", "sig", F.expr(f"CAST(pmod(xxhash64(fp), CEIL(n / {BLOCK})) AS INT)").alias("part"))
+    seen = durable(dealt.join(lead, ["band", "part"]).mapInArrow(met, "band long, fp binary, sig binary, lead binary, ok boolean"))
+    by_lead = seen.where("ok AND fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    per = seen.groupBy("band").agg(F.count_if(~F.col("ok")).alias("loose"), F.count_if("ok").alias("held")).where("loose > 0")
+    per = per.select("band", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("loose", "held")))
+    rows = seen.select("band", "fp", "sig", "ok").join(per, "band")
+    # blocks of loose members are numbered first, so a pair's lesser block is always loose
+    place = F.pmod(F.xxhash64("fp"), F.when(F.col("ok"), F.col("held")).otherwise(F.col("loose"))).cast("int")
+    rows = rows.withColumn("block", place + F.when(F.col("ok"), F.col("loose")).otherwise(0))
+    last = F.col("loose") - 1 + F.when(F.col("ok"), 0).otherwise(F.col("held"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    pairs = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "sig", "ok")
+    # by block: the lesser side of a pair of blocks comes first
+    pairs = pairs.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "fp")
+    return by_lead.unionByName(pairs.mapInArrow(run, "a binary, b binary"))
+
+
 def _sets(docs: DataFrame, wanted: Bitmap, size: int) -> DataFrame:
     """(fp, shingles) of the documents whose fingerprint's slot is in ``wanted``."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -288,8 +353,13 @@ def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tol
         .groupBy("fp")
         .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     )
-    bands = sets.select("fp", F.explode("bands").alias("band")).withColumn("n", F.expr("count(*) OVER (PARTITION BY band)")).where("n > 1").select("band", "fp")
-    near = durable(_linked(bands.join(sets.select("fp", "sig"), "fp"), threshold, tolerance).distinct())
+    bands = sets.select("fp", F.explode("bands").alias("band"))
+    shared = durable(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = bands.join(shared, "band").join(sets.select("fp", "sig"), "fp").select("band", "fp", "sig", "n")
+    linked = _linked(buckets.where(F.col("n") <= BLOCK).drop("n"), threshold, tolerance)
+    if not shared.where(F.col("n") > BLOCK).isEmpty():
+        linked = linked.unionByName(_linked_large(durable(buckets.where(F.col("n") > BLOCK)), threshold, tolerance))
+    near = durable(linked.distinct())
     comp = durable(components(near))
     per = comp.groupBy("comp").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = (

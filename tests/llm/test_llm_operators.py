@@ -428,6 +428,44 @@ def test_ngram_join(spark, documents, monkeypatch, block):
     assert got == dict(enumerate(brute_links(texts)))
 
 
+def test_ngram_buckets_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    sizes, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda rows, *a: sizes.extend(r["count"] for r in rows.groupBy("band").count().collect()) or linked(rows, *a))
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join([*base[: 3 * k], f"new{k}", *base[3 * k + 1 :]]) for k in range(40)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_links(texts)))
+    assert max(sizes, default=0) <= 8
+
+
+def test_ngram_large_buckets_without_a_leader(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = np.random.default_rng(1)
+    least = ngram_join.least_matches(0.8, 1e-6)
+    sigs = [rng.integers(0, 256, ngram_join.HASHES).astype(np.uint8) for _ in range(12)]
+    for k in range(5):  # chains of neighbours, whose ends do not survive with each other
+        at = sigs[k]
+        for _ in range(9):
+            at = np.where(rng.random(ngram_join.HASHES) < 0.2, rng.integers(0, 256, ngram_join.HASHES), at).astype(np.uint8)
+            sigs.append(at)
+    order = rng.permutation(len(sigs))
+    fps = [bytes([int(k)]) * 16 for k in order]
+    rows = [(band, fps[k], sigs[k].tobytes(), len(sigs)) for band in (7, -7) for k in range(len(sigs))]
+    buckets = spark.createDataFrame([(b, bytearray(f), bytearray(s), n) for b, f, s, n in rows], "band long, fp binary, sig binary, n long")
+    pairs = {(fps[i], fps[k]) for i in range(len(sigs)) for k in range(i) if ngram_join.survivors(sigs[i][None], sigs[k][None], least)[0]}
+    got = {(bytes(r.a), bytes(r.b)) for r in ngram_join._linked_large(buckets, 0.8, 1e-6).collect()}
+    assert got <= pairs | {(b, a) for a, b in pairs}
+
+    def classes(links):
+        f = ngram_join.Forest(len(fps))
+        for a, b in links:
+            f.join(fps.index(a), fps.index(b))
+        return f.roots().tolist()
+
+    assert classes(got) == classes(pairs) and 2 < len(set(classes(pairs))) < len(fps) - 20
+
+
 def test_bayesian_pruning():
     least = ngram_join.least_matches(0.8, 1e-6)
     assert list(least) == [32, 64, 96, 128, 160] and all(0 < least[n] < 0.8 * n for n in least)
