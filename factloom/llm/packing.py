@@ -3,8 +3,9 @@
 Documents are tokenised and closed by ``end_id``; only those longer than ``capacity`` are cut, into full pieces that are
 sequences of their own and a last piece that may be shorter. Shorter pieces are packed best-fit decreasing within
 partitions. Bins with at most ``slack`` free tokens are emitted; the others go, as items of their fill, to an
-``fan_in``-th of the partitions for another best-fit round, until one round fits one task or no bin is left open.
-Each round is written to the shared folder, so a lost executor repeats a round at most.
+``fan_in``-th of the partitions, but at most ``per_task`` bins to each, for another best-fit round, until one round fits
+one task or no bin is left open. Where more than one task's bins are open and a round has closed or joined fewer than
+``GAIN`` of them, they are emitted as they are: hardly two of them fit together. Each round is written to the shared folder, so a lost executor repeats a round at most.
 
 Null and empty texts are the end token alone; each row is a document of its own even if its doc_id repeats; ties
 take the item met first; an empty table gives no rows; further columns are ignored.
@@ -28,6 +29,7 @@ CAPACITY = 2048
 SLACK = 8
 PER_TASK = 20_000
 FAN_IN = 8
+GAIN = 0.05
 PIECE = "struct<row:long,doc_id:long,piece:int,start:long,length:long,ids_crc32:long>"
 BIN = f"done boolean, fill int, seq long, pieces array<{PIECE}>"
 
@@ -164,16 +166,21 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = SLAC
         *cut.columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     part = cut.where(F.col("length") < capacity)
-    tasks = max(1, -(-part.count() // per_task))
+    before = part.count()
+    tasks = max(1, -(-before // per_task))
     bins = part.select(F.col("length").cast("int").alias("fill"), F.array(F.struct(*cut.columns)).alias("pieces"))
     bins = bins.repartition(tasks, F.xxhash64(F.col("pieces")[0]["row"]))
     closed, number = [], 1
     while True:
         made = durable(_round(bins, number, capacity, slack, last=tasks == 1))
+        still = made.where("NOT done").count()
+        if still > per_task and still > (1 - GAIN) * before:
+            closed.append(made)
+            break
         closed.append(made.where("done"))
-        if tasks == 1:
+        if not still:
             break
-        tasks, number = -(-tasks // FAN_IN), number + 1
+        tasks, number, before = max(-(-tasks // FAN_IN), -(-still // per_task)), number + 1, still
         bins = made.where("NOT done").select("fill", "pieces").repartition(tasks, F.xxhash64(F.col("pieces")[0]["row"]))
     done = closed[0]
     for more in closed[1:]:

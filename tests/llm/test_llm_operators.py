@@ -319,6 +319,24 @@ def test_packing_round_trip(spark, documents):
     assert len(by_seq) <= least * 1.1 + 1
 
 
+def test_packing_of_pieces_that_do_not_fit_together(spark, monkeypatch):
+    tasks, made = [], packing._round
+
+    def spy(bins, number, capacity, slack, last):
+        tasks.append((bins.count(), bins.rdd.getNumPartitions()))
+        return made(bins, number, capacity, slack, last)
+
+    monkeypatch.setattr(packing, "_round", spy)
+    texts = ["a " * (1100 + 10 * k) for k in range(60)]
+    rows = packing.pack(docs_of(spark, texts), entries.tokenizer_path(), per_task=5).collect()
+    assert all(1024 < r.length < 2040 for r in rows)
+    assert sorted(r.doc_id for r in rows) == list(range(60)) and len({r.sequence_id for r in rows}) == 60
+    assert all(n <= 5 * parts for n, parts in tasks)
+    rows = packing.pack(docs_of(spark, [*texts, *["b " * 300] * 60]), entries.tokenizer_path(), per_task=5).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(120)) and len({r.sequence_id for r in rows}) < 110
+    assert all(n <= 5 * parts for n, parts in tasks)
+
+
 def test_best_fit():
     bins = packing.best_fit(np.array([5, 5, 6, 4, 10, 1]), 10)
     assert sorted(map(sorted, bins)) == [[0, 1], [2, 3], [4], [5]]
