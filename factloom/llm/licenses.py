@@ -28,7 +28,53 @@ the above copyright notice and this permission notice appear in all copies. THE
 WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
 FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+"""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """The wordings of the two BSD licences: with and without title and reserved rights, numbers or bullets, holder or owner."""
+    out = []
+    for clauses, name in ((BSD, "BSD-2-Clause"), (BSD + BSD_3, "BSD-3-Clause")):
+        for title in ("", name.replace("-Clause", "-Clause License").replace("BSD-", "BSD ") + "\n"):
+            for reserved in ("", "All rights reserved.\n"):
+                for body in (clauses, clauses.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")):
+                    for end in (BSD_END, BSD_END.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")):
+                        out.append((name, title + reserved + body + end))
+    return out
+
+
+#: Digests of the canonical form of whole texts as Debian's /usr/share/common-licenses has them; Apache-2.0 also without its appendix.
+DIGESTS = [
+    ("Apache-2.0", "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e"),
+    ("CC0-1.0", "e259b3e0bf831ddcd5351d255b832a3eccf42a266790e35dd570e35b737e30f2"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "de0e0bad5657ae87b52462bd6dcfbfa29b0e1c9cdb1af2703a8760bce580dd61"),
+    ("Artistic-1.0", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
+    ("GFDL-1.2", "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86"),
+    ("GFDL-1.3", "308a357adeb0d8a10fe0d0ff9bcc6322de39d728fd1073b64d31129a85a77f5a"),
+    ("Apache-2.0", "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d"),
+]
 KNOWN = [
+    *_bsd(),
     ("MIT", MIT),
     ("MIT", "MIT License\n" + MIT),
     ("MIT", "The MIT License (MIT)\n" + MIT),
@@ -67,9 +113,10 @@ def canonical(text: Column) -> Column:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """(digest, license) of KNOWN."""
+    """(digest, license) of KNOWN and DIGESTS."""
     rows = spark.createDataFrame(KNOWN, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").distinct()
+    whole = spark.createDataFrame(DIGESTS, "license string, digest string").select("digest", "license")
+    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").unionByName(whole).distinct()
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -289,6 +290,30 @@ def test_licenses(spark):
     assert got[4] == got[5] == got[6] == got[7] == (None, 0, "")
 
 
+INSTALLED = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1"}
+INSTALLED |= {"LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3"}
+
+
+def test_whole_licenses(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts installed")
+    texts, want = [], []
+    for file, name in INSTALLED.items():
+        text = (folder / file).read_text()
+        texts += [text, text.replace("\n", "\r\n").upper(), text + "\nand more"]
+        want += [name, name, None]
+    apache = (folder / "Apache-2.0").read_text()
+    texts.append(apache[: apache.index("APPENDIX")])
+    want.append("Apache-2.0")
+    bsd = (folder / "BSD").read_text().replace("the University nor", "the copyright holder nor").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    a, b = bsd.index("3. Neither"), bsd.index("THIS SOFTWARE")
+    texts += [bsd, "BSD 3-Clause License\n\n" + bsd, bsd[:a] + bsd[b:], "BSD 2-Clause License\n\n" + (bsd[:a] + bsd[b:]).replace("1. ", "* ").replace("2. ", "* ")]
+    want += ["BSD-3-Clause", "BSD-3-Clause", "BSD-2-Clause", "BSD-2-Clause"]
+    got = {r.doc_id: r.whole_license for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 
