@@ -5,10 +5,12 @@ contexts, the last ``DEPTH`` bytes, whose nodes hold Krichevsky-Trofimov estimat
 of its own block probability and the product of its children's, so that all depths are mixed by how well they code the corpus.
 
 The tree is that of the whole training corpus. Block probabilities depend on counts alone, so the corpus is gathered as
-counts of (context, byte), then subtrees are computed side by side (one per two latest bytes) and the two levels above
-from their sums, at most 256 * 255 + 255 nodes. Every (context, byte) that any text holds has a node, with a count of zero
-if training lacks it, and so an exact probability. Texts are then scored by look-up: at most ``TOP_GRAMS`` and
-``TOP_WORDS`` of the most frequent keys are broadcast, all others are joined.
+counts of (context, byte). Keys hold the latest byte first, so that in sorted order the codes below any context lie together: a
+task streams its codes and holds one run of whole three-byte contexts at a time, one bit plane of it at a time. The subtrees' sums give the
+two-byte level as a table, that is sent along with the codes below it, and the two levels above it, at most 256 * 255 + 255
+nodes, are broadcast. Every (context, byte) that any text holds has a node, with a count of zero if training lacks it, and so an
+exact probability. Texts are then scored by look-up: at most ``TOP_GRAMS`` and ``TOP_WORDS`` of the most frequent keys are
+broadcast, all others are joined.
 
 Words and contexts are told apart by 64-bit keys. Null texts are empty: an end mark alone. Null ids are held out. Each row is
 scored as a text of its own even if its id repeats; an empty table gives no rows; further columns are ignored.
@@ -18,22 +20,31 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.durable import durable
 from factloom.llm.kernels import U64, Words, chunks, signed
 from factloom.llm.toxicity import held_out
 
-DEPTH = 5
+DEPTH = 6
 FOLDS = 10
-TOP_WORDS, TOP_GRAMS = 1 << 18, 1 << 19
-SLOTS = 20
+#: Codes are dealt to tasks by their latest SHARED bytes; a task's runs of whole such contexts have at least RUN codes, the last one less.
+SHARED = 3
+RUN = 50_000
+CHUNK = 500_000
+#: A task's counters merge what they gathered at MERGE keys, and hold at most HELD.
+MERGE, HELD = 1_000_000, 4_000_000
+TOP_WORDS, TOP_GRAMS = 1 << 18, 1 << 21
+SLOTS = 21
 END = 0xFF  # no byte of UTF-8
-WORD, GRAM = 0, 1
+WORD, GRAM, NODE = 0, 1, 2
 END_KEY = 0
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -42,7 +53,7 @@ _LETTERS = np.array([0 if b == 0x20 or 9 <= b <= 0x0D else (0x20 if b == 0 else
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (``depth`` bytes before, byte) at each byte and end of each row, and where rows begin in them."""
+    """Codes of (``depth`` bytes before, the latest first, then the byte) at each byte and end of each row, and where rows begin in them."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     padded = np.full(len(data) + n * (depth + 1), END, np.uint8)
@@ -50,16 +61,20 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
     row = np.repeat(np.arange(n), size)
     padded[np.arange(len(data)) + (row + 1) * (depth + 1) - 1] = _LOWER[data]
     code = np.zeros(len(padded), np.int64)
-    for k in range(depth, -1, -1):
-        code[depth:] |= padded[depth - k : len(padded) - k].astype(np.int64) << (8 * k)
+    for k in range(depth + 1):
+        code[depth:] |= padded[depth - k : len(padded) - k].astype(np.int64) << (8 * (depth + 1 - k) if k else 0)
     keep = np.ones(len(padded), bool)
     keep[(begin[:, None] - np.arange(1, depth + 1)[None, :]).ravel()] = False
     return code[keep], offsets[:-1] + np.arange(n)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(back, np.concatenate(counts), len(k)).astype(np.int64)
+    """Sorted runs of keys made one; a stable sort only merges them."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c[order], first) if len(k) else c
 
 
 class _Counter:
@@ -72,9 +87,12 @@ class _Counter:
         k, c = np.unique(values, return_counts=True)
         self.keys.append(k), self.counts.append(c * weight)
         self.pending += len(k)
-        if self.pending > 2_000_000:
+        if self.pending > MERGE:
             self.merge()
 
+    def size(self) -> int:
+        return len(self.keys[0]) + self.pending
+
     def merge(self) -> int:
         k, c = _merged(self.keys, self.counts)
         self.keys, self.counts, self.pending = [k], [c], 0
@@ -82,7 +100,7 @@ class _Counter:
 
 
 def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): training counts of words (and of the end, key 0) and of (context, byte) codes of all texts."""
+    """(kind, key, n): training counts of words (and of the end, key 0) and of (context, byte) codes of all texts, as gathered by each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, codes = _Counter(), _Counter()
@@ -95,7 +113,7 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(batch.column("text"), CHUNK):
                 part = held[first : first + len(offsets) - 1]
                 code, begin = grams(data, offsets, depth)
                 row = np.repeat(part, np.diff(np.append(begin, len(code))))
@@ -106,13 +124,12 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 words.add(signed(w.hashes[learned]), 1)
                 words.add(np.full(int((~part).sum()), END_KEY, np.int64), 1)
                 for kind, c in ((WORD, words), (GRAM, codes)):
-                    if c.pending > 1_500_000 and c.merge() > 1_500_000:
+                    if c.size() > HELD and c.merge() > HELD // 2:
                         yield out(kind, c)
         yield out(WORD, words)
         yield out(GRAM, codes)
 
-    rows = _inputs(docs).mapInArrow(run, "kind byte, key long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return _inputs(docs).mapInArrow(run, "kind byte, key long, n long")
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -133,119 +150,258 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_HALF, _ONE = _lgamma(np.arange(1 << 16) + 0.5), _lgamma(np.arange(1 << 16) + 1.0)
+
+
+def _at(table: np.ndarray, n: np.ndarray, more: float) -> np.ndarray:
+    """log gamma of n + more: from the table, and computed for the few counts beyond it."""
+    out = table[np.minimum(n, len(table) - 1)]
+    far = np.flatnonzero(n >= len(table))
+    if len(far):
+        out[far] = _lgamma(n[far] + more)
+    return out
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """log of the Krichevsky-Trofimov block probability of n0 zeros and n1 ones."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - 1.1447298858494002 - _lgamma(n0 + n1 + 1.0)
+    """log of the Krichevsky-Trofimov block probability of n0 zeros and n1 ones (whole numbers)."""
+    return _at(_HALF, n0, 0.5) + _at(_HALF, n1, 0.5) - 1.1447298858494002 - _at(_ONE, n0 + n1, 1.0)
+
+
+def _up(node: np.ndarray) -> np.ndarray:
+    """The node, or code, with the oldest byte of its context left out."""
+    return (node >> 16) << 8 | (node & 0xFF)
+
+
+def _mixed(n: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of inner nodes: the log of the weighted probability, and the share in it of the node's own estimate."""
+    kt = log_kt(n - n1, n1)
+    weighted = np.logaddexp(kt, below) - np.log(2)
+    return weighted, np.exp(kt - np.log(2) - weighted)
+
+
+@dataclass
+class Plane:
+    """One binary decision's subtrees. ``leaf``: node of each code; ``levels``: from the leaves up, (parent below, estimate, own share);
+    ``node``, ``n``, ``n1``, ``weighted``: of the nodes at the top."""
+
+    leaf: np.ndarray
+    bit: np.ndarray
+    levels: list[tuple[np.ndarray | None, np.ndarray, np.ndarray | None]]
+    node: np.ndarray
+    n: np.ndarray
+    n1: np.ndarray
+    weighted: np.ndarray
 
 
 class Subtrees:
-    """The trees below two-byte contexts, of the (code, n) that share them; leaves at ``depth``, tops at ``top``."""
+    """The trees of a run of (code, n), sorted by code, between leaves at ``depth`` and contexts of ``top`` bytes, all whole."""
 
-    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int, top: int = 2) -> None:
-        self.byte = code & 0xFF
-        context = code >> 8  # latest byte lowest: deeper contexts have more low bytes
-        self.levels = []
-        self.tops = []
+    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int, top: int) -> None:
+        self.codes, self.counts, self.parents = [code], [n], []
+        for _ in range(depth - top):  # sorted once a level; every bit plane's nodes are runs of it
+            code, up = np.unique(_up(code), return_inverse=True)
+            n = np.bincount(up, n, len(code)).astype(np.int64)
+            self.codes.append(code), self.counts.append(n), self.parents.append(up)
+
+    def planes(self) -> Iterator[Plane]:
         for j in range(8):
-            prefix = (1 << j) | (self.byte >> (8 - j))
-            bit = (self.byte >> (7 - j)) & 1
-            key, place = np.unique((context << 8) | prefix, return_inverse=True)
-            n0 = np.bincount(place, n * (1 - bit), len(key))
-            n1 = np.bincount(place, n * bit, len(key))
-            kt = log_kt(n0, n1)
-            weighted = kt
-            chain = [(place, n0, n1, np.ones(len(key)))]  # a leaf is all its own estimate
-            for d in range(depth - 1, top - 1, -1):
-                low = ((key >> 8) & ((1 << (8 * d)) - 1)) << 8 | (key & 0xFF)
-                key, up = np.unique(low, return_inverse=True)
-                n0, n1, below = (np.bincount(up, v, len(key)) for v in (n0, n1, weighted))
-                kt = log_kt(n0, n1)
-                weighted = np.logaddexp(kt, below) - np.log(2)
-                chain.append((up, n0, n1, np.exp(kt - np.log(2) - weighted)))
-            self.levels.append(chain)
-            self.tops.append((key, n0, n1, weighted))
-
-    def log10(self, upper: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 P(byte | context) of every code. ``upper``: at depths 1 and 0, dense KT estimates and own weights by node."""
-        out = np.zeros(len(self.byte))
-        for j, chain in enumerate(self.levels):
-            at = chain[0][0]
-            p = ((chain[0][2] + 0.5) / (chain[0][1] + chain[0][2] + 1))[at]
-            for up, n0, n1, own in chain[1:]:
-                at = up[at]
-                p = own[at] * ((n1 + 0.5) / (n0 + n1 + 1))[at] + (1 - own[at]) * p
-            node = self.tops[j][0][at]
-            for d in (1, 0):
-                node = ((node >> 8) & ((1 << (8 * d)) - 1)) << 8 | (node & 0xFF)
-                kt, own = upper[d]
-                p = own[node] * kt[node] + (1 - own[node]) * p
-            out += np.log10(np.where((self.byte >> (7 - j)) & 1, p, 1 - p))
+            levels, leaf, leaf_bit = [], None, None
+            first = weighted = None
+            for d, (code, n) in enumerate(zip(self.codes, self.counts, strict=True)):
+                byte = code & 0xFF
+                bit = (byte >> (7 - j)) & 1
+                node = code >> 8 << 8 | (1 << j) | (byte >> (8 - j))
+                new = np.concatenate([[True], node[1:] != node[:-1]])
+                place, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+                total, ones = np.add.reduceat(n, begin), np.add.reduceat(n * bit, begin)
+                if d:
+                    parent = place[self.parents[d - 1][first]]
+                    weighted, own = _mixed(total, ones, np.bincount(parent, weighted, len(begin)))
+                else:  # a leaf is all its own estimate
+                    parent, own, weighted = None, None, log_kt(total - ones, ones)
+                    leaf, leaf_bit = place, bit
+                levels.append((parent, (ones + 0.5) / (total + 1), own))
+                first, at_top = begin, node[begin]
+            yield Plane(leaf, leaf_bit, levels, at_top, total, ones, weighted)
+
+    def log10(self, above: list) -> np.ndarray:
+        """log10 P(byte | context) of every code. ``above``: for each level over the top, a function from nodes to estimates and own shares."""
+        out = np.zeros(len(self.codes[0]))
+        for plane in self.planes():
+            p = plane.levels[0][1]
+            at = np.arange(len(p))
+            for parent, estimate, own in plane.levels[1:]:
+                at = parent[at]
+                p = own[at] * estimate[at] + (1 - own[at]) * p
+            node = plane.node
+            for level in above:
+                node = _up(node)
+                estimate, own = level(node)
+                p = own[at] * estimate[at] + (1 - own[at]) * p
+            out += np.where(plane.bit == 1, np.log10(p)[plane.leaf], np.log10(1 - p)[plane.leaf])
         return out
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    held = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches]
-    return np.concatenate([k for k, _ in held] or [np.zeros(0, np.int64)]), np.concatenate([n for _, n in held] or [np.zeros(0, np.int64)])
+class Runs:
+    """Cuts batches that are sorted by key into tables of whole groups of ``key >> shift``: of at least ``least`` rows, the last may be shorter."""
+
+    def __init__(self, shift: int, least: int) -> None:
+        self.shift, self.least, self.held, self.size, self.need = shift, least, [], 0, least
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        self.held.append(batch)
+        self.size += batch.num_rows
+        if self.size < self.need:
+            return
+        t = pa.Table.from_batches(self.held)
+        group = t.column("key").to_numpy() >> self.shift
+        cut = int(np.searchsorted(group, group[-1]))
+        self.held, self.size = t.slice(cut).to_batches(), self.size - cut
+        self.need = max(self.least, 2 * self.size)
+        if cut:
+            yield t.slice(0, cut)
+
+    def end(self) -> Iterator[pa.Table]:
+        if self.size:
+            yield pa.Table.from_batches(self.held)
 
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in batches:
+            yield from self.feed(batch)
+        yield from self.end()
+
+
+def _parts(counted: DataFrame, depth: int, least: int) -> DataFrame:
+    """(kind, key, n, n1, w): ``counts`` put together, and the sums of subtrees that NODE rows hold for the level above them."""
+    top = min(depth, SHARED)
+    shift = 8 * (depth - top + 1)
+    place = F.when(F.col("kind") == GRAM, F.shiftright("key", shift)).otherwise(F.pmod("key", F.lit(1 << 24)))
+    whole = counted.withColumn("place", place).repartition("place").groupBy("place", "kind", "key").agg(F.sum("n").alias("n"))
+
+    def sums(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for plane in Subtrees(t.column("key").to_numpy(), t.column("n").to_numpy(), depth, top).planes():
+            node, at = np.unique(_up(plane.node), return_inverse=True)
+            n, n1, w = (np.bincount(at, x, len(node)) for x in (plane.n, plane.n1, plane.weighted))
+            cols = (np.full(len(node), NODE, np.int8), node, n.astype(np.int64), n1.astype(np.int64), w)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "key", "n", "n1", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(shift, least)
+        for batch in batches:
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "key", "n")), none, none.cast(pa.float64())], ["kind", "key", "n", "n1", "w"])
+            codes = batch.filter(pc.equal(batch.column("kind"), GRAM))
+            if codes.num_rows:
+                for t in runs.feed(codes):
+                    yield from sums(t)
+        for t in runs.end():
+            yield from sums(t)
+
+    return whole.sortWithinPartitions("kind", "key").select("kind", "key", "n").mapInArrow(run, "kind byte, key long, n long, n1 long, w double")
 
-def probabilities(codes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, n, value): log10 P(byte | context) of every code in ``codes`` (key, n)."""
-    dealt = durable(codes.select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))))
 
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _read(batches)
-        for node, n0, n1, weighted in Subtrees(key, n, depth).tops if len(key) else ():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, n0, n1, weighted)], ["node", "n0", "n1", "w"])
+def _estimated(nodes: DataFrame) -> DataFrame:
+    """(node, n, n1, w, p, own) of inner nodes (node, n, n1, and w, the sum of their children)."""
 
-    node = F.shiftleft(F.shiftright("node", 8).bitwiseAND(F.lit(0xFF)), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFF)))
-    scheme = "node long, n0 double, n1 double, w double"
-    regroup = dealt.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
-    ones = regroup.mapInArrow(tops, scheme).groupBy(node.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("below")).toPandas()
-    upper = {}
-    at, n0, n1, below = ones["node"].to_numpy(np.int64), ones["n0"].to_numpy(float), ones["n1"].to_numpy(float), ones["below"].to_numpy(float)
-    for d in (1, 0):
-        kt = log_kt(n0, n1)
-        weighted = np.logaddexp(kt, below) - np.log(2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, n1 = b.column("n").to_numpy(), b.column("n1").to_numpy()
+            weighted, own = _mixed(n, n1, b.column("w").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "n", "n1")), *map(pa.array, (weighted, (n1 + 0.5) / (n + 1), own))], ["node", "n", "n1", "w", "p", "own"])
+
+    return nodes.mapInArrow(run, "node long, n long, n1 long, w double, p double, own double")
+
+
+def _summed(nodes: DataFrame, node: Column) -> DataFrame:
+    return nodes.groupBy(node.alias("node")).agg(*(F.sum(c).alias(c) for c in ("n", "n1", "w")))
+
+
+def _dense(nodes: pd.DataFrame, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Estimates and own shares by node at the contexts of levels - 1, ..., 0 bytes, from the sums at the first; one half where there is none."""
+    node, n, n1, below = (nodes[c].to_numpy() for c in ("node", "n", "n1", "w"))
+    out = []
+    for d in range(levels - 1, -1, -1):
+        weighted, own = _mixed(n, n1, below)
         dense = np.full((2, 1 << (8 * (d + 1))), 0.5)
-        dense[0, at], dense[1, at] = (n1 + 0.5) / (n0 + n1 + 1), np.exp(kt - np.log(2) - weighted)
-        upper[d] = (dense[0], dense[1])
-        at, back = np.unique(at & 0xFF, return_inverse=True)
-        n0, n1, below = (np.bincount(back, v, len(at)) for v in (n0, n1, weighted))
-    held = codes.sparkSession.sparkContext.broadcast(upper)
+        dense[0, node], dense[1, node] = (n1 + 0.5) / (n + 1), own
+        out.append((dense[0], dense[1]))
+        node, at = np.unique(node & 0xFF, return_inverse=True)
+        n, n1 = (np.bincount(at, x, len(node)).astype(np.int64) for x in (n, n1))
+        below = np.bincount(at, weighted, len(node))
+    return out
+
+
+def probabilities(parts: DataFrame, depth: int = DEPTH, least: int = RUN) -> DataFrame:
+    """(key, n, value): log10 P(byte | context) of every code in ``parts`` (of ``_parts``)."""
+    top = min(depth, SHARED)
+    shift = 8 * (depth - top + 1)
+    codes = parts.where(F.col("kind") == GRAM).select("key", "n", *(F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("p", "double"), ("own", "double"))))
+    sums = _summed(parts.where(F.col("kind") == NODE), F.col("key"))
+    if top == SHARED:
+        middle = durable(_estimated(sums))
+        up = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFF)))
+        sums = _summed(middle, up)
+        shift += 8  # nodes come before the codes of their two bytes, in one run
+        first = F.shiftleft(F.shiftright("node", 8), shift)
+        codes = codes.unionByName(middle.select(first.alias("key"), F.lit(0).cast("long").alias("n"), "node", "p", "own"))
+    held = parts.sparkSession.sparkContext.broadcast(_dense(sums.toPandas(), min(top, SHARED - 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _read(batches)
-        if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(Subtrees(key, n, depth).log10(held.value))], ["key", "n", "value"])
-
-    return regroup.mapInArrow(score, "key long, n long, value double")
+        above = [lambda node, t=t: (t[0][node], t[1][node]) for t in held.value]
+        known, last = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)], -1
+
+        def find(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(known[0], node)
+            return known[1][at], known[2][at]
+
+        for t in Runs(shift - 8 if top == SHARED else shift, least).of(batches):
+            code, sent = t.filter(pc.is_null(t.column("node"))), t.filter(pc.is_valid(t.column("node")))
+            if sent.num_rows:  # nodes of the pair of bytes met last may be needed still
+                fresh = [sent.column(c).to_numpy() for c in ("node", "p", "own")]
+                keep = known[0] >> 8 == last
+                known = [np.concatenate([k[keep], f]) for k, f in zip(known, fresh, strict=True)]
+                order = np.argsort(known[0])
+                known = [k[order] for k in known]
+                last = known[0][-1] >> 8
+            if code.num_rows:
+                key, n = (code.column(c).to_numpy() for c in ("key", "n"))
+                value = Subtrees(key, n, depth, top).log10([find, *above] if top == SHARED else above)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(value)], ["key", "n", "value"])
+
+    dealt = codes.repartition(F.shiftright("key", shift)).sortWithinPartitions("key", F.col("node").isNull())
+    return dealt.mapInArrow(score, "key long, n long, value double")
 
 
 class Lookup:
-    """The most frequent keys in two direct-mapped tables; a key that fits neither counts as not found."""
+    """Keys and values in the order of their slots, and where each slot begins: no more memory than what was sent and 8 MB."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.tables = []
-        for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            held, value = np.full(1 << SLOTS, np.iinfo(np.int64).min), np.zeros(1 << SLOTS)
-            at = self.slot(keys, odd)[::-1]
-            held[at], value[at] = keys[::-1], values[::-1]
-            self.tables.append((odd, held, value))
-            left = held[self.slot(keys, odd)] != keys
-            keys, values = keys[left], values[left]
+        count = np.bincount(self.slot(keys), minlength=1 << SLOTS)
+        self.keys, self.values, self.most = keys, values, int(count.max())
+        self.begin = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
 
     @staticmethod
-    def slot(keys: np.ndarray, odd: int) -> np.ndarray:
-        return ((keys.view(U64) * U64(odd)) >> U64(64 - SLOTS)).astype(np.int64)
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - SLOTS)).astype(np.int64)
+
+    @classmethod
+    def ordered(cls, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(cls.slot(keys), kind="stable")
+        return keys[order], values[order]
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of each key."""
         found, out = np.zeros(len(keys), bool), np.zeros(len(keys))
-        for odd, held, value in self.tables:
-            left = np.flatnonzero(~found)
-            at = self.slot(keys[left], odd)
-            hit = held[at] == keys[left]
-            found[left[hit]], out[left[hit]] = True, value[at[hit]]
+        slot = self.slot(keys)
+        at, end = self.begin[slot], self.begin[slot + 1]
+        left = np.flatnonzero(at < end)
+        for k in range(self.most):
+            place = at[left] + k
+            hit = self.keys[place] == keys[left]
+            found[left[hit]], out[left[hit]] = True, self.values[place[hit]]
+            left = left[~hit & (place + 1 < end[left])]
+            if not len(left):
+                break
         return found, out
 
 
@@ -266,19 +422,19 @@ def frequent(table: DataFrame, most: int) -> DataFrame:
     sizes = table.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).limit(most).toPandas()
     fit = sizes["n"].to_numpy()[np.cumsum(sizes["keys"].to_numpy()) <= most]
     least = int(fit[-1]) if len(fit) else None
-    return table.where(F.col("n") >= least if least is not None else F.lit(False)).select("key", "value", "n")
+    return table.where(F.col("n") >= least if least is not None else F.lit(False)).select("key", "value")
 
 
-def score(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS, least: int = RUN) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    counted = durable(counts(docs, depth))
+    counted = durable(_parts(counts(docs, depth), depth, least))
     words = counted.where(F.col("kind") == WORD).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = float(np.log10(total + 0.1 * (distinct + 1)))
     words = words.withColumn("value", F.log10(F.col("n") + 0.1) - below)
-    codes = durable(probabilities(counted.where(F.col("kind") == GRAM), depth))
-    top = [frequent(t, k).toArrow().sort_by([("n", "descending"), ("key", "ascending")]) for t, k in ((words, top_words), (codes, top_grams))]
-    held = docs.sparkSession.sparkContext.broadcast([(t.column("key").to_numpy(), t.column("value").to_numpy()) for t in top])
+    codes = durable(probabilities(counted, depth, least))
+    top = [frequent(t, k).toArrow() for t, k in ((words, top_words), (codes, top_grams))]
+    held = docs.sparkSession.sparkContext.broadcast([Lookup.ordered(t.column("key").to_numpy(), t.column("value").to_numpy()) for t in top])
     model = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +444,7 @@ def score(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WORDS, top_g
         lookup = _lookups[model]
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(batch.column("text"), CHUNK):
                 n = len(offsets) - 1
                 code, begin = grams(data, offsets, depth)
                 found, value = lookup[GRAM].get(code)

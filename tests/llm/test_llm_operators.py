@@ -252,7 +252,7 @@ def test_context_tree(spark, documents):
     texts = [r.text[:200] for r in documents.orderBy("doc_id").limit(24).collect()] + [t for t in ODD if len(t or "") < 100]
     docs = docs_of(spark, texts)
     is_train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
-    for limits in ({}, {"top_words": 5, "top_grams": 5}):
+    for limits in ({}, {"top_words": 5, "top_grams": 5}, {"least": 1}):
         got = sorted(context_tree.score(docs, depth=3, **limits).collect(), key=lambda r: r.doc_id)
         want = brute_ctw([t for t, y in zip(texts, is_train, strict=True) if y], texts, 3)
         assert np.allclose([r.score for r in got], want, rtol=1e-9)
@@ -265,6 +265,14 @@ def test_context_tree(spark, documents):
             assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w))
 
 
+@pytest.mark.parametrize("depth", [1, 2, 6])
+def test_context_tree_of_other_depths(spark, depth):
+    texts = ["abcabcabd abc", "ABCABCABE", "水 abc\0abc", "", None, "zzzzzzzzzzzz", "abcabcabd abc abd"]
+    want = brute_ctw([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10], texts, depth)
+    got = sorted(context_tree.score(docs_of(spark, texts), depth=depth, least=3).collect(), key=lambda r: r.doc_id)
+    assert np.allclose([r.score for r in got], want, rtol=1e-9)
+
+
 def test_context_tree_beats_base(spark):
     got = entries.op5_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
