@@ -96,4 +96,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": preference.ORACLE, "op6_license_scan": licenses.oracle()}

@@ -4,7 +4,7 @@ A text is brought to canonical form - case folded, copyright lines dropped, equi
 letters and digits taken as a blank - and its SHA-256 is hash-joined to the digests of known licences and notices. Entire
 texts are looked up, and each line as an entire notice; both by the same form, so that neither layout nor spelling matters.
 
-Null and empty texts match nothing; each row is a text of its own even if its id repeats; a line found twice counts
+Null and empty texts match nothing; a text of any length is digested whole; each row is a text of its own even if its id repeats; a line found twice counts
 twice; an empty table gives no rows; further columns are ignored. The table of known licences is a parameter; the join is
 broadcast only if Spark finds it small.
 """
@@ -107,11 +107,34 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text, in SQL functions that DuckDB has alike."""
     words = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, " ")), r"[^a-z0-9]+", " "))
     padded = F.concat(F.lit(" "), words, F.lit(" "))
-    for a, b in SPELLINGS:
+    for a, b in SPELLINGS * 2:  # neighbours share a blank, so that one pass misses every second of them
         padded = F.replace(padded, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(padded)
 
 
+def canonical_sql(text: str) -> str:
+    """As ``canonical``, in DuckDB's SQL."""
+    words = f"trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT}', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+    padded = f"(' ' || {words} || ' ')"
+    for a, b in SPELLINGS * 2:
+        padded = f"replace({padded}, ' {a} ', ' {b} ')"
+    return f"trim({padded})"
+
+
+def oracle() -> str:
+    """DuckDB's SQL for ``scan`` over the table documents."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    texts = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    digests = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in DIGESTS)
+    return rf"""WITH known AS (SELECT license, sha256({canonical_sql("text")}) AS digest FROM (VALUES {texts}) k(license, text) UNION SELECT * FROM (VALUES {digests}) g(license, digest)),
+base AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+whole AS (SELECT row, min(license) AS license FROM (SELECT row, {canonical_sql("text")} AS c FROM base) JOIN known ON digest = sha256(c) WHERE c <> '' GROUP BY row),
+cut AS (SELECT row, {canonical_sql("t")} AS c FROM (SELECT row, unnest(string_split_regex(text, '?
+')) AS t FROM base)),
+notices AS (SELECT row, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM cut JOIN known ON digest = sha256(c) WHERE c <> '' GROUP BY row)
+SELECT doc_id, whole.license AS whole_license, coalesce(n, 0) AS n_notices, coalesce(names, '') AS licenses FROM base LEFT JOIN whole USING (row) LEFT JOIN notices USING (row)"""
+
+
 def known(spark: SparkSession) -> DataFrame:
     """(digest, license) of KNOWN and DIGESTS."""
     rows = spark.createDataFrame(KNOWN, "license string, text string")
@@ -129,12 +152,15 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     units = F.concat(F.array(F.col("text")), F.split("text", r"\r?\n"))
     lines = base.select("row", "doc_id", F.posexplode(units).alias("unit", "t")).select("row", "doc_id", "unit", F.sha2(canonical(F.col("t")), 256).alias("digest"))
     nothing = F.sha2(F.lit(""), 256)
-    found = lines.join(licenses, "digest", "left").where((F.col("unit") == 0) | (F.col("license").isNotNull() & (F.col("digest") != nothing)))
+    # blank lines go before the join, blank texts get a key of their own: neither is a hot key
+    lines = lines.where((F.col("unit") == 0) | (F.col("digest") != nothing))
+    lines = lines.withColumn("digest", F.when(F.col("digest") == nothing, F.col("row").cast("string")).otherwise(F.col("digest")))
+    found = lines.join(licenses, "digest", "left").where((F.col("unit") == 0) | F.col("license").isNotNull())
     return (
         found.groupBy("row")
         .agg(
             F.first("doc_id").alias("doc_id"),
-            F.min(F.when((F.col("unit") == 0) & (F.col("digest") != nothing), F.col("license"))).alias("whole_license"),
+            F.min(F.when(F.col("unit") == 0, F.col("license"))).alias("whole_license"),
             F.count(F.when((F.col("unit") > 0) & F.col("license").isNotNull(), 1)).alias("n_notices"),
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("unit") > 0, F.col("license")))), ",").alias("licenses"),
         )

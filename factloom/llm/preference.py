@@ -4,7 +4,8 @@ Chosen and rejected conversations of a pair are aligned turn by turn; their long
 once as the prompt, the rest of either as its completion. A mask lists the character spans of a completion that are
 trained on: the text of assistant turns with the end mark.
 
-Turns are ordered by turn, ties by role and text; null texts are empty, null roles "unknown". A pair with one side alone
+Turns are ordered by turn, nulls first, ties by role and text, and repeated rows are turns of their own; a conversation is one row of the
+result, whole, whatever its length; null texts are empty, null roles "unknown". A pair with one side alone
 has that side as its prompt-less completion and an empty other one. Equal conversations share all but their last turn, so that
 there is something to complete. Null pair ids take no part; an empty table gives no rows; further columns are ignored.
 """
@@ -76,16 +77,40 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def neighbour_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen: every conversation; rejected: the same with its last turn's text from the conversation beside it (conv_id xor 1).
+    """Chosen: every conversation; rejected: the same with one turn changed, by conv_id mod 3 its last turn's or its middle turn's text taken
+    from the last turn of the conversation beside it (conv_id xor 1), or its middle turn left out.
 
-    The synthetic conversations hold no rejected answers; a neighbour's stands in for one. A conversation without a
-    neighbour has its last turn left out instead.
+    The synthetic conversations hold no rejected answers; a neighbour's stands in for one. Where there is no neighbour, the
+    turn is left out. Turns are counted in the order of ``preferences``, so that repeated and null turn numbers have a place.
     """
-    turns = turns.select("conv_id", "turn", "role", "text")
-    last = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("other"), F.max("turn").alias("last"))
-    beside = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), "other")
-    ends = last.select("conv_id", "last").join(beside, "conv_id", "left")
-    joined = turns.join(ends, "conv_id").where((F.col("turn") < F.col("last")) | F.col("other").isNotNull())
-    rejected = joined.withColumn("text", F.when(F.col("turn") == F.col("last"), F.col("other")).otherwise(F.col("text")))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text", F.row_number().over(order).alias("pos"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    beside = rows.where("pos = n").select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.coalesce("text", F.lit("")).alias("other"))
+    kind = F.pmod("conv_id", F.lit(3))
+    changed = F.col("pos") == F.when(kind == 0, F.col("n")).otherwise(F.expr("(n + 1) DIV 2"))
+    joined = rows.join(beside, "conv_id", "left").where(~(changed & ((kind == 2) | F.col("other").isNull())))
+    rejected = joined.withColumn("text", F.when(changed, F.col("other")).otherwise(F.col("text")))
     as_pair = lambda df: df.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     return as_pair(turns), as_pair(rejected)
+
+
+_ORDER = "row_number() OVER (PARTITION BY {} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)"
+_SIDE = f"""SELECT conv_id AS pair_id, {_ORDER.format("conv_id")} - 1 AS pos, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM"""
+_TURN = f"""'{OPEN}' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)"""
+
+
+def _completion_sql(side: str) -> str:
+    """(pair_id, text, mask) of the turns of a side from the common prefix on."""
+    return f"""SELECT pair_id, string_agg(turn, '' ORDER BY pos) AS text, coalesce(string_agg((upto - length(turn) + length(role) + {len(OPEN) + len(MIDDLE)})::VARCHAR || ':' || (upto - 1)::VARCHAR, ',' ORDER BY pos) FILTER (role = 'assistant'), '') AS mask
+ FROM (SELECT *, sum(length(turn)) OVER (PARTITION BY pair_id ORDER BY pos) AS upto FROM (SELECT s.*, {_TURN} AS turn FROM {side} s JOIN c USING (pair_id) WHERE pos >= n_common)) GROUP BY pair_id"""
+
+
+#: DuckDB's SQL for ``preferences(*neighbour_pairs(conversations))``.
+ORACLE = f"""WITH t AS (SELECT *, {_ORDER.format("conv_id")} AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id IS NOT NULL),
+j AS (SELECT t.*, l.other, pos = CASE WHEN conv_id % 3 = 0 THEN n ELSE (n + 1) // 2 END AS changed FROM t LEFT JOIN (SELECT xor(conv_id, 1) AS conv_id, coalesce(text, '') AS other FROM t WHERE pos = n) l USING (conv_id)),
+x AS (SELECT conv_id, turn, role, CASE WHEN changed THEN other ELSE text END AS text FROM j WHERE NOT (changed AND (conv_id % 3 = 2 OR other IS NULL))),
+a AS ({_SIDE} conversations WHERE conv_id IS NOT NULL), b AS ({_SIDE} x),
+c AS (SELECT pair_id, CAST(coalesce(min(pos) FILTER (a.role IS NULL OR b.role IS NULL OR a.role <> b.role OR a.text <> b.text), max(pos)) AS INT) AS n_common FROM a FULL JOIN b USING (pair_id, pos) GROUP BY pair_id),
+p AS (SELECT pair_id, string_agg({_TURN}, '' ORDER BY pos) AS prompt FROM a JOIN c USING (pair_id) WHERE pos < n_common GROUP BY pair_id)
+SELECT pair_id, n_common, coalesce(prompt, '') AS prompt, coalesce(y.text, '') AS chosen, coalesce(y.mask, '') AS chosen_mask, coalesce(z.text, '') AS rejected, coalesce(z.mask, '') AS rejected_mask
+FROM c LEFT JOIN p USING (pair_id) LEFT JOIN ({_completion_sql("a")}) y USING (pair_id) LEFT JOIN ({_completion_sql("b")}) z USING (pair_id)"""

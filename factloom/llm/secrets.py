@@ -6,8 +6,9 @@ scope - the document's run of text without a blank line -, done as one sorted sw
 interval that ends before and the nearest that begins after. A weak secret needs an identifier or endpoint within
 ``reach`` characters, a weak identifier a secret, an endpoint both.
 
-Offsets are code points, end exclusive. Null text is empty; each row is a document of its own even if its doc_id
-repeats; spans of several kinds may overlap, ties of start go by kind as listed in KINDS; an empty table gives no rows.
+Offsets are code points, end exclusive. Null text is empty; texts and runs of any length are matched whole; each row is a document of
+its own even if its doc_id repeats; spans of several kinds may overlap, ties of start go by kind as listed in KINDS; an empty table gives
+no rows; further columns are ignored, and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.tables import named
+
 REACH = 200
 #: kind: (class, strong, pattern, shortest match, group whose length counts). Strong kinds first, in order.
 KINDS = {
@@ -23,18 +26,18 @@ KINDS = {
     "access": ("identity", True, r"AKIA[A-Z0-9]{16,}", 20, 0),
     "hex": ("secret", True, r"[0-9a-f]{24,}", 24, 0),
     "account": ("identity", False, r"""(?i)(?<![a-z])(user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 3, 2),
-    "opaque": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{20,}", 20, 0),
+    "opaque": ("secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}", 20, 0),
     "endpoint": (
         "endpoint",
         False,
-        r"""(?:https?|ftp|ssh|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]{1,63}\.){1,8}(?:com|net|org|io|dev|cloud|internal)(?![A-Za-z0-9-])""",
+        r"""(?:https?|ftp|ssh|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++(?<=\.(?:com|net|org|io|dev|cloud|internal))(?![A-Za-z0-9-])""",
         5,
         0,
     ),
 }
 STRONG = [k for k, v in KINDS.items() if v[1]]
 #: A text without any of these has no part that is ever reported: links need a secret.
-CANDIDATE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{20}"""
+CANDIDATE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20}"""
 SCOPE = r"\n[ \t]*\n"
 
 
@@ -115,7 +118,7 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = "[REDACTED]") -> Dat
     """``docs`` with every reported span of text replaced by ``mask`` (overlapping ones by one) and n_chars made to fit."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     clean = docs.where(~text.rlike(CANDIDATE))
-    whole = F.struct(*[F.col(c) for c in docs.columns])
+    whole = F.struct(*[named(c).alias(c) for c in docs.columns])
     some = docs.where(text.rlike(CANDIDATE)).select(F.monotonically_increasing_id().alias("row"), whole.alias("whole"), text.alias("text"))
     some = some.withColumn("doc_id", F.col("whole"))  # the row itself takes the id's place
     spans = _scanned_rows(some, reach)
@@ -130,7 +133,7 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = "[REDACTED]") -> Dat
         F.concat(merged.out, F.substring(F.col("text"), merged.to.cast("int") + 1, F.length("text")))
     )
     done = spans.select(
-        *[new.alias(c) if c == "text" else F.when(F.size("spans") == 0, F.col(f"whole.{c}")).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"whole.{c}").alias(c) for c in docs.columns]
+        *[new.alias(c) if c == "text" else F.when(F.size("spans") == 0, F.col("whole").getField(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("whole").getField(c).alias(c) for c in docs.columns]
     )
     return clean.unionByName(done)
 

@@ -1,13 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed over each clause: insults and threats give weight, targets raise it, negation and reported
-speech take what follows them into classes of their own. The score is a logistic function of the matched clauses' sums by
-class, not of isolated words. The insult transducer's stems are learned from labelled training rows: words, and stems of
-four to six letters with any ending, that toxic texts hold far more often than clean ones and in several contexts (copies
-of one text are one context). The weights of the classes are fitted to a bounded sample of labelled rows.
-
-Null and empty texts have no clause and get the score of that; a row is scored by its own text alone; without labels the
-fixed lists and weights hold; an empty table gives no rows; further columns are ignored.
+A text is a string over a small alphabet: what a lexicon takes each word for, quotation marks and ends. Four transducers are
+composed over it, each reading what the one before wrote: negation marks the insults and threats in its reach, reported speech those
+after a reporting verb or between quotation marks, threat joins a threatening verb to its object, and target, which guesses a
+clause's kind and is held to it at the clause's end, tells insults beside a target from plain ones. The arcs of the composition bear
+classes, the insults' weights are summed by class, and the score is a logistic function of the classes' sums and of the
+heaviest clause: matched clauses count, not isolated words.
+
+The lexicon's insults are learned from labelled training rows: words, and stems of four to six letters with any ending, that
+toxic texts hold far more often than clean ones and in several contexts (copies of one text are one context). The weights of
+the classes are fitted to a bounded sample of labelled rows.
+
+Null and empty texts have no clause and get the score of that; a text of any length is scored whole; a row is scored by its own text
+alone, so equal texts score equally; without labels the fixed lists and weights hold; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +31,134 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.durable import durable
+from factloom.llm.kernels import Bitmap
 
-#: Bounds of what is learned: terms that reach the driver, and labelled rows that are learned from, picked by hash of the id.
-TERMS, SAMPLE = 20_000, 50_000
+#: Labelled rows that are learned from, picked by hash of the id.
+SAMPLE = 50_000
+#: Share of the toxic texts that must hold a term. The learned terms are at most 1 / SHARE times the distinct terms of a toxic text of mean length.
+SHARE, RATIO = 0.01, 3.0
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-PART = re.compile(r"[^\W\d_]+|[.!?;\n]+|[\"“”„«»]")
+PART = re.compile(r"[^\W\d_]+(?:'t\b)?|[.!?;]+|[\"“”„«»]")
 #: Small word lists of the grammar, in four languages.
 INSULTS = "idiot idiots moron morons imbecile scum loser losers trash worthless pathetic stupid disgusting clown bastard dumbass abschaum trottel dummkopf salaud connard imbécile estúpido imbécil basura".split()
 THREATS = "kill hurt destroy beat stab shoot burn strangle töten umbringen verprügeln tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your u they them he she him her his their du dich dir ihr euch sie tu te toi vous il elle ils elles usted ustedes él ella ellos".split()
-NEGATIONS = "not no never nobody none neither isn't aren't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split()
+TARGETS = "you your u they them he she him her his their du ihr sie tu toi vous il elle ils elles usted ustedes él ella ellos".split()
+OBJECTS = "dich dir euch ihn ihm te".split()
+NEGATIONS = "not no never nobody none neither isn't aren't don't won't didn't doesn't wasn't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say called calls wrote claimed reported quoted told sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".split()
 CLASSES = ("plain", "targeted", "negated", "reported", "threat")
 REACH = 3
 
+#: The alphabet: an insult, a threatening verb, a target, an object that may stand before its verb, a negation, a reporting verb,
+#: a quotation mark, a clause's end, a paragraph's end, any other word.
+INSULT, THREAT, TARGET, OBJECT, NOT, SAID, QUOTE, END, BREAK, OTHER = "i t g o n s q . / w".split()
+ALPHABET = (INSULT, THREAT, TARGET, OBJECT, NOT, SAID, QUOTE, END, BREAK, OTHER)
+
+
+@dataclass
+class Transducer:
+    """``arcs``: state -> symbol read -> (symbol written, next state) of each arc. Every state may end a string."""
+
+    start: tuple
+    arcs: dict[object, dict[str, list[tuple[str, object]]]]
+
+    def paths(self, symbols: list[str]) -> list[list[str]]:
+        """What every path over ``symbols`` writes."""
+        live = [([], q) for q in self.start]
+        for s in symbols:
+            live = [([*out, o], q2) for out, q in live for o, q2 in self.arcs[q].get(s, ())]
+        return [out for out, _ in live]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The transducer that writes what ``b`` does of what ``a`` writes: the product's states that can be reached."""
+    start = tuple((p, q) for p in a.start for q in b.start)
+    arcs: dict = {}
+    todo = list(start)
+    while todo:
+        p, q = at = todo.pop()
+        if at in arcs:
+            continue
+        arcs[at] = {s: [(o2, (p2, q2)) for o, p2 in outs for o2, q2 in b.arcs[q].get(o, ())] for s, outs in a.arcs[p].items()}
+        todo += [to for outs in arcs[at].values() for _, to in outs]
+    return Transducer(start, arcs)
+
+
+def negation() -> Transducer:
+    """Insults and threats within REACH words after a negation are written with "-"."""
+    arcs = {}
+    for left in range(REACH + 1):
+        arcs[left] = {s: [(s + "-" if left and s in (INSULT, THREAT) else s, 0 if s in (END, BREAK) else REACH if s == NOT else max(0, left - 1))] for s in ALPHABET}
+    return Transducer((0,), arcs)
+
+
+def reported() -> Transducer:
+    """Insults and threats after a reporting verb of the clause, or between quotation marks of the paragraph, are written with "~"."""
+    arcs = {}
+    for said in (0, 1):
+        for quoted in (0, 1):
+            row = arcs[said, quoted] = {}
+            for s in (*ALPHABET, INSULT + "-", THREAT + "-"):
+                to = {END: (0, quoted), BREAK: (0, 0), SAID: (1, quoted), QUOTE: (said, 1 - quoted)}.get(s, (said, quoted))
+                row[s] = [(s + "~" if (said or quoted) and s in (INSULT, THREAT) else s, to)]
+    return Transducer(((0, 0),), arcs)
+
+
+MARKS = ("", "-", "~")
+
+
+def threat() -> Transducer:
+    """A threatening verb and its object, at most REACH words behind it, or before it where the object has a form of its own, are written as
+    "T" (with the verb's mark) at the later of the two; other verbs as words."""
+    arcs = {}
+    states = [None, *((m, k) for m in (*MARKS, OBJECT) for k in range(1, REACH + 1))]
+    verbs = {THREAT + m: m for m in MARKS}
+    for state in states:
+        mark, left = state or (None, 0)
+        aged = (mark, left - 1) if left > 1 else None
+        row = arcs[state] = {s: [(s, None if s in (END, BREAK) else aged)] for s in (*ALPHABET, INSULT + "-", INSULT + "~")}
+        for s, m in verbs.items():
+            row[s] = [("T" + m, None)] if mark == OBJECT else [(OTHER, (m, REACH))]
+        for s in (TARGET, OBJECT):
+            if mark in MARKS:
+                row[s] = [("T" + mark, None)]
+            elif s == OBJECT:
+                row[s] = [(s, (OBJECT, REACH))]
+    return Transducer((None,), arcs)
+
+
+def target() -> Transducer:
+    """Classes, and "." at a clause's end. A clause is guessed to have no target ("no"), or one that is to come ("due") or has come ("met"); a
+    wrong guess has no arc for the symbol that shows it to be wrong, so that one path of each string is left."""
+    of = {INSULT + "-": "negated", INSULT + "~": "reported", "T": "threat", "T-": "negated", "T~": "reported"}
+    arcs: dict = {q: {} for q in ("no", "due", "met")}
+    for s in (*ALPHABET, *of):
+        for q, row in arcs.items():
+            if s in (END, BREAK):
+                row[s] = [] if q == "due" else [(".", "no"), (".", "due")]
+            elif s in (TARGET, OBJECT) or s[0] == "T":
+                row[s] = [] if q == "no" else [(of.get(s, ""), "met")]
+            elif s == INSULT:
+                row[s] = [("plain" if q == "no" else "targeted", q)]
+            else:
+                row[s] = [(of.get(s, ""), q)]
+    return Transducer(("no", "due"), arcs)
+
+
+@cache
+def grammar_machine() -> Transducer:
+    return reduce(compose, (negation(), reported(), threat(), target()))
+
+
+@cache
+def _table() -> tuple[tuple[int, ...], list[dict[str, list[tuple[int, int]]]]]:
+    """The composed machine with numbered states and classes: -1 writes nothing, -2 ends a clause."""
+    m = grammar_machine()
+    number = {q: k for k, q in enumerate(m.arcs)}
+    code = {"": -1, ".": -2} | {c: k for k, c in enumerate(CLASSES)}
+    return tuple(number[q] for q in m.start), [{s: [(code[o], number[q]) for o, q in outs] for s, outs in row.items()} for row in m.arcs.values()]
+
 
 @dataclass
 class Grammar:
@@ -51,7 +170,7 @@ class Grammar:
 
 
 class Scorer:
-    """The composed transducers. States of the scope transducer: how far a negation still reaches, and whether speech is reported."""
+    """The lexicon in front of the composed transducers."""
 
     def __init__(self, grammar: Grammar) -> None:
         terms = grammar.terms
@@ -68,66 +187,48 @@ class Scorer:
                 return w
 
         self.insults = Insults()
-        self.threats, self.targets, self.negations, self.reports = map(frozenset, (THREATS, TARGETS, NEGATIONS, REPORTS))
+        self.threats = frozenset(THREATS)
+        self.symbols = {w: s for s, words in ((THREAT, THREATS), (OBJECT, OBJECTS), (TARGET, TARGETS), (SAID, REPORTS), (NOT, NEGATIONS)) for w in words}
+        self.symbols |= dict.fromkeys('"“”„«»', QUOTE)
+        self.start, self.arcs = _table()
 
     def features(self, text: str) -> list[float]:
-        """log(1 + sum) of each class's clause weights, and the heaviest clause's."""
+        """log(1 + sum) of each class's weights over the text's clauses, and the heaviest clause's."""
+        sums, heaviest = [0.0] * len(CLASSES), 0.0
         low = text.lower()
         words = WORD.findall(low)
-        if not any(map(self.insults.__getitem__, words)) and self.threats.isdisjoint(words):
-            return [0.0] * (len(CLASSES) + 1)
-        sums = dict.fromkeys(CLASSES, 0.0)
-        heaviest = 0.0
-        for clause in self._clauses(low):
-            got = self._clause(clause)
-            for c, w in got.items():
-                sums[c] += w
-            heaviest = max(heaviest, sum(got.values()))
-        return [math.log1p(sums[c]) for c in CLASSES] + [math.log1p(heaviest)]
-
-    @staticmethod
-    def _clauses(low: str) -> Iterator[list[str]]:
-        clause: list[str] = []
-        for t in PART.findall(low):
-            if t[0] in ".!?;\n":
-                if clause:
-                    yield clause
-                clause = []
-            else:
-                clause.append(t)
-        if clause:
-            yield clause
-
-    def _clause(self, clause: list[str]) -> dict[str, float]:
-        out: dict[str, float] = {}
-        negated, reported, quoted, target = 0, False, False, False
-        plain = 0.0
-        for t in clause:
-            if t in '"“”„«»':
-                quoted = not quoted
-                continue
+        if any(map(self.insults.__getitem__, words)) or not self.threats.isdisjoint(words):
+            for part in low.split("\n"):  # no state outlasts a paragraph
+                words = WORD.findall(part)
+                if any(map(self.insults.__getitem__, words)) or not self.threats.isdisjoint(words):
+                    got, most = self.clauses(self.read(part))
+                    sums = [a + b for a, b in zip(sums, got, strict=True)]
+                    heaviest = max(heaviest, most)
+        return [math.log1p(x) for x in sums] + [math.log1p(heaviest)]
+
+    def read(self, part: str) -> list[tuple[str, float]]:
+        """The symbols of a paragraph and their weights."""
+        out = []
+        for t in PART.findall(part.replace("’", "'")):
             w = self.insults[t]
-            if w:
-                if negated:
-                    out["negated"] = out.get("negated", 0.0) + w
-                elif reported or quoted:
-                    out["reported"] = out.get("reported", 0.0) + w
-                else:
-                    plain += w
-            elif t in self.negations:
-                negated = REACH + 1
-            elif t in self.reports:
-                reported = True
-            elif t in self.targets:
-                target = True
-            elif t in self.threats and not negated and not reported:
-                out["threat"] = out.get("threat", 0.0) + 1.0
-            negated = max(0, negated - 1)
-        if not target:
-            out.pop("threat", None)  # a threat is one against somebody
-        if plain:
-            out["targeted" if target else "plain"] = plain
-        return out
+            out.append((INSULT, w) if w else (END, 0.0) if t[0] in ".!?;" else (self.symbols.get(t, OTHER), 1.0))
+        return [*out, (BREAK, 0.0)]
+
+    def clauses(self, symbols: list[tuple[str, float]]) -> tuple[list[float], float]:
+        """Weights by class of the one path that is left, and its heaviest clause."""
+        live = [(q, (0.0,) * len(CLASSES), 0.0, 0.0) for q in self.start]
+        for s, w in symbols:
+            new = []
+            for q, sums, clause, most in live:
+                for c, to in self.arcs[q][s]:
+                    if c >= 0:
+                        new.append((to, (*sums[:c], sums[c] + w, *sums[c + 1 :]), clause + w, most))
+                    elif c == -2:
+                        new.append((to, sums, 0.0, max(most, clause)))
+                    else:
+                        new.append((to, sums, clause, most))
+            live = new
+        return list(live[0][1]), live[0][3]
 
     def score(self, features: list[float]) -> float:
         z = float(self.weights[0] + self.weights[1:] @ np.array(features))
@@ -177,12 +278,22 @@ def _toxic_terms(texts: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
 
 
-def _clean_counts(texts: DataFrame, terms: list[str]) -> dict[str, int]:
-    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(terms))
+def _slot(term: str) -> int:
+    return zlib.crc32(term.encode()) >> (32 - Bitmap.BITS)
+
+
+def _clean_counts(texts: DataFrame, wanted: Bitmap) -> DataFrame:
+    """(term, clean): texts that hold the term, of the terms whose slot is in the bitmap."""
+    held = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = held.value.flags()
         words_of: dict[str, tuple[str, ...]] = {}
         seen: dict[str, int] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 own: set[str] = set()
@@ -191,15 +302,17 @@ def _clean_counts(texts: DataFrame, terms: list[str]) -> dict[str, int]:
                     if got is None:
                         if len(words_of) > 500_000:
                             words_of.clear()
-                        got = words_of[w] = tuple(t for t, _ in _terms([w]) if t in wanted.value)
+                        got = words_of[w] = tuple(t for t, _ in _terms([w]) if flags[_slot(t)])
                     if got:
                         own.update(got)
                 for t in own:
                     seen[t] = seen.get(t, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                if len(seen) > 500_000:
+                    yield out()
+                    seen.clear()
+        yield out()
 
-    rows = texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {r["term"]: r["n"] for r in rows}
+    return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("clean"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -217,8 +330,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, terms: int = TERMS, sample: int = SAMPLE) -> Grammar:
-    """The grammar from at most ``sample`` labelled rows outside the held-out fold; ``terms`` and ``sample`` bound what is gathered."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> Grammar:
+    """The grammar from at most ``sample`` labelled rows outside the held-out fold."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), folds))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = marks.count()
@@ -227,27 +340,28 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, terms: int = TERMS
     marks = durable(marks)  # at most ``sample`` pairs of an id and a mark: texts stay where they are
     train = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     grammar = Grammar()
-    count = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    count = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = count.get(1, 0), count.get(0, 0)
     if not toxic or not clean:
         return grammar
-    least = max(5, math.ceil(toxic * 0.01))
-    found = _toxic_terms(train.where("toxic = 1").select("text")).where((F.col("n") >= least) & (F.col("contexts") >= 4))
-    top = {r["term"]: r["n"] for r in found.orderBy(F.desc("n"), "term").limit(terms).collect()}
-    other = _clean_counts(train.where("toxic = 0").select("text"), list(top))
-    for t, n in top.items():
-        w = math.log((n + 0.5) / (toxic + 1)) - math.log((other.get(t, 0) + 0.5) / (clean + 1))
-        if w >= 3:
-            grammar.terms[t] = w
+    least = max(5, math.ceil(toxic * SHARE))
+    found = durable(_toxic_terms(train.where("toxic = 1").select("text")).where((F.col("n") >= least) & (F.col("contexts") >= 4)))
+    slot = F.shiftright(F.crc32(F.encode("term", "UTF-8")), 32 - Bitmap.BITS)
+    other = _clean_counts(train.where("toxic = 0").select("text"), Bitmap.of(found, slot))
+    ratio = F.log((F.col("n") + 0.5) / (toxic + 1)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / (clean + 1))
+    for r in found.join(other, "term", "left").select("term", ratio.alias("w")).where(F.col("w") >= RATIO).collect():
+        grammar.terms[r["term"]] = r["w"]
     scorer = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer.value.scorer()
         for batch in batches:
             x = [s.features(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], ["doc_id", "x", "y"])
 
-    rows = train.select("text", "toxic").mapInArrow(features, "x array<double>, y int").toArrow()
+    # of rows of one id one, so that the sample's bound is that of the rows sent
+    rows = train.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(features, "doc_id long, x array<double>, y int")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("r.*").toArrow()
     grammar.weights = logistic(np.array(rows.column("x").to_pylist()), np.array(rows.column("y").to_pylist())).tolist()
     return grammar
 

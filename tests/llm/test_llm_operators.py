@@ -1,8 +1,10 @@
 """The ten operators against brute force, round trips and held-out accuracy, on the smallest tables and on edge cases."""
 
 import hashlib
+import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -79,6 +81,43 @@ def test_secret_links(spark):
     assert got == {0: [], 1: ["account", "opaque"], 2: [], 3: [], 4: ["endpoint", "account", "opaque"], 5: ["opaque"], 6: []}
 
 
+def test_secret_runs_of_any_length(spark):
+    """Opaque runs and host names of any length; a text of two million characters."""
+    run = "aB" * 40 + "7" + "cD" * 5
+    texts = [f"login=bob key {run} end", f"{'x' * 2_000_000} login=bob {run}", "at a.b.c.d.e.f.g.h.i.j.k.example.com login=bob " + run, f"{run} alone"]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(docs_of(spark, texts)).collect()}
+    at = texts[0].index(run)
+    assert got[0] == [("account", 0, 9), ("opaque", at, at + len(run))]
+    assert got[1][1][0] == "opaque" and got[1][1][2] == len(texts[1])
+    assert [k for k, _, _ in got[2]] == ["endpoint", "account", "opaque"] and got[2][0][1:] == (3, 36)
+    assert got[3] == []
+
+
+def brute_linked(text, spans):
+    """Reported parts by comparing all pairs: ``spans`` (kind, start, end) of every part found."""
+    borders = [m.span() for m in re.finditer(r"\n[ \t]*\n", text)]
+    scope = lambda s: sum(b[0] < s[1] or (b[0] == s[1] and b[1] <= s[2]) for b in borders)
+    cls = {k: v[0] for k, v in secrets.KINDS.items()}
+
+    def near(s, c):
+        return any(
+            cls[o[0]] == c and o is not s and scope(o) == scope(s) and (0 <= s[1] - o[2] <= secrets.REACH or 0 <= o[1] - s[2] <= secrets.REACH or (o[1] < s[2] and s[1] < o[2])) for o in spans
+        )
+
+    need = {"secret": lambda s: near(s, "identity") or near(s, "endpoint"), "identity": lambda s: near(s, "secret"), "endpoint": lambda s: near(s, "secret") and near(s, "identity")}
+    return sorted(s for s in spans if s[0] in secrets.STRONG or need[cls[s[0]]](s))
+
+
+def test_secret_links_against_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    parts = ["login=bob1", "user: ann", "aB3" * 8, "https://h.example.com/x", "db.example.com", "password=hunter22", "AKIA" + "A1B2C3D4E5F6G7H8", "0123456789abcdef0123456789", "\n\n", "\n \n", "x " * 60, "word", "10.0.0.1"]
+    texts = [" ".join(rng.choice(parts, 14)) for _ in range(60)]
+    found = secrets.parts(docs_of(spark, texts).withColumn("row", F.col("doc_id"))).where("kind IS NOT NULL AND kind <> 'border'").collect()
+    got = {r.doc_id: sorted((s.kind, s.start, s.end) for s in r.spans) for r in secrets.scan(docs_of(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == brute_linked(text, [(r.kind, r.start, r.end) for r in found if r["row"] == i]), text
+
+
 def test_secret_redaction(spark):
     texts = ["a password=abcdef1 b", "token = \"" + "ab12" * 8 + "\" é", "clean", None, ""]
     got = {r.doc_id: r for r in secrets.redact(docs_of(spark, texts)).collect()}
@@ -187,6 +226,86 @@ def test_toxicity_grammar_scores_clauses():
     assert score("") == score("   ") == score("nothing here")
 
 
+def test_toxicity_composition():
+    """The product writes what the four transducers write one after the other, on one path, for all strings of up to three symbols and many longer ones."""
+    chain = (toxicity.negation(), toxicity.reported(), toxicity.threat(), toxicity.target())
+    machine = toxicity.grammar_machine()
+    rng = np.random.default_rng(4)
+    strings = [list(x) for n in range(4) for x in itertools.product(toxicity.ALPHABET, repeat=n)]
+    strings += [rng.choice(toxicity.ALPHABET, int(rng.integers(4, 12))).tolist() for _ in range(1500)]
+    for symbols in strings:
+        symbols = [*symbols, toxicity.BREAK]
+        outs = [symbols]
+        for t in chain:
+            outs = [o for x in outs for o in t.paths(x)]
+        live = machine.paths(symbols)
+        assert sorted(map(tuple, live)) == sorted(map(tuple, outs))
+        assert len(live) == 2 and live[0] == live[1]  # one path, and the two guesses for a clause to come
+
+
+def brute_classes(symbols):
+    """The grammar's rules, said directly: sums by class over clauses."""
+    out = dict.fromkeys(toxicity.CLASSES, 0)
+    quoted, clause = False, []
+    for s in [*symbols, toxicity.BREAK]:
+        if s in (toxicity.END, toxicity.BREAK):
+            target = any(x in "go" for x, _ in clause)
+            said, negated, verbs, objects = False, -9, [], -9
+            for k, (x, q) in enumerate(clause):
+                mark = "negated" if k - negated <= toxicity.REACH else "reported" if said or q else ""
+                if x == "n":
+                    negated = k
+                elif x == "s":
+                    said = True
+                elif x == "i":
+                    out[mark or ("targeted" if target else "plain")] += 1
+                elif x == "t":
+                    if objects >= 0 and k - objects <= toxicity.REACH:
+                        out[mark or "threat"] += 1
+                        verbs, objects = [], -9
+                    else:
+                        verbs, objects = [(k, mark)], -9
+                elif x in "go":
+                    if verbs and k - verbs[-1][0] <= toxicity.REACH:
+                        out[verbs[-1][1] or "threat"] += 1
+                        verbs, objects = [], -9
+                    elif x == "o":
+                        objects, verbs = k, []
+            clause = []
+            quoted = quoted and s == toxicity.END
+        else:
+            quoted ^= s == toxicity.QUOTE
+            clause.append((s, quoted))
+    return [out[c] for c in toxicity.CLASSES]
+
+
+def test_toxicity_rules():
+    scorer = toxicity.Grammar().scorer()
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        symbols = rng.choice([*toxicity.ALPHABET[:9], "w"], int(rng.integers(1, 14)), p=[0.2, 0.15, 0.1, 0.1, 0.1, 0.05, 0.1, 0.08, 0, 0.12]).tolist()
+        got, _ = scorer.clauses([(s, 1.0) for s in [*symbols, toxicity.BREAK]])
+        assert got == brute_classes(symbols), symbols
+
+
+def test_toxicity_speech_and_objects():
+    s = toxicity.Grammar().scorer()
+    by = lambda t: dict(zip(toxicity.CLASSES, s.features(t), strict=False))
+    assert by("You will kill it in the exam!")["threat"] == 0 < by("I will kill you.")["threat"]
+    assert by("Ich werde dich töten")["threat"] > 0
+    assert by("I won't kill you")["negated"] > 0 == by("I won't kill you")["threat"]
+    assert by('A "you idiot. What a moron" it was.')["plain"] == 0 < by('A "b. c" it was, idiot.')["plain"]
+
+
+def test_toxicity_learns_every_term(spark):
+    """More terms than any bound on their number: all of them are weighed."""
+    stems = [a + b + c + d for a, b, c, d in itertools.product("bcdfghjk", "aeiou", "lmnprst", "aeiou")][:300]
+    rows = [(k, " ".join(f"{before} {x}" for x in stems[(k % 3) * 100 : (k % 3) * 100 + 100]) if k % 2 else f"{before} plain words", k % 2) for k, before in enumerate("ab cd ef gh ij kl mn op qr st uv wx yz".split() * 10)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    grammar = toxicity.learn(docs, spark.createDataFrame([(i, 0, t) for i, _, t in rows], "doc_id long, quality int, toxic int"))
+    assert all(x in grammar.terms for x in stems)
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -441,6 +560,55 @@ def test_main_text_without_landmarks():
     assert main_text.text_of("<p>cut <script>var x='<p>'", weights) == "cut"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="content no-sidebar"><p>Some text.</p></div>', "Some text."),
+        ('<div class="post has-comments share"><p>Some text.</p></div>', "Some text."),
+        ("<form action=x><h1>T</h1><p>one two three</p><input></form>", "T\none two three"),
+        ("<div><aside>note</div><p>one two three four</p>", "one two three four"),
+        ("<main><h1>Title</h1><article><p>a b c</p></article></main>", "Title\na b c"),
+        ("<article><p>a b</p></article><div class=ad>buy</div><article><p>c d e</p></article>", "a b\nc d e"),
+        ("<p>one two three</p><table><tr><td>1<td>2<tr><td>3<td>4</table><p>last words</p>", "one two three\n1\n2\n3\n4\nlast words"),
+        ("<p data-x=it's>text of it's</p><p>more</p>", "text of it's\nmore"),
+        ('<p>a <span class="ad">no</span>b <a title="x > y">c</a></p>', "a b c"),
+        ("<article><p>a b</p><section id=comments><article class=comment>me too</article></section></article><p>x</p>", "a b"),
+        ("<nav><a>Home</a></nav>", ""),
+        ("<body><nav>" + "menu " * 9 + "</nav><form><article>" + "word " * 70 + "</article></form>", ("word " * 70).strip()),
+    ],
+)
+def test_main_text_keeps_content(page, text):
+    assert main_text.text_of(page, main_text.fit([])) == text
+
+
+def test_main_text_by_weights_alone(spark):
+    """With the naming tags taken out of the pages the run that the weights find is the text that the tags name."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    weights = main_text.fit(pages)
+    same = [main_text.text_of(re.sub("</?article>", "", h), weights) == main_text.text_of(h, weights) for h in pages]
+    assert np.mean(same) > 0.98
+
+
+def test_best_run():
+    rng = np.random.default_rng(9)
+    for n in (*range(9), 30):
+        for _ in range(40):
+            scores = rng.integers(-3, 4, n).tolist()
+            a, b = main_text.best_run(scores)
+            assert sum(scores[a:b]) == max([0, *(sum(scores[i:j]) for i in range(n) for j in range(i + 1, n + 1))])
+
+
+@pytest.mark.parametrize("unit", ['<a href="x', "<a b='", '<a href="x>', "<ul><b>", "<p class=ad>", "<b><li>", "<!--", "<", "&amp;"])
+def test_main_text_of_broken_pages_is_linear(unit):
+    weights = main_text.fit([])
+    took = []
+    for k in (10_000, 80_000):
+        began = time.process_time()
+        main_text.text_of(unit * k + '>"', weights)
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * took[0] + 0.2
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
