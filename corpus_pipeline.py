@@ -2,6 +2,10 @@
 
 Toxic documents go, one document of each group of near copies stays, documents with benchmark passages go, secrets are masked
 in the texts that stay, and what is left is packed into sequences. Each stage is written to the shared folder and reread by the next.
+
+Null and empty texts are kept by every stage and packed as an end token; texts of any length are worked on whole; of rows equal in every
+column one stays; of near copies with one doc_id the least row by content; an empty table gives no rows; all but the last stage keep
+all columns, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from factloom.llm import decontaminate, ngram_join, packing, secrets, toxicity
 from factloom.llm.durable import durable
 from factloom.llm.entries import tokenizer_path
-from factloom.llm.tables import table, unused
+from factloom.llm.tables import named, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _row(docs: DataFrame) -> Column:
     """A number that follows from a row's content alone: it stays the same however often, and on whatever executors, files are read."""
-    return F.xxhash64(*docs.columns)
+    return F.xxhash64(*[F.to_json(F.struct(named(f.name))) if "map<" in f.dataType.simpleString() else named(f.name) for f in docs.schema.fields])
 
 
 def _kept(docs: DataFrame, rows: DataFrame, once: bool = False) -> DataFrame:
