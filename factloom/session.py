@@ -23,8 +23,11 @@ def session(app: str = "factloom", **conf: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the folder of spark.checkpoint.dir; one is made only where that is unset."""
+    """``df`` with its lineage cut in the folder of spark.checkpoint.dir; where that is unset, one is made only if all runs on this machine."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
