@@ -39,6 +39,14 @@ def check_budget(files: DataFrame, entries: int, total: int) -> None:
         raise ValueError(f"byte_budget: {size} bytes, limit {total}")
 
 
+def budget_report(files: DataFrame, by: list[str], entries: int, total: int) -> DataFrame:
+    """Per group of ``files`` its entries and bytes, and why a snapshot of it is refused; null if it is within its limits."""
+    per = files.groupBy(*by).agg(F.count("*").alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    say = lambda what, n, unit, limit: F.concat(F.lit(f"{what}: "), n.cast("string"), F.lit(f" {unit}, limit {limit}"))
+    n, size = F.col("entries"), F.col("bytes")
+    return per.withColumn("refused", F.when(n > entries, say("entry_budget", n, "entries", entries)).when(size > total, say("byte_budget", size, "bytes", total)))
+
+
 def scan_profile(policies: DataFrame) -> DataFrame:
     """One digest of all (path, blob) of the ignore policies, in path order."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("path", "blob"))), lambda p: F.concat_ws("=", p.path, p.blob))

@@ -123,3 +123,13 @@ def invalid_flow(bindings: DataFrame, scopes: DataFrame, references: DataFrame)
     parent = scopes.where("parent IS NOT NULL").join(s.withColumnRenamed("scope", "parent"), ["fn", "parent"], "left_anti").select("fn", "id", F.lit("scope_without_parent").alias("problem"))
     refs = references.join(b, ["fn", "binding"], "left_anti").select("fn", "id", F.lit("unknown_binding").alias("problem"))
     return twice(scopes, "scope").unionByName(twice(bindings, "binding")).unionByName(loose).unionByName(parent).unionByName(refs)
+
+
+def invalid_cover(bindings: DataFrame, symbols: DataFrame, budget: int) -> DataFrame:
+    """(fn, id, problem), id null: functions with more bindings than ``budget``, flows of no symbol (fn), and symbols without a flow."""
+    per = bindings.groupBy("fn").agg(F.count("*").alias("n"))
+    row = lambda df, what: df.select("fn", F.lit(None).cast("long").alias("id"), F.lit(what).alias("problem"))
+    known = symbols.select("fn").distinct()
+    loose = per.join(known, "fn", "left_anti")
+    bare = known.join(per, "fn", "left_anti")
+    return row(per.where(F.col("n") > budget), "binding_budget").unionByName(row(loose, "flow_of_no_symbol")).unionByName(row(bare, "symbol_without_flow"))

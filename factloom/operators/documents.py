@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import boundary_before, bytes_at, line_of
-
 WINDOW_LIMIT = 65_536
 
 
@@ -27,21 +25,52 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def source_window(rows: DataFrame, start: Column, size: int) -> DataFrame:
-    """``rows`` (text, lo, hi: the entity's span) with w_start, w_end, start_line, truncated, window. The window lies inside the span, and its
-    end moves back to a character border."""
+def lines(files: DataFrame) -> DataFrame:
+    """(path, line_no, start, line) of every line of ``files`` (path, text); start in bytes."""
+    rows = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long")
+    return rows.select("path", (F.col("i") + 1).cast("long").alias("line_no"), start.alias("start"), "line")
+
+
+def line_numbers(positions: DataFrame, files: DataFrame) -> DataFrame:
+    """``positions`` (id, path, at) with the 1-based line of each byte ``at``: one sweep over the lines' beginnings and the positions of a file."""
+    marks = lines(files).select(F.lit(None).cast(positions.schema["id"].dataType).alias("id"), "path", F.col("start").alias("at"), "line_no")
+    both = marks.unionByName(positions.select("id", "path", F.col("at").cast("long").alias("at"), F.lit(None).cast("long").alias("line_no")))
+    sweep = Window.partitionBy("path").orderBy("at", F.col("line_no").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("line_no", F.max("line_no").over(sweep)).where("id IS NOT NULL")
+
+
+def source_windows(spans: DataFrame, files: DataFrame, size: int) -> DataFrame:
+    """``spans`` (id, path, lo, hi) with w_start, w_end, start_line, truncated, window: at most ``size`` bytes from lo on, the end moved back to a
+    character border. A file's text meets all of its spans once."""
     size = min(size, WINDOW_LIMIT)
-    a = F.greatest(start, F.col("lo"))
-    b = boundary_before(F.col("text"), F.least(a + size, F.col("hi")))
-    return rows.withColumns(
-        {
-            "w_start": a,
-            "w_end": b,
-            "start_line": line_of(F.col("text"), a),
-            "truncated": b < F.col("hi"),
-            "window": F.decode(bytes_at(F.col("text"), a, b - a), "UTF-8"),
-        }
-    )
+    per = spans.groupBy("path").agg(F.collect_list(F.struct("id", "lo", "hi")).alias("spans"))
+    raw = files.join(per, "path").select("path", F.encode("text", "UTF-8").alias("raw"), "spans")
+
+    def window(s: Column) -> Column:
+        want = F.least(s.lo + size, s.hi)
+        # a byte that continues a character is 10xxxxxx; the end of the span is a border
+        inner = lambda at: F.conv(F.hex(F.substring("raw", (at + 1).cast("int"), F.lit(1))), 16, 10).cast("int").bitwiseAND(F.lit(0xC0)) == 0x80
+        end = F.when(want == s.hi, want).otherwise(F.coalesce(*[F.when(~inner(want - k), want - k) for k in range(4)], want))
+        return F.struct(s.id.alias("id"), s.lo.alias("w_start"), end.alias("w_end"), (end < s.hi).alias("truncated"), F.decode(F.substring("raw", (s.lo + 1).cast("int"), (end - s.lo).cast("int")), "UTF-8").alias("window"))
+
+    cut = raw.select("path", F.explode(F.transform("spans", window)).alias("w")).select("path", "w.*")
+    at = line_numbers(spans.select("id", "path", F.col("lo").alias("at")), files).select("id", F.col("line_no").alias("start_line"))
+    return cut.join(at, "id")
+
+
+def frame_offsets(frames: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(id, path, line, column, byte_offset, line_text) of stack frames (id, frame) inside ``root``: where the line begins in bytes, and 200 characters
+    of it. A line beyond the file's end begins at its end. Frames without a place, or of no known file, are left out."""
+    clean = F.regexp_replace(F.trim(F.col("frame")), r"\)+$", "")
+    place = lambda k: F.regexp_extract(clean, r"^(.*):(\d+):(\d+)$", k)
+    rows = frames.select("id", F.when(place(1).contains(f"{root}/"), F.substring_index(place(1), f"{root}/", -1)).alias("path"), place(2).cast("long").alias("line"), place(3).cast("long").alias("column"))
+    rows = rows.where("path <> '' AND line > 0").join(files.select("path", F.octet_length("text").cast("long").alias("bytes")), "path")
+    found = lines(files).select("path", F.col("line_no").alias("line"), "start", F.col("line").alias("text"))
+    rows = rows.join(found, ["path", "line"], "left")
+    text = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r$", ""), 1, 200)
+    return rows.select("id", "path", "line", "column", F.coalesce("start", "bytes").alias("byte_offset"), text.alias("line_text"))
 
 
 def leading_comment(before: Column) -> Column:

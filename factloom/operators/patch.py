@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.versions import node_diff
+
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 LINES = "patch string, path string, op string, hunk int, seq int, old_start int, kind string, line string, problem string"
 
@@ -55,6 +57,9 @@ def hunk_lines(text: str) -> Iterator[tuple]:
             i, seq = i + 1, 0
             while left > 0 or right > 0:
                 got = lines[i] if i < len(lines) else None
+                if got is not None and seq and got.startswith("\\ "):  # says that the line before has no newline
+                    i += 1
+                    continue
                 if got is None or (got[:1] not in " +-" and got != ""):
                     yield bad("hunk_too_short")
                     return
@@ -120,3 +125,26 @@ def apply(lines: DataFrame, files: DataFrame) -> DataFrame:
     )
     new_text = F.when(F.col("op") == "create", F.concat(text, F.lit("\n"))).when(F.col("op") == "modify", text)
     return out.select("patch", "path", "op", problem.alias("problem"), F.when(problem.isNull(), new_text).alias("text"))
+
+
+def verify(applied: DataFrame, files: DataFrame) -> DataFrame:
+    """What the applied patches change in ``files`` (path, text), found by reading the changed copy again; refused patches change nothing."""
+
+    def nodes(df: DataFrame) -> DataFrame:
+        name = F.element_at(F.split("path", "/", -1), -1)
+        return df.select(F.lit("file").alias("kind"), "path", name.alias("name"), F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), F.sha2("text", 256).alias("blob"))
+
+    done = applied.where("problem IS NULL")
+    after = files.select("path", "text").join(done.select("path"), "path", "left_anti").unionByName(done.where("text IS NOT NULL").select("path", "text"))
+    return node_diff(nodes(files), nodes(after))
+
+
+def proposal_entity(proposals: DataFrame, entities: DataFrame, lines: DataFrame) -> DataFrame:
+    """(patch, entity, creates) of proposals (patch, reference): the entity (id, path) that is named by id or path; else the file that the patch creates, if
+    it does nothing but create and creates exactly that path; else null."""
+    known = entities.select("id", F.col("id").alias("reference")).unionByName(entities.select("id", F.col("path").alias("reference"))).groupBy("reference").agg(F.min("id").alias("found"))
+    made = lines.groupBy("patch").agg(F.bool_and(F.col("op").eqNullSafe("create") & F.col("problem").isNull()).alias("only"), F.collect_set(F.when(F.col("op") == "create", F.col("path"))).alias("paths"))
+    rows = proposals.join(known, "reference", "left").join(made, "patch", "left")
+    wanted = F.regexp_replace("reference", "^file:", "")
+    creates = F.col("found").isNull() & F.coalesce(F.col("only") & F.array_contains("paths", wanted), F.lit(False))
+    return rows.select("patch", F.coalesce("found", F.when(creates, F.concat(F.lit("file:"), wanted))).alias("entity"), creates.alias("creates"))

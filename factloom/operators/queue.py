@@ -112,3 +112,8 @@ def threads(messages: DataFrame) -> DataFrame:
     rows = messages.withColumn("place", F.row_number().over(w))
     state = F.when(F.bool_or(F.col("kind") == "export"), "exported").when(F.bool_or(F.col("kind") == "proposal"), "proposal_linked").when(F.max("place") > 1, "discussing").otherwise("draft")
     return rows.groupBy("thread").agg(F.max("place").cast("long").alias("n"), state.alias("state"), F.max_by("id", "place").alias("last"))
+
+
+def insert_or_ignore(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``held`` and those rows of ``new`` whose keys it has not. With the sides exchanged, new rows replace held ones."""
+    return held.unionByName(new.join(held.select(*keys), keys, "left_anti"))

@@ -89,3 +89,14 @@ def members(nodes: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, per: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group in ``order``."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("place") <= n)
+
+
+def request_problem(page: Column, kind: Column, nodes: Column, edges: Column) -> Column:
+    """What is wrong with a request's bounds, first things first; null if nothing is."""
+    within = lambda c, top: (c >= 1) & (c <= top)
+    return (
+        F.when(~within(page, PAGE_LIMIT), "invalid_limit")
+        .when(~kind.isin(*NODE_KINDS), "invalid_kind")
+        .when(~within(nodes, 500), "invalid_node_budget")
+        .when(~within(edges, 2000), "invalid_edge_budget")
+    )

@@ -38,20 +38,20 @@ def relocate(old: DataFrame, new: DataFrame) -> DataFrame:
     """Where each entity of ``old`` (id, path, name, blob) is in ``new``: the same path and name if unique, else the same bytes, else the same
     name; otherwise it is ambiguous or has no counterpart. Candidates share the path or the name."""
     n = new.select(F.col("id").alias("to_id"), F.col("path").alias("to_path"), F.col("name").alias("to_name"), F.col("blob").alias("to_blob"))
-    by_name = old.join(n, F.col("name") == F.col("to_name"))
-    by_path = old.join(n, F.col("path") == F.col("to_path")).where("name <> to_name")
-    pairs = by_name.unionByName(by_path)
-    exact = (F.col("path") == F.col("to_path")) & (F.col("name") == F.col("to_name"))
-    same = F.col("blob") == F.col("to_blob")
-    named = F.col("name") == F.col("to_name")
-    got = pairs.groupBy("id").agg(
-        F.count_if(exact).alias("n_exact"),
-        F.min(F.when(exact, F.col("to_id"))).alias("exact"),
-        F.count_if(same).alias("n_bytes"),
-        F.min(F.when(same, F.col("to_id"))).alias("bytes"),
-        F.count_if(named).alias("n_name"),
-        F.min(F.when(named, F.col("to_id"))).alias("named"),
-        F.count("*").alias("candidates"),
+    # counts and least ids of ``new`` by key meet each entity once: no pairs. A candidate shares the name or the path, so both less what shares both
+    got = old.select("id", "path", "name", "blob")
+    for keys, tag in ((["path", "name"], "pn"), (["name"], "n"), (["path"], "p"), (["path", "blob"], "pb"), (["name", "blob"], "nb"), (["path", "name", "blob"], "pnb")):
+        per = new.groupBy(*keys).agg(F.count("*").alias(f"c_{tag}"), F.min("id").alias(f"m_{tag}"))
+        got = got.join(per, keys, "left").fillna(0, [f"c_{tag}"])
+    got = got.select(
+        "id",
+        F.col("c_pn").alias("n_exact"),
+        F.col("m_pn").alias("exact"),
+        (F.col("c_pb") + F.col("c_nb") - F.col("c_pnb")).alias("n_bytes"),
+        F.least("m_pb", "m_nb").alias("bytes"),
+        F.col("c_n").alias("n_name"),
+        F.col("m_n").alias("named"),
+        (F.col("c_n") + F.col("c_p") - F.col("c_pn")).alias("candidates"),
     )
     rows = old.select("id", "blob").join(got, "id", "left")
     rule = (

@@ -8,6 +8,7 @@ from factloom.operators import decisions, documents, rollup
 from factloom.plans import inputs
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query
 from factloom.plans.sql import using
+from factloom.plans.summaries import COUNTS, HEIGHT, TIER, function_counts
 from factloom.sources.tables import table
 
 
@@ -73,6 +74,6 @@ def q24(spark, d):
     return spark.createDataFrame([(n, (f.__doc__ or "").strip(), n in ORACLE_SQL) for n, f in sorted(QUERIES.items())], "name string, description string, has_sql boolean")
 
 
-@query("a10_ruler", using("cat", "sym") + ", m AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM sym GROUP BY path)), s AS (SELECT unnest([1,2,4,8,16,32,64,128,256,512])::BIGINT AS stop UNION SELECT m FROM m) SELECT stop, CAST(round(1000*(CASE WHEN stop<=8 THEN stop ELSE least(80.0, 8+3*log2(stop/8.0)) END)) AS BIGINT) AS height FROM s WHERE stop<=(SELECT m FROM m)")
+@query("a10_ruler", COUNTS + f", m AS (SELECT max(n) AS m FROM v), s AS (SELECT unnest([0,1,8,20,50])::BIGINT AS stop UNION SELECT m FROM m WHERE m>50) SELECT stop, CAST(round(1000*({HEIGHT.format('stop')})) AS BIGINT) AS height, {TIER.format('stop')} AS tier FROM s")
 def a10_ruler(spark, d):
-    return rollup.ruler(inputs.sym(spark, d).groupBy("path").agg(F.count("*").alias("n")), "n")
+    return rollup.ruler(function_counts(spark, d), "n")

@@ -17,7 +17,7 @@ from factloom.sources import language_facts, projections
 from factloom.sources.tables import table
 from factloom.streaming import jobs
 
-PROGRAM = """ln AS (SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS block, count(*) OVER (PARTITION BY l_orderkey) AS n, l_quantity::INT AS qty FROM lineitem WHERE l_orderkey%10=0),
+PROGRAM = """ln AS (SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS block, count(*) OVER (PARTITION BY l_orderkey) AS n, l_quantity::INT AS qty FROM lineitem),
 bl AS (SELECT fn, block, block+1 AS succ FROM ln WHERE block<n UNION SELECT fn, block, block+2 FROM ln WHERE block%3=0 AND block+2<=n UNION SELECT fn, block, 1 FROM ln WHERE block=n AND fn%20=0),
 de AS (SELECT fn, block, block%3 AS var, block AS def, CASE WHEN block%4<>0 THEN CAST(qty AS VARCHAR) END AS value, CASE WHEN block%4=0 THEN block END AS origin FROM ln WHERE block%2=0 OR block=1),
 us AS (SELECT fn, block, (block+1)%3 AS var, block AS use FROM ln)"""
@@ -25,9 +25,9 @@ REACH = f"""WITH RECURSIVE {PROGRAM}, r AS (SELECT d.fn, b.succ AS block, d.var,
  UNION SELECT r.fn, b.succ, r.var, r.def FROM r JOIN bl b ON b.fn=r.fn AND b.block=r.block LEFT JOIN de k ON k.fn=r.fn AND k.block=r.block AND k.var=r.var WHERE k.def IS NULL)"""
 
 
-def program(spark, d, keep="l_orderkey % 10 = 0"):
-    """(blocks, defs, uses) of the orders that ``keep`` takes: a use at the start of each block, a definition at the end of some."""
-    rows = table(spark, d, "lineitem").where(keep)
+def program(spark, d):
+    """(blocks, defs, uses) of all orders: a use at the start of each block, a definition at the end of some."""
+    rows = table(spark, d, "lineitem")
     w = Window.partitionBy("l_orderkey")
     ln = checkpointed(
         rows.select(
@@ -45,28 +45,17 @@ def program(spark, d, keep="l_orderkey % 10 = 0"):
     return blocks, defs, uses
 
 
-@query("f4_reaching_definitions", REACH + " SELECT fn, block, var, def FROM r")
+@query("f4_reaching_definitions", REACH + " SELECT fn, block, var, def FROM r", also="f4_reaching_definitions_whole")
 def f4(spark, d):
     blocks, defs, _ = program(spark, d)
     return dataflow.reaching(blocks, defs)
 
 
-@query("f4_reaching_definitions_whole")
-def f4_whole(spark, d):
-    blocks, defs, _ = program(spark, d, "true")
-    return dataflow.reaching(blocks, defs)
-
-
-@query("f16_def_use", REACH + " SELECT u.fn, u.var, r.def, u.use FROM us u JOIN r ON r.fn=u.fn AND r.block=u.block AND r.var=u.var")
+@query("f16_def_use", REACH + " SELECT u.fn, u.var, r.def, u.use FROM us u JOIN r ON r.fn=u.fn AND r.block=u.block AND r.var=u.var", also="f16_def_use_whole")
 def f16(spark, d):
     return dataflow.def_use(*program(spark, d))
 
 
-@query("f16_def_use_whole")
-def f16_whole(spark, d):
-    return dataflow.def_use(*program(spark, d, "true"))
-
-
 @query(
     "f7_use_values",
     REACH
@@ -74,39 +63,25 @@ def f16_whole(spark, d):
  ba AS (SELECT ch.fn, ch.use, de.value, de.origin FROM ch JOIN de ON de.fn=ch.fn AND de.def=ch.def),
  v AS (SELECT fn, use, value FROM ba WHERE origin IS NULL UNION SELECT u.fn, u.use, 'unknown' FROM us u LEFT JOIN ch ON ch.fn=u.fn AND ch.use=u.use WHERE ch.def IS NULL UNION SELECT ba.fn, ba.use, v.value FROM v JOIN ba ON ba.fn=v.fn AND ba.origin=v.use)
  SELECT fn, use, CASE WHEN count(DISTINCT value) FILTER (value<>'unknown')>8 THEN '' ELSE coalesce(string_agg(DISTINCT value, ',' ORDER BY value) FILTER (value<>'unknown'),'') END AS constants, count(DISTINCT value) FILTER (value<>'unknown')>8 AS overflow, bool_or(value='unknown') OR count(DISTINCT value) FILTER (value<>'unknown')>8 AS unknown FROM v GROUP BY fn, use""",
+    also="f7_use_values_whole",
 )
 def f7(spark, d):
     return dataflow.values(*program(spark, d))
 
 
-@query("f7_use_values_whole")
-def f7_whole(spark, d):
-    return dataflow.values(*program(spark, d, "true"))
-
-
-@query("f11_live_blocks", f"WITH RECURSIVE {PROGRAM}, e AS (SELECT * FROM bl WHERE NOT (block%3=0 AND succ=block+1)), r AS (SELECT DISTINCT fn, CAST(1 AS BIGINT) AS block FROM ln UNION SELECT r.fn, e.succ FROM r JOIN e ON e.fn=r.fn AND e.block=r.block) SELECT fn, block FROM r")
-def f11(spark, d, keep="l_orderkey % 10 = 0"):
-    blocks, _, uses = program(spark, d, keep)
+@query("f11_live_blocks", f"WITH RECURSIVE {PROGRAM}, e AS (SELECT * FROM bl WHERE NOT (block%3=0 AND succ=block+1)), r AS (SELECT DISTINCT fn, CAST(1 AS BIGINT) AS block FROM ln UNION SELECT r.fn, e.succ FROM r JOIN e ON e.fn=r.fn AND e.block=r.block) SELECT fn, block FROM r", also="f11_live_blocks_whole")
+def f11(spark, d):
+    blocks, _, uses = program(spark, d)
     entries = uses.select("fn").distinct().withColumn("block", F.lit(1).cast("long"))
     return dataflow.live_blocks(blocks, entries, blocks.where("block % 3 = 0 AND succ = block + 1"))
 
 
-@query("f11_live_blocks_whole")
-def f11_whole(spark, d):
-    return f11(spark, d, "true")
-
-
-@query("g12_loop_blocks", f"WITH {PROGRAM} SELECT CAST(fn AS VARCHAR) AS fn, block FROM ln WHERE fn%20=0")
-def g12(spark, d, keep="l_orderkey % 10 = 0"):
-    blocks, _, _ = program(spark, d, keep)
+@query("g12_loop_blocks", f"WITH {PROGRAM} SELECT CAST(fn AS VARCHAR) AS fn, block FROM ln WHERE fn%20=0", also="g12_loop_blocks_whole")
+def g12(spark, d):
+    blocks, _, _ = program(spark, d)
     return dataflow.loop_blocks(blocks.withColumn("fn", F.col("fn").cast("string")))
 
 
-@query("g12_loop_blocks_whole")
-def g12_whole(spark, d):
-    return g12(spark, d, "true")
-
-
 N = using("nations", recursive=True)
 
 
@@ -142,39 +117,30 @@ def f17(spark, d):
 
 @query(
     "s4_ignore_rules",
-    using("cat") + " SELECT path, CASE WHEN path LIKE 'src3/%' THEN NOT path LIKE '%/doc\\_1%.js' ESCAPE '\\' AND path LIKE '%.js' ELSE (path LIKE '%.png' OR path LIKE 'src1/de/%') END AS ignored FROM cat WHERE path NOT LIKE 'src3/%.png' AND path NOT LIKE 'src3/de/%'",
+    using("cat") + " SELECT path, CASE WHEN path LIKE 'src3/%.js' THEN NOT path LIKE '%/doc\\_1%.js' ESCAPE '\\' ELSE (path LIKE '%.png' OR path LIKE 'src1/de/%') END AS ignored FROM cat",
+    also="s4_ignore_rules_whole",
 )
-def s4(spark, d, keep="path NOT LIKE 'src3/%.png' AND path NOT LIKE 'src3/de/%'"):
+def s4(spark, d):
     policies = spark.createDataFrame([(".gitignore", "# images\n*.png\n/src1/de/\n"), ("src3/.gitignore", "*.js\n!doc_1*.js\n")], "path string, text string")
-    paths = inputs.cat(spark, d).select("path").where(keep)
+    paths = inputs.cat(spark, d).select("path")
     return ignore.ignored(paths, ignore.rules(policies))
 
 
-@query("s4_ignore_rules_whole")
-def s4_whole(spark, d):
-    return s4(spark, d, "true")
-
-
-def scripts(spark, d, keep="i < 12"):
+def scripts(spark, d):
     """A script per document of the source projection, made of its symbols' names: what a front-end reads."""
-    s = inputs.sym(spark, d).where(keep).select("doc_id", "path", "i").join(inputs.cat(spark, d).where("doc_id % 6 < 2").select("path"), "path", "left_semi")
+    s = inputs.sym(spark, d).select("doc_id", "path", "i").join(inputs.cat(spark, d).where("doc_id % 6 < 2").select("path"), "path", "left_semi")
     line = F.concat(F.lit("function f"), F.col("doc_id").cast("string"), F.lit("_"), F.col("i").cast("string"), F.lit("() { return f"), F.col("doc_id").cast("string"), F.lit("_"), (F.col("i") + 1).cast("string"), F.lit("(); }"))
     rows = s.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("t")))).alias("l"))
     return rows.select("path", F.array_join(F.transform("l", lambda x: x.t), "\n").alias("text"))
 
 
-@query("s16_script_facts", using("cat", "sym") + ", s AS (SELECT s.doc_id, s.path, s.i FROM sym s JOIN cat c USING (path) WHERE s.i<12 AND c.doc_id%6<2) SELECT path, 'f'||doc_id||'_'||i AS owner, 'f'||doc_id||'_'||(i+1) AS label FROM s")
-def s16(spark, d, keep="i < 12"):
-    files = checkpointed(scripts(spark, d, keep))
+@query("s16_script_facts", using("cat", "sym") + ", s AS (SELECT s.doc_id, s.path, s.i FROM sym s JOIN cat c USING (path) WHERE c.doc_id%6<2) SELECT path, 'f'||doc_id||'_'||i AS owner, 'f'||doc_id||'_'||(i+1) AS label FROM s", also="s16_script_facts_whole")
+def s16(spark, d):
+    files = checkpointed(scripts(spark, d))
     owners = language_facts.functions(files).select(F.col("id").alias("owner"), F.col("name").alias("owner_name"))
     return language_facts.calls(files).join(owners, "owner").select("path", F.col("owner_name").alias("owner"), "label")
 
 
-@query("s16_script_facts_whole")
-def s16_whole(spark, d):
-    return s16(spark, d, "true")
-
-
 @query("w7_stream_outcomes", "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_outcomes(spark, d):
     """The event stream, drained: one run of all that is there."""

@@ -121,18 +121,13 @@ def n2(spark, d):
     return queue.revisions(rows)
 
 
-@query("n3_threads", "WITH m AS (SELECT user_id AS thread, event_id AS id, ts, CASE event_type WHEN 'purchase' THEN 'proposal' WHEN 'error' THEN 'export' ELSE 'message' END AS kind FROM events WHERE event_id%29=0) SELECT thread, count(*) AS n, CASE WHEN bool_or(kind='export') THEN 'exported' WHEN bool_or(kind='proposal') THEN 'proposal_linked' WHEN count(*)>1 THEN 'discussing' ELSE 'draft' END AS state, arg_max(id, (ts, id)) AS last FROM m GROUP BY thread")
-def n3(spark, d, keep="event_id % 29 = 0"):
-    e = table(spark, d, "events").where(keep)
+@query("n3_threads", "WITH m AS (SELECT user_id AS thread, event_id AS id, ts, CASE event_type WHEN 'purchase' THEN 'proposal' WHEN 'error' THEN 'export' ELSE 'message' END AS kind FROM events) SELECT thread, count(*) AS n, CASE WHEN bool_or(kind='export') THEN 'exported' WHEN bool_or(kind='proposal') THEN 'proposal_linked' WHEN count(*)>1 THEN 'discussing' ELSE 'draft' END AS state, arg_max(id, (ts, id)) AS last FROM m GROUP BY thread", also="n3_threads_whole")
+def n3(spark, d):
+    e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "purchase", "proposal").when(F.col("event_type") == "error", "export").otherwise("message")
     return queue.threads(e.select(F.col("user_id").alias("thread"), F.col("event_id").alias("id"), F.col("ts").alias("at"), kind.alias("kind")))
 
 
-@query("n3_threads_whole")
-def n3_whole(spark, d):
-    return n3(spark, d, "true")
-
-
 @query("a17_job_counters", Q + " SELECT owner, count(*) FILTER (state='completed') AS passed, count(*) FILTER (state='failed') AS failed, count(*) FILTER (state NOT IN ('completed','failed')) AS open FROM q GROUP BY owner")
 def a17(spark, d):
     s = F.col("state")

@@ -6,19 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions.identity import digest
-from factloom.functions.text import line_of
-from factloom.operators import decisions, folding
+from factloom.operators import decisions, documents, folding
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
 from factloom.sources import projections
 from factloom.sources.tables import table
 
-L = "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS rid, * FROM lineitem WHERE l_orderkey%20=0)"
-
 
 def lines(spark, d):
-    """Every 20th order's lines as operands: a tagged left and right value and an operator."""
+    """All order lines as operands: a tagged left and right value and an operator."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
     n = folding.value("num", num=F.col("l_quantity"))
     s = folding.value("str", text=F.col("l_returnflag"))
@@ -135,16 +132,18 @@ def d10(spark, d):
     return table(spark, d, "events").select("event_id", digest("user_id", "event_type", "props").alias("answer"))
 
 
-@query("d12_frame_offsets", using("cat", "sym") + """ SELECT id, i+1 AS line_no, 'at '||path||':'||(i+1) AS frame FROM sym WHERE i%4=0 AND i<40""")
-def d12(spark, d, keep="i % 4 = 0 AND i < 40"):
-    rows = inputs.sym(spark, d).where(keep).select("id", "path", "start").join(inputs.cat(spark, d).select("path", "text"), "path")
-    rows = rows.select("id", "path", line_of(F.col("text"), F.col("start")).alias("line_no"))
-    return rows.select("id", "line_no", F.concat(F.lit("at "), "path", F.lit(":"), F.col("line_no").cast("string")).alias("frame"))
+#: A frame for every symbol: as engines print them, with and without a name, some outside of the copy, some without a line.
+FRAME = "CASE i%5 WHEN 0 THEN '    at f (file:///tmp/run/'||path||':'||(i+1)||':'||(i%9+1)||')' WHEN 1 THEN 'at /tmp/run/'||path||':'||(i+1)||':3' WHEN 2 THEN '  at g (/usr/lib/'||path||':1:1)' WHEN 3 THEN 'at h (file:///tmp/run/'||path||':'||(i+900000)||':1)' ELSE 'at native' END"
 
 
-@query("d12_frame_offsets_whole")
-def d12_whole(spark, d):
-    return d12(spark, d, "true")
+@query(
+    "d12_frame_offsets",
+    using("cat", "sym") + """ SELECT id, path, CASE WHEN i%5=3 THEN i+900000 ELSE i+1 END AS line, CASE i%5 WHEN 0 THEN i%9+1 WHEN 1 THEN 3 ELSE 1 END AS "column", CASE WHEN i%5=3 THEN bytes ELSE "start" END AS byte_offset, CASE WHEN i%5=3 THEN '' ELSE left(line, 200) END AS line_text FROM sym JOIN (SELECT path, bytes FROM cat) USING (path) WHERE i%5 IN (0, 1, 3)""",
+    also="d12_frame_offsets_whole",
+)
+def d12(spark, d):
+    frames = inputs.sym(spark, d).select("id", F.expr(FRAME).alias("frame"))
+    return documents.frame_offsets(frames, inputs.cat(spark, d).select("path", "text"), "/tmp/run")
 
 
 @query("d16_slice_manifest", using("cat", "imports", recursive=True) + ", e AS (SELECT i.path AS a, c.path AS b FROM imports i JOIN cat c ON c.doc_id=i.target_doc WHERE NOT type_only), r AS (SELECT path AS id FROM cat WHERE doc_id=1 UNION SELECT e.b FROM r JOIN e ON e.a=r.id), m AS (SELECT path, blob, row_number() OVER (ORDER BY path) AS k FROM cat WHERE path IN (SELECT id FROM r)) SELECT count(*) AS files, count(*) FILTER (k>512) AS skipped, sha256(string_agg(CASE WHEN k<=512 THEN path||'='||blob END, chr(10) ORDER BY path)) AS workdir_digest FROM m")

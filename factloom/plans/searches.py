@@ -109,20 +109,15 @@ def q12(spark, d):
 @query(
     "q13_source_window",
     using("cat", "sym")
-    + """ SELECT s.id, s."start" AS w_start, (length(substr(c.text,1,length(decode(encode(c.text)[1:s."start"]))))-length(replace(decode(encode(c.text)[1:s."start"]),chr(10),''))+1)::BIGINT AS start_line, s."end"-s."start">4000 AS truncated, sha256(s.line) AS digest FROM sym s JOIN cat c USING (path) WHERE s."end"-s."start"<=4000""",
+    + """ SELECT id, "start" AS w_start, i+1 AS start_line, strlen(line)>4000 AS truncated, sha256(CASE WHEN strlen(line)<=4000 THEN line ELSE left(line, list_max(list_filter(range(1000, 4001), lambda k: strlen(left(line, CAST(k AS BIGINT)))<=4000))) END) AS digest FROM sym""",
+    also="q13_source_window_whole",
 )
-def q13(spark, d, keep="`end` - start <= 4000"):
-    text = inputs.cat(spark, d).select("path", "text")
-    spans = inputs.sym(spark, d).where(keep).select("id", "path", F.col("start").alias("lo"), F.col("end").alias("hi"))
-    rows = documents.source_window(spans.join(text, "path"), F.col("lo"), 4000)
+def q13(spark, d):
+    spans = inputs.sym(spark, d).select("id", "path", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    rows = documents.source_windows(spans, inputs.cat(spark, d).select("path", "text"), 4000)
     return rows.select("id", "w_start", "start_line", "truncated", F.sha2("window", 256).alias("digest"))
 
 
-@query("q13_source_window_whole")
-def q13_whole(spark, d):
-    return q13(spark, d, "true")
-
-
 @query("q15_leading_comment", "SELECT doc_id, CASE WHEN doc_id%3=0 THEN trim(split_part(text,chr(10),1)) WHEN doc_id%3=1 THEN trim(split_part(text,chr(10),1)) END AS comment FROM documents WHERE NOT contains(split_part(text,chr(10),1),'*') AND trim(split_part(text,chr(10),1))<>''")
 def q15(spark, d):
     first = F.substring_index("text", "\n", 1)
@@ -132,15 +127,10 @@ def q15(spark, d):
     return docs.select("doc_id", documents.leading_comment(before).alias("comment"))
 
 
-@query("q16_line_of_byte", using("cat", "sym") + " SELECT id, i+1 AS line_no FROM sym WHERE i<20")
-def q16(spark, d, keep="i < 20"):
-    rows = inputs.sym(spark, d).where(keep).select("id", "path", "start").join(inputs.cat(spark, d).select("path", "text"), "path")
-    return rows.select("id", line_of(F.col("text"), F.col("start")).alias("line_no"))
-
-
-@query("q16_line_of_byte_whole")
-def q16_whole(spark, d):
-    return q16(spark, d, "true")
+@query("q16_line_of_byte", using("cat", "sym") + " SELECT id, i+1 AS line_no FROM sym", also="q16_line_of_byte_whole")
+def q16(spark, d):
+    spans = inputs.sym(spark, d).select("id", "path", F.col("start").alias("at"))
+    return documents.line_numbers(spans, inputs.cat(spark, d).select("path", "text")).select("id", "line_no")
 
 
 @query("q18_readme_excerpt", using("cat", "sym") + ", r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, line FROM sym WHERE trim(line)<>'') SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY k)) AS excerpt FROM r WHERE k<=12 GROUP BY doc_id")

@@ -11,8 +11,8 @@ off AS (SELECT *, CAST(coalesce(sum(strlen(line)+1) OVER (PARTITION BY doc_id OR
 sym0 AS (SELECT doc_id, path, i, "start", "start"+strlen(line) AS "end", split_part(line,' ',1)||'_'||length(line) AS name, line FROM off WHERE line<>''),
 sym AS (SELECT *, 'symbol:'||path||':'||"start"||':'||"end" AS id FROM sym0)"""
 CALLS = """calls AS (SELECT 'call:'||path||':'||"start"||':'||"end" AS id, doc_id, path, "start", "end", id AS owner, name AS owner_name,
- CASE WHEN i%7=6 THEN 'missing?' WHEN i%5=4 THEN first_value(name) OVER (PARTITION BY doc_id ORDER BY i) ELSE coalesce(lead(name,2) OVER (PARTITION BY doc_id ORDER BY i),'missing?') END AS label,
- CASE WHEN i%11=10 THEN 'member' ELSE 'identifier' END AS form FROM sym)"""
+ CASE WHEN i%7=6 THEN 'missing?' WHEN i%5=4 THEN first_value(name) OVER (PARTITION BY doc_id ORDER BY i) WHEN i%3=1 THEN coalesce(beside,'missing?') ELSE coalesce(lead(name,2) OVER (PARTITION BY doc_id ORDER BY i),'missing?') END AS label,
+ CASE WHEN i%11=10 THEN 'member' ELSE 'identifier' END AS form FROM sym LEFT JOIN (SELECT doc_id-1 AS doc_id, i, name AS beside FROM sym) USING (doc_id, i))"""
 BAD = """bad AS (SELECT DISTINCT path FROM cat JOIN labels USING (doc_id) WHERE toxic=1)"""
 EDGES = """named AS (SELECT name AS label, count(*) AS n, min(id) AS found, min(path) AS found_path FROM sym GROUP BY name),
 res AS (SELECT c.*, CASE WHEN form<>'identifier' THEN 'not_identifier' WHEN b.path IS NOT NULL THEN 'bad_file' WHEN n IS NULL THEN 'missing' WHEN n>1 THEN 'ambiguous' WHEN bt.path IS NOT NULL THEN 'bad_target_file' ELSE 'resolved' END AS basis, found

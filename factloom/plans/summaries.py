@@ -68,18 +68,29 @@ def a8(spark, d):
     return inputs.cat(spark, d).withColumn("k", F.row_number().over(w)).select("source", "path", (F.col("k") <= 10).alias("drawn"))
 
 
+HEIGHT = "CASE WHEN {0}<=0 THEN 0.45 WHEN {0}<=8 THEN {0} ELSE least(80.0, 8+3*log2({0}/8.0)) END"
+TIER = "CASE WHEN {0}<=0 THEN 'flat' WHEN {0}<=8 THEN 'linear' WHEN {0}<=20 THEN 'thin' WHEN {0}<=50 THEN 'group' ELSE 'compressed' END"
+COUNTS = using("cat", "sym") + ", v AS (SELECT path, CAST(count(id) AS BIGINT) AS n FROM cat LEFT JOIN sym USING (path) GROUP BY path)"
+
+
+def function_counts(spark, d):
+    """Symbols of every file, and none."""
+    per = inputs.sym(spark, d).groupBy("path").agg(F.count("*").alias("n"))
+    return inputs.cat(spark, d).select("path").join(per, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(
     "a9_scale_report",
-    using("cat", "sym")
-    + ', v AS (SELECT path, count(*) AS n FROM sym GROUP BY path), o AS (SELECT n, row_number() OVER (ORDER BY n)-1 AS k, count(*) OVER () AS c, max(n) OVER () AS m FROM v) SELECT max(c) AS count, max(CASE WHEN k=(c-1)//2 THEN n END) AS median, max(CASE WHEN k=least(c*9//10,c-1) THEN n END) AS p90, max(m) AS max, count(*) FILTER (n*100<m) AS below_1pct, count(*) FILTER (n*10<m) AS below_10pct FROM o',
+    COUNTS
+    + f", o AS (SELECT {HEIGHT.format('n')} AS h, row_number() OVER (ORDER BY n)-1 AS k, count(*) OVER () AS c FROM v WHERE n>0), m AS (SELECT max(h) AS m FROM o) SELECT (SELECT count(*) FROM v) AS files, (SELECT count(*) FROM v WHERE n=0) AS empty, CAST(round(1000*max(m)) AS BIGINT) AS max, CAST(round(1000*max(CASE WHEN k=(c-1)//2 THEN h END)) AS BIGINT) AS median, CAST(round(1000*max(CASE WHEN k=least(c*9//10,c-1) THEN h END)) AS BIGINT) AS p90, count(*) FILTER (h*100<m) AS under_1pct, count(*) FILTER (h*10<m) AS under_10pct, true AS monotone FROM o, m",
 )
 def a9(spark, d):
-    return rollup.scale_report(inputs.sym(spark, d).groupBy("path").agg(F.count("*").alias("n")), "n")
+    return rollup.scale_report(function_counts(spark, d), "n")
 
 
-@query("a10_tier_histogram", using("cat", "sym") + " SELECT CASE WHEN n<=0 THEN 'none' WHEN n<=2 THEN 'few' WHEN n<=8 THEN 'some' WHEN n<=32 THEN 'many' ELSE 'most' END AS tier, count(*) AS n, max(n) AS largest FROM (SELECT path, count(*) AS n FROM sym GROUP BY path) GROUP BY 1")
+@query("a10_tier_histogram", COUNTS + f" SELECT {TIER.format('n')} AS tier, count(*) AS n, max(n) AS largest FROM v GROUP BY 1")
 def a10(spark, d):
-    per = inputs.sym(spark, d).groupBy("path").agg(F.count("*").alias("m"))
+    per = function_counts(spark, d).withColumnRenamed("n", "m")
     return per.groupBy(rollup.tier(F.col("m")).alias("tier")).agg(F.count("*").alias("n"), F.max("m").alias("largest"))
 
 
@@ -97,16 +108,11 @@ def a12(spark, d):
     return rows.groupBy(F.substring_index("o", "(", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("a13_value_merge", "SELECT l_suppkey AS id, CASE WHEN count(DISTINCT l_quantity)>8 THEN '' ELSE string_agg(DISTINCT CAST(l_quantity::INT AS VARCHAR), ',' ORDER BY CAST(l_quantity::INT AS VARCHAR)) END AS constants, count(DISTINCT l_quantity)>8 AS overflow FROM lineitem WHERE l_orderkey%40=0 GROUP BY l_suppkey")
-def a13(spark, d, keep="l_orderkey % 40 = 0"):
-    rows = table(spark, d, "lineitem").where(keep)
+@query("a13_value_merge", "SELECT l_orderkey//2 AS id, CASE WHEN count(DISTINCT l_quantity)>8 THEN '' ELSE string_agg(DISTINCT CAST(l_quantity::INT AS VARCHAR), ',' ORDER BY CAST(l_quantity::INT AS VARCHAR)) END AS constants, count(DISTINCT l_quantity)>8 AS overflow FROM lineitem GROUP BY 1", also="a13_value_merge_whole")
+def a13(spark, d):
+    rows = table(spark, d, "lineitem")
     constants, over = rollup.capped_union(F.col("l_quantity").cast("int").cast("string"), rollup.CONSTANTS)
-    return rows.groupBy(F.col("l_suppkey").alias("id")).agg(constants.alias("constants"), over.alias("overflow"))
-
-
-@query("a13_value_merge_whole")
-def a13_whole(spark, d):
-    return a13(spark, d, "true")
+    return rows.groupBy(F.floor(F.col("l_orderkey") / 2).alias("id")).agg(constants.alias("constants"), over.alias("overflow"))
 
 
 @query("a14_effect_join", "SELECT l_suppkey AS id, bool_or(l_quantity>49) AS writes, bool_or(l_discount>0.09) AS throws, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS targets FROM lineitem GROUP BY l_suppkey")

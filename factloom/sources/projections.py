@@ -45,13 +45,16 @@ def symbols(cat: DataFrame) -> DataFrame:
 
 
 def call_sites(sym: DataFrame) -> DataFrame:
-    """A call per symbol to the name two symbols on; some to the document's first name, some to no name."""
+    """A call per symbol to the name two symbols on; some to the document's first name, some to a name of the next document, some to no name."""
     order = Window.partitionBy("doc_id").orderBy("i")
+    beside = sym.select((F.col("doc_id") - 1).alias("doc_id"), "i", F.col("name").alias("beside"))
     label = (
         F.when(F.col("i") % 7 == 6, "missing?")
         .when(F.col("i") % 5 == 4, F.first("name").over(order))
+        .when(F.col("i") % 3 == 1, F.coalesce("beside", F.lit("missing?")))
         .otherwise(F.coalesce(F.lead("name", 2).over(order), F.lit("missing?")))
     )
+    sym = sym.join(beside, ["doc_id", "i"], "left")
     return sym.select(
         edge_id("call", "path", "start", "end").alias("id"),
         "doc_id",

@@ -1,48 +1,12 @@
-"""Queries over whole tables: DuckDB's rows by the SQL of the query over a subset, its filter taken out, or brute force."""
+"""Queries against brute force on cases that the driver's tables hardly hold."""
 
 import hashlib
+import math
+import random
 import re
 
-import duckdb
-import pytest
-
 from factloom import plans
-from test_queries import SF, TABLES, rows_of
-
-FILTERS = {
-    "f4_reaching_definitions": " WHERE l_orderkey%10=0",
-    "f16_def_use": " WHERE l_orderkey%10=0",
-    "f7_use_values": " WHERE l_orderkey%10=0",
-    "f11_live_blocks": " WHERE l_orderkey%10=0",
-    "g12_loop_blocks": " WHERE l_orderkey%10=0",
-    "a13_value_merge": " WHERE l_orderkey%40=0",
-    "n3_threads": " WHERE event_id%29=0",
-    "q16_line_of_byte": " WHERE i<20",
-    "d12_frame_offsets": " WHERE i%4=0 AND i<40",
-    "s16_script_facts": "s.i<12 AND ",
-    "g7_nation_components": " WHERE a%3<>0",
-}
-
-
-@pytest.fixture(scope="module")
-def oracle():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
-
-
-@pytest.mark.parametrize("name", sorted(FILTERS))
-def test_whole_table(spark, oracle, name):
-    sql = plans.ORACLE_SQL[name]
-    assert sql.count(FILTERS[name]) == 1
-    found = oracle.execute(sql.replace(FILTERS[name], ""))
-    columns = [c[0] for c in found.description]
-    want = rows_of(columns, found.fetchall())
-    df = plans.QUERIES[f"{name}_whole"](spark, SF)
-    assert rows_of(df.columns, df.collect()) == want
-    assert len(want) >= len(rows_of(columns, oracle.execute(sql).fetchall()))
-
+from factloom.operators import documents, geometry, patch
 
 def test_ignore_rules_of_every_path(spark, tmp_path):
     def ignored(path):
@@ -77,7 +41,42 @@ def test_windows_of_long_spans(spark, tmp_path):
     assert sum(t for _, t, _ in got.values()) == 7
 
 
-def test_short_windows_are_as_before(spark, oracle):
-    rows = lambda name: {tuple(r) for r in plans.QUERIES[name](spark, SF).collect()}
-    whole, pinned = rows("q13_source_window_whole"), rows("q13_source_window")
-    assert pinned <= whole and not any(r[3] for r in pinned)
+def test_windows_that_cross_lines_and_frames(spark):
+    text = "ab\né\n\nlast 水"
+    files = spark.createDataFrame([("p", text)], "path string, text string")
+    raw = text.encode()
+    spans = [(f"{lo}-{hi}", "p", lo, hi) for lo in (0, 3, 6) for hi in range(lo, len(raw) + 1) if hi != 4 and hi < 13 or hi == len(raw)]
+    for size in (1, 4, 100):
+        got = {r.id: r for r in documents.source_windows(spark.createDataFrame(spans, "id string, path string, lo long, hi long"), files, size).collect()}
+        for i, _, lo, hi in spans:
+            want = raw[lo : min(lo + size, hi)].decode(errors="ignore")
+            assert (got[i].window, got[i].start_line, got[i].truncated) == (want, raw[:lo].count(b"\n") + 1, lo + len(want.encode()) < hi), i
+    frames = ["    at f (file:///r/x/p:2:9)", "at /r/x/p:4:1", "at g (/r/x/p:40:1)", "at g (/elsewhere/p:1:1)", "at native", "at /r/x/none:1:1", "/r/x/p:0:1"]
+    rows = spark.createDataFrame(list(enumerate(frames)), "id long, frame string")
+    got = {r.id: (r.path, r.line, r.column, r.byte_offset, r.line_text) for r in documents.frame_offsets(rows, files, "/r/x").collect()}
+    assert got == {0: ("p", 2, 9, 3, "é"), 1: ("p", 4, 1, 7, "last 水"), 2: ("p", 40, 1, len(raw), "")}
+
+
+def test_rays_against_all_boxes(spark):
+    rng = random.Random(3)
+    boxes = [(i, rng.randrange(300), rng.randrange(300), rng.randrange(1, 90), rng.randrange(1, 90), rng.randrange(1, 60)) for i in range(40)]
+    rays = [(k, *(rng.uniform(-100, 400) for _ in range(3)), *(rng.choice([0.0, rng.uniform(-1, 1)]) for _ in range(3))) for k in range(150)]
+    want = {}
+    for k, *v in rays:
+        for i, x, y, w, h, tall in boxes:
+            near, far = -math.inf, math.inf
+            for o, d, lo, hi in zip(v[:3], v[3:], (x, 0, y), (x + w, tall, y + h), strict=True):
+                if abs(d) < 1e-8:
+                    near, far = (near, far) if lo <= o <= hi else (math.inf, -math.inf)
+                else:
+                    near, far = max(near, min((lo - o) / d, (hi - o) / d)), min(far, max((lo - o) / d, (hi - o) / d))
+            if near <= far and far >= 0:
+                want[k] = min(want.get(k, (math.inf, 0)), (max(near, 0.0), i))
+    got = geometry.ray_pick(spark.createDataFrame(boxes, "id long, x long, y long, w long, h long, tall long"), spark.createDataFrame(rays, "ray long, ox double, oy double, oz double, dx double, dy double, dz double")).collect()
+    assert {r.ray: r.id for r in got} == {k: i for k, (_, i) in want.items()}
+    assert all(abs(r.t - want[r.ray][0]) < 1e-9 for r in got)
+
+
+def test_diff_that_says_no_newline(spark):
+    diff = "--- a/p\n+++ b/p\n@@ -1,1 +1,1 @@\n-a\n\\ No newline at end of file\n+b\n\\ No newline at end of file\n"
+    assert [(x[5], x[6], x[7]) for x in patch.hunk_lines(diff)] == [("-", "a", None), ("+", "b", None)]
