@@ -19,7 +19,7 @@ from factloom.llm.kernels import Bitmap
 SF = "/root/testdata/sf0.001"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-ODD = [None, "", "   \n ", "a", "É", "x " * 20_000, "\x00\x01 b", "水 🫧 abc"]
+ODD = [None, "", "   \n ", "a", "É", "x " * 20_000, "\x00\x01 b", "山 🌊 zwei"]
 
 
 def words(text):
