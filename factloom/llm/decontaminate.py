@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.durable import durable
 from factloom.llm.kernels import Bitmap, Words, chunks, signed, signed_slot_sql
+from factloom.llm.tables import WORDS_SQL
 
 WIDTH = 10
 
@@ -160,3 +161,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, row: Co
         ),
     )
     return whole.select("row", "doc_id", "n_words", covered.n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
+
+
+#: DuckDB SQL for the query's rows: every run of a window's length is compared with every window, by equality.
+ORACLE = f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents), b AS (SELECT item_id, {WORDS_SQL} AS ws FROM benchmark),
+ cut AS (SELECT item_id, ws, unnest(range(greatest(1, len(ws) - {WIDTH - 1}))) AS p FROM b WHERE len(ws) > 0),
+ win AS (SELECT DISTINCT item_id, least(len(ws), {WIDTH}) AS k, array_to_string(list_slice(ws, p + 1, p + {WIDTH}), ' ') AS run FROM cut),
+ word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+ runs AS (SELECT doc_id, p, k, string_agg(w, ' ') OVER (PARTITION BY doc_id, k ORDER BY p ROWS BETWEEN CURRENT ROW AND k - 1 FOLLOWING) AS run FROM word, (SELECT DISTINCT k FROM win)),
+ hit AS (SELECT DISTINCT doc_id, p, k, item_id FROM runs JOIN win USING (k, run)),
+ covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, p, k FROM hit)) GROUP BY doc_id),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""

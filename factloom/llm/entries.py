@@ -96,4 +96,9 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": preference.ORACLE, "op6_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": preference.ORACLE,
+    "op6_license_scan": licenses.oracle(),
+    "op8_decontamination": decontaminate.ORACLE,
+    "op10_ngram_jaccard": ngram_join.ORACLE,
+}

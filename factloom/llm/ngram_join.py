@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from factloom.llm.components import components
 from factloom.llm.durable import durable
 from factloom.llm.kernels import U64, Bitmap, Words, by_key, chunks, mix, shingles, signed
+from factloom.llm.tables import WORDS_SQL
 
 SIZE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
@@ -387,3 +388,21 @@ def similar(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tol
         .join(classes, "fp", "left")
         .select("row", "doc_id", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
     )
+
+
+#: DuckDB SQL for the query's rows: every pair of different sets that share a shingle is compared, without sketches.
+ORACLE = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+ word AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+ runs AS (SELECT doc_id, n, p, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {SIZE - 1} FOLLOWING) AS s FROM word),
+ held AS (SELECT DISTINCT doc_id, s FROM runs WHERE p <= greatest(n - {SIZE}, 0)),
+ prints AS (SELECT doc_id, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS fp FROM held GROUP BY doc_id),
+ sets AS (SELECT fp, min(n) AS n, count(*) AS copies, min(doc_id) AS least FROM prints GROUP BY fp),
+ shingle AS (SELECT least AS id, s FROM sets JOIN held ON held.doc_id = least),
+ pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM shingle x JOIN shingle y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+ close AS (SELECT a, b FROM pairs JOIN sets x ON x.least = a JOIN sets y ON y.least = b WHERE common >= {THRESHOLD} * (x.n + y.n - common) - 1e-6),
+ link AS (SELECT a, b FROM close UNION ALL SELECT b, a FROM close),
+ met AS (SELECT least AS a, least AS b FROM sets UNION SELECT met.a, link.b FROM met JOIN link ON link.a = met.b),
+ class AS (SELECT a AS least, min(b) AS class_id FROM met GROUP BY a),
+ linked AS (SELECT link.a AS least, sum(copies) AS links FROM link JOIN sets ON sets.least = link.b GROUP BY link.a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, coalesce(copies, 1) AS n_copies
+ FROM d LEFT JOIN prints USING (doc_id) LEFT JOIN sets USING (fp) LEFT JOIN class USING (least) LEFT JOIN linked USING (least)"""
