@@ -106,7 +106,12 @@ def f15(spark, d):
     return dataflow.never_returns(functions, functions.where("fn % 8 <> 5"), calls.where("fn % 3 = 0"))
 
 
-@query("f17_summary_status")
+@query(
+    "f17_summary_status",
+    N
+    + """, tc AS (SELECT a, b FROM ne UNION SELECT tc.a, ne.b FROM tc JOIN ne ON ne.a=tc.b), u AS (SELECT CAST(n_nationkey AS BIGINT) AS fn FROM nation WHERE n_nationkey%10=3 UNION SELECT ne.a FROM u JOIN ne ON ne.b=u.fn)
+ SELECT CAST(n_nationkey AS BIGINT) AS fn, CASE WHEN n_nationkey%12=11 THEN 'partial_budget' WHEN n_nationkey IN (SELECT a FROM tc WHERE a=b) AND n_nationkey IN (SELECT fn FROM u) THEN 'partial_recursion' ELSE 'complete' END AS status FROM nation""",
+)
 def f17(spark, d):
     functions, own, calls = nation_program(spark, d)
     found = dataflow.effects(own, calls)

@@ -17,6 +17,27 @@ E = using("cat", "sym", "calls", "bad", "edges")
 #: Reachability closure of a relation e(a, b), for oracles.
 CLOSE = ", tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b=e.a)"
 
+#: Components of the nodes n(id) of e(a, b), as comp(id, comp), and the levels of the condensation, leaves first, as top(comp, level).
+COMPS = CLOSE + """, m AS (SELECT x.a, min(x.b) AS c FROM tc x JOIN tc y ON x.a=y.b AND x.b=y.a GROUP BY x.a),
+ comp AS (SELECT id, least(id, coalesce(c, id)) AS comp FROM n LEFT JOIN m ON m.a=n.id)"""
+LEVELS = """, cond AS (SELECT DISTINCT x.comp AS ca, y.comp AS cb FROM e JOIN comp x ON x.id=a JOIN comp y ON y.id=b WHERE x.comp<>y.comp),
+ lv AS (SELECT comp, 0 AS level FROM comp UNION SELECT ca, level+1 FROM lv JOIN cond ON cb=lv.comp), top AS (SELECT comp, max(level) AS level FROM lv GROUP BY comp)"""
+ENDS = ", n AS (SELECT a AS id FROM e UNION SELECT b FROM e)"
+FILE_GRAPH = """, p AS (SELECT doc_id, path, blob FROM cat WHERE disposition='captured'),
+ e AS (SELECT DISTINCT s.path AS a, t.path AS b FROM imports i JOIN p s ON s.doc_id=i.doc_id JOIN p t ON t.doc_id=i.target_doc WHERE s.path<>t.path)"""
+#: A state per step of the search: an edge is examined, or the next node is taken from the queue.
+BOUNDED = """, root AS (SELECT source FROM e WHERE target IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source LIMIT 1),
+ adj AS (SELECT source, list(id ORDER BY id) AS ids, list(target ORDER BY id) AS targets FROM e GROUP BY source),
+ s AS (SELECT 0 AS n, 1 AS qi, 1 AS ei, [source] AS nodes, CAST([] AS VARCHAR[]) AS edges, CAST([] AS VARCHAR[]) AS unresolved, CAST([] AS VARCHAR[]) AS frontier FROM root
+  UNION ALL SELECT CASE WHEN has THEN n+1 ELSE n END, CASE WHEN has THEN qi ELSE qi+1 END, CASE WHEN has THEN ei+1 ELSE 1 END,
+   CASE WHEN fresh AND len(nodes)<100 THEN list_append(nodes, t) ELSE nodes END, CASE WHEN t IS NOT NULL AND (NOT fresh OR len(nodes)<100) THEN list_append(edges, eid) ELSE edges END,
+   CASE WHEN has AND t IS NULL THEN list_append(unresolved, eid) ELSE unresolved END, CASE WHEN fresh AND len(nodes)>=100 THEN list_append(frontier, t) ELSE frontier END
+  FROM (SELECT s.*, ei<=coalesce(len(ids), 0) AS has, targets[ei] AS t, ids[ei] AS eid, targets[ei] IS NOT NULL AND NOT list_contains(nodes, targets[ei]) AS fresh FROM s LEFT JOIN adj ON adj.source=nodes[qi])
+  WHERE qi<=len(nodes) AND n<400),
+ last AS (SELECT s.*, ei<=coalesce(len(ids), 0) AS cut FROM s LEFT JOIN adj ON adj.source=nodes[qi] WHERE qi>len(nodes) OR n=400)
+ SELECT 'node' AS part, unnest(nodes) AS id FROM last UNION ALL SELECT 'edge', unnest(edges) FROM last UNION ALL SELECT 'unresolved', unnest(unresolved) FROM last
+ UNION ALL SELECT 'frontier', id FROM (SELECT unnest(frontier) AS id FROM last UNION SELECT unnest(list_slice(nodes, CASE WHEN cut THEN qi ELSE qi+1 END, len(nodes))) FROM last WHERE n=400)"""
+
 
 @query("g1_graph_nodes", using("cat", "dirs", "sym", "nodes") + """ SELECT id, path, name, kind, parent, "start", "end", function_count, disposition FROM nodes""")
 def g1(spark, d):
@@ -44,9 +65,28 @@ def g4_levels(spark, d):
     return traverse.reachable(checkpointed(projections.nation_edges(spark, d)), spark.createDataFrame([(0,)], "id long"), 4)
 
 
-@query("g4_bounded_reach")
+@query("g4_bounded_reach", E.replace("WITH", "WITH RECURSIVE", 1) + ", e AS (SELECT id, source, target FROM calle)" + BOUNDED)
 def g4_bounded(spark, d):
-    e = checkpointed(inputs.call_edges(spark, d).select("id", "source", "target"))
+    return bounded(spark, checkpointed(inputs.call_edges(spark, d).select("id", "source", "target")))
+
+
+@query(
+    "g4_bounded_orders",
+    """WITH RECURSIVE l AS (SELECT l_orderkey||':'||l_linenumber AS k, 'order:'||l_orderkey AS o, 'part:'||l_partkey AS p, l_linenumber FROM lineitem),
+ e AS (SELECT 'lists:'||k AS id, o AS source, CASE WHEN l_linenumber<>7 THEN p END AS target FROM l UNION ALL SELECT 'in:'||k, p, o FROM l)"""
+    + BOUNDED,
+)
+def g4_orders(spark, d):
+    """Orders and their parts, to and fro: wide enough for both budgets to cut the search; seventh lines are unresolved."""
+    k = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    named = lambda what, c: F.concat(F.lit(f"{what}:"), F.col(c).cast("string"))
+    rows = table(spark, d, "lineitem").select(k.alias("k"), named("order", "l_orderkey").alias("o"), named("part", "l_partkey").alias("p"), "l_linenumber")
+    lists = rows.select(F.concat(F.lit("lists:"), "k").alias("id"), F.col("o").alias("source"), F.when(F.col("l_linenumber") != 7, F.col("p")).alias("target"))
+    return bounded(spark, checkpointed(lists.unionByName(rows.select(F.concat(F.lit("in:"), "k"), "p", "o").toDF("id", "source", "target"))))
+
+
+def bounded(spark, e):
+    """The parts of a search from the node with the most resolved edges."""
     root = e.where("target IS NOT NULL").groupBy("source").count().orderBy(F.desc("count"), "source").first()
     got = traverse.bounded_reach(e, root[0] if root else "", 100, 400)
     rows = [("node", x) for x in sorted(got.nodes)] + [("edge", x) for x in sorted(got.edges)] + [("unresolved", x) for x in got.unresolved] + [("frontier", x) for x in sorted(got.frontier)]
@@ -80,7 +120,7 @@ def file_graph(spark, d):
     return rows.select(F.col("path").alias("a"), "b").where("a <> b").distinct()
 
 
-@query("g7_import_components")
+@query("g7_import_components", using("cat", "imports", recursive=True) + FILE_GRAPH + ENDS + COMPS + " SELECT id, comp FROM comp")
 def g7(spark, d):
     return traverse.strong_components(file_graph(spark, d))
 
@@ -91,6 +131,20 @@ def g7_nations(spark, d):
     return traverse.strong_components(checkpointed(projections.nation_edges(spark, d)), rest=0)
 
 
+MERKLE = (
+    using("cat", "imports", recursive=True)
+    + FILE_GRAPH
+    + ", n AS (SELECT path AS id FROM p)"
+    + COMPS
+    + LEVELS
+    + """, own AS (SELECT comp, level, string_agg(id||'='||blob, chr(10) ORDER BY id||'='||blob) AS own FROM comp JOIN p ON path=id JOIN top USING (comp) GROUP BY comp, level),
+ r AS (SELECT 0 AS k, comp, level, own, CASE WHEN level=0 THEN sha256(own) END AS closure FROM own
+  UNION ALL SELECT k+1, r.comp, level, own, CASE WHEN level=k+1 THEN sha256(own||chr(0)||kids) ELSE closure END
+  FROM r LEFT JOIN (SELECT ca, string_agg(r.closure, chr(10) ORDER BY r.closure) AS kids FROM cond JOIN r ON r.comp=cb GROUP BY ca) ON ca=r.comp WHERE k<(SELECT max(level) FROM top)),
+ merkle AS (SELECT id, blob, comp, closure FROM comp JOIN p ON path=id JOIN r USING (comp) WHERE k=(SELECT max(level) FROM top))"""
+)
+
+
 def merkle(spark, d):
     """(id, hash, comp, closure) of every captured file."""
     e = checkpointed(file_graph(spark, d))
@@ -103,12 +157,12 @@ def merkle(spark, d):
     return files.join(comps, "id").join(closure, "comp"), levels
 
 
-@query("g8_merkle_closure")
+@query("g8_merkle_closure", MERKLE + " SELECT id, comp, closure FROM merkle")
 def g8(spark, d):
     return merkle(spark, d)[0].select("id", "comp", "closure")
 
 
-@query("g9_file_keys")
+@query("g9_file_keys", MERKLE + " SELECT id, sha256('bundle-1'||chr(0)||id||chr(0)||blob||chr(0)||closure) AS key FROM merkle")
 def g9(spark, d):
     return merkle(spark, d)[0].select("id", digest(F.lit("bundle-1"), "id", "hash", "closure").alias("key"))
 
@@ -119,26 +173,29 @@ def g10(spark, d):
     return traverse.import_closure(inputs.import_paths(spark, d), seed)[1].select("import_id", "a")
 
 
-@query("g11_callees_first")
+@query("g11_callees_first", E.replace("WITH", "WITH RECURSIVE", 1) + ", e AS (SELECT DISTINCT source AS a, target AS b FROM calle WHERE target IS NOT NULL)" + ENDS + COMPS + LEVELS + " SELECT comp, level FROM top")
 def g11(spark, d):
     e = checkpointed(inputs.call_edges(spark, d).where("target IS NOT NULL").select(F.col("source").alias("a"), F.col("target").alias("b")))
     comps = checkpointed(traverse.strong_components(e))
     return traverse.topological_levels(e, comps)
 
 
-@query(
-    "g13_signed_levels",
+SIGNED = (
     using("nations", recursive=True)
     + """, st AS (SELECT a AS id, b AS t, 1 AS s FROM ne UNION SELECT b, a, -1 FROM ne),
  l1 AS (SELECT t AS id, max(s) AS distance FROM st WHERE id=0 AND t<>0 GROUP BY t),
- l2 AS (SELECT st.t AS id, max(l1.distance+s) AS distance FROM l1 JOIN st ON st.id=l1.id WHERE st.t<>0 AND st.t NOT IN (SELECT id FROM l1) GROUP BY st.t)
- SELECT CAST(0 AS BIGINT) AS id, 0 AS distance UNION ALL SELECT id, distance FROM l1 UNION ALL SELECT id, distance FROM l2""",
+ l2 AS (SELECT st.t AS id, max(l1.distance+s) AS distance FROM l1 JOIN st ON st.id=l1.id WHERE st.t<>0 AND st.t NOT IN (SELECT id FROM l1) GROUP BY st.t),
+ l3 AS (SELECT st.t AS id, max(l2.distance+s) AS distance FROM l2 JOIN st ON st.id=l2.id WHERE st.t<>0 AND st.t NOT IN (SELECT id FROM l1 UNION SELECT id FROM l2) GROUP BY st.t),
+ two AS (SELECT CAST(0 AS BIGINT) AS id, 0 AS distance UNION ALL SELECT id, distance FROM l1 UNION ALL SELECT id, distance FROM l2)"""
 )
+
+
+@query("g13_signed_levels", SIGNED + " SELECT id, distance FROM two")
 def g13(spark, d):
     return traverse.signed_levels(checkpointed(projections.nation_edges(spark, d)), spark.createDataFrame([(0,)], "id long"), 2)
 
 
-@query("g14_focus_model")
+@query("g14_focus_model", SIGNED + ", w AS (SELECT id, distance, row_number() OVER (ORDER BY abs(distance), id) AS rank FROM (SELECT * FROM two UNION ALL SELECT * FROM l3)) SELECT id, distance, rank, rank<=12 AS drawn FROM w")
 def g14(spark, d):
     e = checkpointed(projections.nation_edges(spark, d))
     levels = traverse.signed_levels(e, spark.createDataFrame([(0,)], "id long"), 3)
