@@ -72,15 +72,15 @@ def g4_bounded(spark, d):
 
 @query(
     "g4_bounded_orders",
-    """WITH RECURSIVE l AS (SELECT l_orderkey||':'||l_linenumber AS k, 'order:'||l_orderkey AS o, 'part:'||l_partkey AS p, l_linenumber FROM lineitem),
+    """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey||':'||l_linenumber||':'||l_partkey AS k, 'order:'||l_orderkey AS o, 'part:'||l_partkey AS p, l_linenumber FROM lineitem),
  e AS (SELECT 'lists:'||k AS id, o AS source, CASE WHEN l_linenumber<>7 THEN p END AS target FROM l UNION ALL SELECT 'in:'||k, p, o FROM l)"""
     + BOUNDED,
 )
 def g4_orders(spark, d):
     """Orders and their parts, to and fro: wide enough for both budgets to cut the search; seventh lines are unresolved."""
-    k = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    k = F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))  # a line number may repeat
     named = lambda what, c: F.concat(F.lit(f"{what}:"), F.col(c).cast("string"))
-    rows = table(spark, d, "lineitem").select(k.alias("k"), named("order", "l_orderkey").alias("o"), named("part", "l_partkey").alias("p"), "l_linenumber")
+    rows = table(spark, d, "lineitem").select(k.alias("k"), named("order", "l_orderkey").alias("o"), named("part", "l_partkey").alias("p"), "l_linenumber").distinct()
     lists = rows.select(F.concat(F.lit("lists:"), "k").alias("id"), F.col("o").alias("source"), F.when(F.col("l_linenumber") != 7, F.col("p")).alias("target"))
     return bounded(spark, checkpointed(lists.unionByName(rows.select(F.concat(F.lit("in:"), "k"), "p", "o").toDF("id", "source", "target"))))
 
