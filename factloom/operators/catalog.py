@@ -48,9 +48,12 @@ def budget_report(files: DataFrame, by: list[str], entries: int, total: int) ->
 
 
 def scan_profile(policies: DataFrame) -> DataFrame:
-    """One digest of all (path, blob) of the ignore policies, in path order."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("path", "blob"))), lambda p: F.concat_ws("=", p.path, p.blob))
-    return policies.agg(F.sha2(F.array_join(rows, "\n"), 256).alias("scan_profile"))
+    """One digest of all (path, blob) of the policies: 65,536 buckets by the digest of the path, each digested in path order, then the
+    buckets' digests in theirs. No task holds more than a bucket, or a line per bucket."""
+    bucket = F.substring(F.sha2("path", 256), 1, 4)
+    in_order = lambda a, b: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda p: F.concat_ws("=", p[a], p[b])), "\n")
+    parts = policies.groupBy(bucket.alias("bucket")).agg(F.sha2(in_order("path", "blob"), 256).alias("digest"))
+    return parts.agg(F.sha2(in_order("bucket", "digest"), 256).alias("scan_profile"))
 
 
 def blobs(files: DataFrame) -> DataFrame:
@@ -116,5 +119,6 @@ def counters(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return n.crossJoin(e)  # one row by one row
 
 
-def snapshot_id(files: DataFrame, profile: str) -> Column:
-    return digest(F.lit(profile), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "blob"))), "\n"))
+def snapshot_id(files: DataFrame, profile: str) -> DataFrame:
+    """The identity of a snapshot: of its scan profile and of all its files."""
+    return scan_profile(files).select(digest(F.lit(profile), "scan_profile").alias("snapshot_id"))

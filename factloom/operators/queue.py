@@ -73,6 +73,34 @@ def reaped(jobs: DataFrame, now: int, to: str) -> DataFrame:
     return gone.select("id", F.lit(to).alias("state"), F.when(F.lit(to == "failed"), "lease_expired").alias("reason"))
 
 
+def beaten(jobs: DataFrame, beats: DataFrame, now: int, lease_ms: int) -> DataFrame:
+    """(id, applied, lease_expires_at) of heartbeats (id, holder): the holder of a running job renews its lease, for a second at least."""
+    rows = beats.join(jobs.select("id", "state", "lease_holder", "lease_expires_at"), "id", "left")
+    ok = F.coalesce((F.col("state") == "running") & (F.col("lease_holder") == F.col("holder")), F.lit(False))
+    return rows.select("id", ok.alias("applied"), F.when(ok, F.lit(now + max(lease_ms, 1000)).cast("long")).otherwise(F.col("lease_expires_at")).alias("lease_expires_at"))
+
+
+#: The actions that an agent may ask for.
+ACTIONS = ("inspect", "annotate", "propose_patch")
+
+
+def asked(requests: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Requests (owner, request_key, kind, analysis, created_at, seq) as they are stored: the earliest under each (owner, request_key); one for another
+    action, or of an analysis that is not in ``analyses`` (analysis), is stored as rejected with the reason."""
+    key = F.sha2(F.concat_ws("\u0000", "owner", "request_key"), 256)
+    first = requests.groupBy(key.alias("id")).agg(F.min_by(F.struct("kind", "analysis", "created_at"), F.struct("created_at", "seq")).alias("r")).select("id", "r.*")
+    rows = first.join(analyses.select("analysis", F.lit(True).alias("known")).distinct(), "analysis", "left")
+    reason = F.when(~F.coalesce(F.col("kind").isin(*ACTIONS), F.lit(False)), "action_not_in_bounded_set").when(F.col("known").isNull(), "unknown_analysis")
+    return rows.select("id", "kind", F.when(reason.isNull(), "queued").otherwise("rejected").alias("state"), reason.alias("reason"), "created_at")
+
+
+def claim_oldest(requests: DataFrame, now: int, holder: str, lease_ms: int) -> DataFrame:
+    """The request to work on next, leased: the oldest that waits, or whose lease has run out."""
+    free = (F.col("state") == "queued") | ((F.col("state") == "leased") & (F.col("lease_expires_at") < now))
+    head = requests.where(free).orderBy("created_at", "id").limit(1)
+    return head.select("id", F.lit("leased").alias("state"), F.lit(holder).alias("lease_holder"), F.lit(now + max(lease_ms, 1000)).cast("long").alias("lease_expires_at"))
+
+
 TRANSITIONS = {("proposed", "verify"): "verified", ("proposed", "reject"): "rejected", ("verified", "apply"): "applied", ("verified", "reject"): "rejected", ("applied", "revert"): "reverted"}
 
 

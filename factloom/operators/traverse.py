@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.ranks import numbered
 from factloom.session import checkpointed
 
 #: Rounds that are planned together as one job: fewer jobs against longer plans.
@@ -235,7 +236,16 @@ def import_closure(imports: DataFrame, seed: DataFrame) -> tuple[DataFrame, Data
     return files, value.where("b IS NULL").join(files.select(F.col("id").alias("a")), "a", "left_semi")
 
 
+def closure_report(files: DataFrame, unresolved: DataFrame, named: int = 20) -> DataFrame:
+    """(part, id): the files of a closure; of its unresolved imports (specifier) the first ``named`` relative ones, which a copy can break, and
+    the number of bare ones, which are looked up elsewhere."""
+    relative = F.col("specifier").rlike(r"^\.\.?(/|$)")
+    broken = unresolved.where(relative).select(F.col("specifier").alias("id")).distinct().orderBy("id").limit(named)
+    bare = unresolved.agg(F.count_if(~relative).cast("string").alias("id"))
+    out = files.select(F.lit("file").alias("part"), "id").unionByName(broken.select(F.lit("relative").alias("part"), "id"))
+    return out.unionByName(bare.select(F.lit("bare").alias("part"), "id"))
+
+
 def rank_by_distance(levels: DataFrame, budget: int) -> DataFrame:
     """Nodes to draw: the nearest ``budget`` by (abs(distance), id); the others are folded."""
-    w = Window.orderBy(F.abs("distance"), "id")
-    return levels.withColumn("rank", F.row_number().over(w)).withColumn("drawn", F.col("rank") <= budget)
+    return numbered(levels, [F.abs("distance"), F.col("id")], "rank").withColumn("drawn", F.col("rank") <= budget)

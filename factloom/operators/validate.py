@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from factloom.functions.text import on_boundary
 
 
+def contract(schema: str, snapshot_id: str, producer: str) -> Column:
+    """What is wrong with a document of facts (schema, snapshot_id, producer); null if it is the one asked for."""
+    other = ~F.col("schema").eqNullSafe(schema) | ~F.col("snapshot_id").eqNullSafe(snapshot_id)
+    got = F.concat(F.lit("worker_producer_not_supported:got="), F.coalesce("producer", F.lit("")), F.lit(f":expected={producer}"))
+    return F.when(other, "language_contract_mismatch").when(~F.col("producer").eqNullSafe(producer), got)
+
+
 def coverage(expected: DataFrame, acknowledged: DataFrame) -> DataFrame:
     """(path, problem): expected but missing, acknowledged but invented, acknowledged twice."""
     missing = expected.select("path").distinct().join(acknowledged.select("path"), "path", "left_anti").withColumn("problem", F.lit("missing"))

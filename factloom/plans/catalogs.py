@@ -33,9 +33,18 @@ def s5(spark, d):
     return table(spark, d, "documents").select("doc_id", rule.alias("disposition"))
 
 
-@query("s7_scan_profile", using("cat") + " SELECT sha256(string_agg(path||'='||blob, chr(10) ORDER BY path)) AS scan_profile FROM cat WHERE doc_id%50=0")
+PROFILE = using("cat") + """, b AS (SELECT left(sha256(path),4) AS bucket, sha256(string_agg(path||'='||blob, chr(10) ORDER BY path, blob)) AS digest FROM cat GROUP BY 1),
+ s AS (SELECT sha256(string_agg(bucket||'='||digest, chr(10) ORDER BY bucket)) AS scan_profile FROM b)"""
+
+
+@query("s7_scan_profile", PROFILE + " SELECT scan_profile FROM s")
 def s7(spark, d):
-    return catalog.scan_profile(inputs.cat(spark, d).where("doc_id % 50 = 0"))  # the policy files of the projection
+    return catalog.scan_profile(inputs.cat(spark, d))
+
+
+@query("s10_snapshot_id", PROFILE + " SELECT sha256('profile-1'||chr(0)||scan_profile) AS snapshot_id FROM s")
+def s10(spark, d):
+    return catalog.snapshot_id(inputs.cat(spark, d), "profile-1")
 
 
 @query("s8_blob_store", using("cat") + " SELECT blob, min(path) AS path, count(*) AS n_files, max(bytes) AS bytes FROM cat GROUP BY blob")
@@ -90,6 +99,21 @@ def v2(spark, d):
     return validate.coverage(cat, ack)
 
 
+@query(
+    "v1_contracts",
+    "WITH f AS (SELECT event_id AS id, CASE WHEN event_id%11=0 THEN 'facts-0' ELSE 'facts-1' END AS s, CASE WHEN event_id%13=0 THEN 'other' ELSE 'snapshot' END AS n, CASE WHEN event_id%7<>0 THEN 'front-end-1' WHEN event_id%2=0 THEN event_type END AS p FROM events) SELECT id, CASE WHEN s<>'facts-1' OR n<>'snapshot' THEN 'language_contract_mismatch' WHEN p IS NULL OR p<>'front-end-1' THEN 'worker_producer_not_supported:got='||coalesce(p,'')||':expected=front-end-1' END AS problem FROM f",
+)
+def v1(spark, d):
+    e = F.col("event_id")
+    facts = table(spark, d, "events").select(
+        e.alias("id"),
+        F.when(e % 11 == 0, "facts-0").otherwise("facts-1").alias("schema"),
+        F.when(e % 13 == 0, "other").otherwise("snapshot").alias("snapshot_id"),
+        F.when(e % 7 != 0, "front-end-1").when(e % 2 == 0, F.col("event_type")).alias("producer"),
+    )
+    return facts.select("id", validate.contract("facts-1", "snapshot", "front-end-1").alias("problem"))
+
+
 @query("v3_diagnostics_inside", using("cat", "bad") + " SELECT path FROM bad WHERE path NOT IN (SELECT path FROM cat WHERE disposition='captured')")
 def v3(spark, d):
     return validate.outside(inputs.bad(spark, d).distinct(), inputs.cat(spark, d).where("disposition = 'captured'"))
@@ -107,10 +131,9 @@ def v4(spark, d):
     return validate.bad_symbols(broken.unionByName(s.where("i = 3")))
 
 
-@query("v5_span_borders", "SELECT doc_id, substr(hex(encode(text)),15,2) NOT BETWEEN '80' AND 'BF' AS ok FROM documents WHERE strlen(text)>60")
+@query("v5_span_borders", "SELECT doc_id, CASE WHEN strlen(text)>7 THEN substr(hex(encode(text)),15,2) NOT BETWEEN '80' AND 'BF' ELSE strlen(text)=7 END AS ok FROM documents")
 def v5(spark, d):
-    docs = table(spark, d, "documents").where("octet_length(text) > 60")
-    return docs.select("doc_id", on_boundary(F.col("text"), F.lit(7)).alias("ok"))
+    return table(spark, d, "documents").select("doc_id", on_boundary(F.col("text"), F.lit(7)).alias("ok"))
 
 
 @query(

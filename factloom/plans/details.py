@@ -1,4 +1,4 @@
-"""The smaller operators."""
+"""The smaller operators."""
 
 from __future__ import annotations
 
@@ -53,6 +53,30 @@ def d6(spark, d):
     return decisions.spec_problems(specs)
 
 
+D8 = """WITH v AS (SELECT l_orderkey AS fn, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS m FROM lineitem)
+ SELECT fn, n, p, CASE p%9 WHEN 0 THEN 'null' WHEN 1 THEN CAST(s AS VARCHAR) WHEN 2 THEN '"'||m||'"' WHEN 3 THEN '{"kind":"undefined"}' WHEN 4 THEN '{"kind":"nan"}' WHEN 5 THEN '['||s||',{"kind":"infinity"},["'||m||'"]]'
+ WHEN 6 THEN '{"a":'||s||',"b":{"c":{"kind":"negative_infinity"}}}' WHEN 7 THEN '{"kind":"promise"}' ELSE '{"a":'||s||'}' END AS value FROM v"""
+
+
+@query("d8_decoded_values", D8)
+def d8(spark, d):
+    s, m, k = F.col("l_suppkey").cast("string"), F.col("l_returnflag"), F.col("l_partkey") % 9
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    number, word = text('{"kind":"number","value":', s, "}"), text('{"kind":"string","value":"', m, '"}')
+    encoded = (
+        F.when(k == 0, '{"kind":"null"}')
+        .when(k == 1, number)
+        .when(k == 2, word)
+        .when(k == 3, '{"kind":"undefined"}')
+        .when(k == 4, '{"kind":"nan"}')
+        .when(k == 5, text('{"kind":"array","items":[', number, ',{"kind":"infinity"},{"kind":"array","items":[', word, "]}]}"))
+        .when(k == 6, text('{"kind":"object","entries":{"a":', number, ',"b":{"kind":"object","entries":{"c":{"kind":"negative_infinity"}}}}}'))
+        .when(k == 7, '{"kind":"promise","of":1}')
+        .otherwise(text('{"a":', s, "}"))
+    )
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), decisions.decoded(encoded).alias("value"))
+
+
 @query("d11_effect_journal", "SELECT user_id AS id, event_type AS effect, count(*) AS n FROM events WHERE event_id%3=0 GROUP BY ALL")
 def d11(spark, d):
     kind = F.when(F.col("event_id") % 3 == 0, "denied").otherwise("seen")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions.identity import digest
-from factloom.operators import catalog, graph, traverse
+from factloom.operators import catalog, graph, ranks, traverse
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
@@ -173,6 +173,24 @@ def g10(spark, d):
     return traverse.import_closure(inputs.import_paths(spark, d), seed)[1].select("import_id", "a")
 
 
+@query(
+    "g10_closure_report",
+    using("cat", "imports", recursive=True)
+    + """, e AS (SELECT i.path AS a, c.path AS b, CASE i.doc_id%4 WHEN 0 THEN './gone_'||i.doc_id WHEN 1 THEN '..' WHEN 2 THEN 'pkg_'||i.doc_id ELSE '.hidden' END AS specifier FROM imports i LEFT JOIN cat c ON c.doc_id=i.target_doc WHERE NOT type_only),
+ r AS (SELECT path AS id FROM cat WHERE doc_id=1 UNION SELECT e.b FROM r JOIN e ON e.a=r.id WHERE e.b IS NOT NULL), u AS (SELECT specifier FROM e WHERE b IS NULL AND a IN (SELECT id FROM r))
+ SELECT 'file' AS part, id FROM r UNION ALL (SELECT 'relative', specifier FROM (SELECT DISTINCT specifier FROM u WHERE regexp_matches(specifier, '^\\.\\.?(/|$)')) ORDER BY specifier LIMIT 20)
+ UNION ALL SELECT 'bare', CAST(count(*) FILTER (NOT regexp_matches(specifier, '^\\.\\.?(/|$)')) AS VARCHAR) FROM u""",
+)
+def g10_report(spark, d):
+    seed = inputs.cat(spark, d).where("doc_id = 1").select(F.col("path").alias("id"))
+    rows = checkpointed(inputs.import_paths(spark, d))
+    files, unresolved = traverse.import_closure(rows, seed)
+    k, doc = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("./gone_"), doc)).when(k == 1, "..").when(k == 2, F.concat(F.lit("pkg_"), doc)).otherwise(".hidden")
+    named = unresolved.join(rows.select(F.col("id").alias("import_id"), name.alias("specifier")), "import_id")
+    return traverse.closure_report(files, named)
+
+
 @query("g11_callees_first", E.replace("WITH", "WITH RECURSIVE", 1) + ", e AS (SELECT DISTINCT source AS a, target AS b FROM calle WHERE target IS NOT NULL)" + ENDS + COMPS + LEVELS + " SELECT comp, level FROM top")
 def g11(spark, d):
     e = checkpointed(inputs.call_edges(spark, d).where("target IS NOT NULL").select(F.col("source").alias("a"), F.col("target").alias("b")))
@@ -221,13 +239,11 @@ def g20(spark, d):
     return picked.join(there, "id", "left").select("id", status.alias("status"))
 
 
-@query("w5_frontier_order", using("nations") + " SELECT a, b, row_number() OVER (ORDER BY a, b) AS k FROM ne WHERE a IN (SELECT b FROM ne WHERE a=0)")
+@query("w5_frontier_order", using("nations") + " SELECT a, b, row_number() OVER (ORDER BY a, b) AS k, row_number() OVER (ORDER BY a, b)<=3 AS examined FROM ne WHERE a IN (SELECT b FROM ne WHERE a=0)")
 def w5(spark, d):
     e = checkpointed(projections.nation_edges(spark, d))
-    from pyspark.sql import Window
-
     front = e.join(e.where("a = 0").select(F.col("b").alias("a")), "a", "left_semi")
-    return front.withColumn("k", F.row_number().over(Window.orderBy("a", "b")))
+    return ranks.numbered(front, [F.col("a"), F.col("b")], "k").withColumn("examined", F.col("k") <= 3)  # a budget of three edges
 
 
 @query("v8_order_paths", "SELECT c_nationkey, s_nationkey, count(*) AS n FROM customer JOIN orders ON o_custkey=c_custkey JOIN lineitem ON l_orderkey=o_orderkey JOIN supplier ON s_suppkey=l_suppkey GROUP BY ALL")

@@ -92,6 +92,13 @@ def j7(spark, d):
     return queue.finished(q, reports, now(q))
 
 
+@query("j7_heartbeat", Q + f", b AS (SELECT *, coalesce(state='running' AND lease_holder='worker-'||(event_id%3), false) AS ok FROM q) SELECT id, ok AS applied, CASE WHEN ok THEN CAST({NOW}+60000 AS BIGINT) ELSE lease_expires_at END AS lease_expires_at FROM b")
+def j7_beat(spark, d):
+    q = jobs(spark, d)
+    beats = q.select("id", F.concat(F.lit("worker-"), (F.col("event_id") % 3).cast("string")).alias("holder"))
+    return queue.beaten(q, beats, now(q), 60_000)
+
+
 @query("j8_reap_jobs", Q + f" SELECT id, 'failed' AS state, 'lease_expired' AS reason FROM q WHERE state='running' AND lease_expires_at<{NOW}")
 def j8(spark, d):
     q = jobs(spark, d)
@@ -104,6 +111,43 @@ def j10(spark, d):
     return queue.reaped(q, now(q), "queued").select("id", "state")
 
 
+REQUESTS = """WITH e AS (SELECT sha256(user_id||chr(0)||event_type||':'||(event_id%50)) AS id, event_id AS seq, epoch_us(ts)//1000 AS created_at, 'a'||(event_id%7) AS analysis,
+ CASE event_type WHEN 'view' THEN 'inspect' WHEN 'click' THEN 'annotate' WHEN 'purchase' THEN 'propose_patch' ELSE event_type END AS kind FROM events),
+ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, seq) AS k FROM e) WHERE k=1),
+ s AS (SELECT id, kind, CASE WHEN kind IN ('inspect','annotate','propose_patch') AND analysis<>'a3' THEN 'queued' ELSE 'rejected' END AS state,
+ CASE WHEN kind NOT IN ('inspect','annotate','propose_patch') THEN 'action_not_in_bounded_set' WHEN analysis='a3' THEN 'unknown_analysis' END AS reason, created_at FROM r)"""
+
+
+def agent_requests(spark, d):
+    """A request per event: errors and other types are no actions, analysis a3 was never published."""
+    e, k = F.col("event_type"), F.col("event_id")
+    kind = F.when(e == "view", "inspect").when(e == "click", "annotate").when(e == "purchase", "propose_patch").otherwise(e)
+    rows = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("owner"),
+        F.concat_ws(":", e, (k % 50).cast("string")).alias("request_key"),
+        kind.alias("kind"),
+        F.concat(F.lit("a"), (k % 7).cast("string")).alias("analysis"),
+        F.floor(epoch_us(F.col("ts")) / 1000).alias("created_at"),
+        k.alias("seq"),
+    )
+    return queue.asked(rows, spark.createDataFrame([(f"a{i}",) for i in (0, 1, 2, 4, 5, 6)], "analysis string"))
+
+
+@query("j10_requests", REQUESTS + " SELECT id, kind, state, reason, created_at FROM s")
+def j10_requests(spark, d):
+    return agent_requests(spark, d)
+
+
+@query("j10_claim_oldest", REQUESTS + " SELECT id, 'leased' AS state, 'agent-1' AS lease_holder, (SELECT max(created_at) FROM s)+1000 AS lease_expires_at FROM s WHERE CASE WHEN kind='annotate' THEN created_at+5000<(SELECT max(created_at) FROM s) ELSE kind='propose_patch' END AND state='queued' ORDER BY created_at, id LIMIT 1")
+def j10_claim(spark, d):
+    """Inspections are done, annotations leased for five seconds, patches wait."""
+    rows = agent_requests(spark, d)
+    taken = (F.col("state") == "queued") & (F.col("kind") == "annotate")
+    state = F.when(taken, "leased").when((F.col("state") == "queued") & (F.col("kind") == "inspect"), "completed").otherwise(F.col("state"))
+    held = rows.withColumns({"state": state, "lease_expires_at": F.when(taken, F.col("created_at") + 5000)})
+    return queue.claim_oldest(held, rows.agg(F.max("created_at")).first()[0], "agent-1", 10)
+
+
 @query(
     "n1_annotations",
     "WITH a AS (SELECT CAST(user_id AS VARCHAR) AS entity, event_type AS kind, props AS text, epoch_us(ts) AS created_at FROM events WHERE event_type IN ('view','click','error') AND length(props) BETWEEN 1 AND 9) SELECT sha256(entity||chr(0)||kind||chr(0)||text) AS id, min(created_at) AS created_at, entity, kind FROM a GROUP BY entity, kind, text",

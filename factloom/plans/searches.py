@@ -118,13 +118,12 @@ def q13(spark, d):
     return rows.select("id", "w_start", "start_line", "truncated", F.sha2("window", 256).alias("digest"))
 
 
-@query("q15_leading_comment", "SELECT doc_id, CASE WHEN doc_id%3=0 THEN trim(split_part(text,chr(10),1)) WHEN doc_id%3=1 THEN trim(split_part(text,chr(10),1)) END AS comment FROM documents WHERE NOT contains(split_part(text,chr(10),1),'*') AND trim(split_part(text,chr(10),1))<>''")
+@query("q15_leading_comment", "SELECT doc_id, CASE WHEN doc_id%3=0 AND NOT contains(split_part(text,chr(10),1),'*/') THEN trim(split_part(text,chr(10),1)) WHEN doc_id%3=1 THEN trim(split_part(text,chr(10),1)) END AS comment FROM documents")
 def q15(spark, d):
     first = F.substring_index("text", "\n", 1)
-    docs = table(spark, d, "documents").where(~first.contains("*") & (F.trim(first) != ""))
     k = F.col("doc_id") % 3
     before = F.when(k == 0, F.concat(F.lit("x\n/* "), first, F.lit(" */\n"))).when(k == 1, F.concat(F.lit("x;\n// "), first, F.lit("\n"))).otherwise(F.concat(F.lit("x = "), first, F.lit(";\n")))
-    return docs.select("doc_id", documents.leading_comment(before).alias("comment"))
+    return table(spark, d, "documents").select("doc_id", documents.leading_comment(before).alias("comment"))
 
 
 @query("q16_line_of_byte", using("cat", "sym") + " SELECT id, i+1 AS line_no FROM sym", also="q16_line_of_byte_whole")

@@ -33,9 +33,10 @@ QUEUE = """q AS (SELECT sha256(user_id||':p:'||event_id) AS id, event_id, CAST(u
  CASE WHEN event_type='click' THEN epoch_us(ts)//1000+60000 END AS lease_expires_at, CASE WHEN event_type='click' THEN 'worker-'||(event_id%4) END AS lease_holder FROM events)"""
 BOXES = """box AS (SELECT p_partkey AS id, p_partkey*37%1000 AS x, p_partkey*91%1000 AS y, CAST(p_size%20+5 AS BIGINT) AS w, p_partkey%11+4 AS h FROM part)"""
 MARKDOWN = """md AS (SELECT 'conv_'||conv_id||'.md' AS path, string_agg('# '||role||chr(10)||CASE WHEN turn%5=4 THEN '```'||chr(10)||'# not a heading'||chr(10)||'```' ELSE text END, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
-ERRORS = """ee0 AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM events WHERE event_type='error' AND hour(ts)<1),
+ERRORS = """ee0 AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM events WHERE event_type='error'),
 ee AS (SELECT DISTINCT a, b FROM ee0 WHERE b IS NOT NULL)"""
-NATIONS = """ne AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey WHERE l_quantity>49 AND l_discount>=0.1)"""
+NATIONS = """ne0 AS (SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY ALL),
+ne AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM ne0) WHERE place<=2)"""
 IR = """ir AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag, l_linestatus FROM lineitem)"""
 
 PARTS = dict(cat=CAT, dirs=DIRS, sym=SYM, calls=CALLS, bad=BAD, edges=EDGES, nodes=NODES, imports=IMPORTS, versions=VERSIONS, queue=QUEUE, boxes=BOXES, markdown=MARKDOWN, errors=ERRORS, nations=NATIONS, ir=IR)
