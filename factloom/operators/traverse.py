@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.ranks import numbered
@@ -236,6 +236,45 @@ def import_closure(imports: DataFrame, seed: DataFrame) -> tuple[DataFrame, Data
     return files, value.where("b IS NULL").join(files.select(F.col("id").alias("a")), "a", "left_semi")
 
 
+def folds(levels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, a, b, n, members) of what is not drawn. ``levels``: id, distance, drawn.
+
+    A folded node walks towards the root (its least neighbour of smaller distance) and away from it until it meets drawn nodes. Between
+    two different ones it is part of a chain from a to b, with one towards the root a tail of a, else it is not attributed.
+    A step changes the distance, so there are no more rounds than distances.
+    """
+    ends = edges.where("b IS NOT NULL")
+    both = ends.select("a", "b").unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    side = lambda c, s: levels.select(F.col("id").alias(c), F.abs("distance").alias(s))
+    steps = checkpointed(both.join(side("a", "da"), "a").join(side("b", "db"), "b").where("da <> db").groupBy("a").agg(F.min(F.when(F.col("db") < F.col("da"), F.col("b"))).alias("inward"), F.min(F.when(F.col("db") > F.col("da"), F.col("b"))).alias("outward")))
+    drawn = levels.where("drawn").select(F.col("id").alias("at"))
+    folded = checkpointed(levels.where("NOT drawn").select("id"))
+
+    def ends_of(way: str) -> DataFrame:
+        walkers, found = folded.select("id", F.col("id").alias("at")), folded.where("false").select("id", F.col("id").alias(way))
+        while not walkers.isEmpty():
+            on = steps.select(F.col("a").alias("at"), F.col(way).alias("to")).where("to IS NOT NULL")
+            moved = checkpointed(walkers.join(on, "at").select("id", F.col("to").alias("at")))
+            found = found.unionByName(moved.join(drawn, "at").select("id", F.col("at").alias(way)))
+            walkers = moved.join(drawn, "at", "left_anti")
+        return found
+
+    rows = folded.join(ends_of("inward"), "id", "left").join(ends_of("outward"), "id", "left")
+    chain = F.col("inward").isNotNull() & F.col("outward").isNotNull() & (F.col("inward") != F.col("outward"))
+    kind = F.when(chain, "chain").when(F.col("inward").isNotNull(), "tail").otherwise("unattributed")
+    rows = rows.select(kind.alias("kind"), F.col("inward").alias("a"), F.when(chain, F.col("outward")).alias("b"), "id")
+    rows = checkpointed(rows)
+    keys = ["kind", "a", "b"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    shown = rows.withColumn("place", place).where("place <= 24").groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("ids"))  # a fold shows its first 24
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}"))
+    members = F.array_join(F.transform("s.ids", lambda x: x.cast("string")), ",")
+    return counts.alias("c").join(shown.alias("s"), same).select(*[f"c.{k}" for k in keys], "c.n", members.alias("members"))
+
+
 def closure_report(files: DataFrame, unresolved: DataFrame, named: int = 20) -> DataFrame:
     """(part, id): the files of a closure; of its unresolved imports (specifier) the first ``named`` relative ones, which a copy can break, and
     the number of bare ones, which are looked up elsewhere."""

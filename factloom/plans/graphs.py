@@ -220,6 +220,36 @@ def g14(spark, d):
     return traverse.rank_by_distance(levels, 12).select("id", "distance", "rank", "drawn")
 
 
+def folds_sql(drawn: str) -> str:
+    """SQL of what is folded when of all levels those are drawn for which ``drawn`` holds."""
+    walk = lambda name, way: f"""{name} AS (SELECT id, id AS at FROM w WHERE NOT drawn UNION ALL SELECT {name}.id, {way}.nxt FROM {name} JOIN {way} ON {way}.id={name}.at JOIN w ON w.id={name}.at WHERE NOT w.drawn)"""
+    step = lambda name, sign: f"""{name} AS (SELECT x.id, min(y.id) AS nxt FROM w x JOIN st ON st.id=x.id JOIN w y ON y.id=st.t WHERE abs(y.distance){sign}abs(x.distance) GROUP BY x.id)"""
+    return (
+        SIGNED
+        + f""", w AS (SELECT id, distance, {drawn} AS drawn FROM (SELECT *, row_number() OVER (ORDER BY abs(distance), id) AS rank FROM (SELECT * FROM two UNION ALL SELECT * FROM l3))),
+ {step("i", "<")}, {step("o", ">")}, {walk("wi", "i")}, {walk("wo", "o")},
+ f AS (SELECT w.id, wi.at AS inward, wo.at AS outward FROM w LEFT JOIN (SELECT wi.* FROM wi JOIN w ON w.id=wi.at AND w.drawn) wi ON wi.id=w.id LEFT JOIN (SELECT wo.* FROM wo JOIN w ON w.id=wo.at AND w.drawn) wo ON wo.id=w.id WHERE NOT w.drawn),
+ k AS (SELECT CASE WHEN inward<>outward THEN 'chain' WHEN inward IS NOT NULL THEN 'tail' ELSE 'unattributed' END AS kind, inward AS a, CASE WHEN inward<>outward THEN outward END AS b, id FROM f)
+ SELECT kind, a, b, count(*) AS n, array_to_string(list_slice(list(id ORDER BY id), 1, 24), ',') AS members FROM k GROUP BY kind, a, b"""
+    )
+
+
+@query("g14_focus_folds", folds_sql("rank<=8"))
+def g14_folds(spark, d):
+    """What a budget of eight boxes folds: tails alone, since the nearest are drawn."""
+    e = checkpointed(projections.nation_edges(spark, d))
+    levels = traverse.signed_levels(e, spark.createDataFrame([(0,)], "id long"), 3)
+    return traverse.folds(checkpointed(traverse.rank_by_distance(levels, 8)), e)
+
+
+@query("g14_picked_folds", folds_sql("id=0 OR id%3=1"))
+def g14_picked(spark, d):
+    """What is folded when a third of the nations is picked: chains between drawn ones too."""
+    e = checkpointed(projections.nation_edges(spark, d))
+    levels = traverse.signed_levels(e, spark.createDataFrame([(0,)], "id long"), 3)
+    return traverse.folds(checkpointed(levels.withColumn("drawn", F.expr("id = 0 OR id % 3 = 1"))), e)
+
+
 @query("g18_merged_focus", using("nations") + " SELECT 0::BIGINT AS id UNION SELECT b FROM ne WHERE a=0 UNION SELECT a FROM ne WHERE b=0")
 def g18(spark, d):
     e = checkpointed(projections.nation_edges(spark, d))

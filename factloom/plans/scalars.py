@@ -91,6 +91,34 @@ def d1(spark, d):
     return profiles(spark, d)
 
 
+#: One in m order lines has each fact, by a number of the line.
+H = "(l_partkey*7+l_suppkey*3+l_orderkey)"
+D1 = f"""WITH h AS (SELECT l_orderkey AS fn, l_linenumber AS n, {H} AS h FROM lineitem),
+ r AS (SELECT *, concat_ws(',', CASE WHEN h%11=0 OR h%53=1 THEN 'analysis_partial' END, CASE WHEN h%13=0 OR h%17=0 THEN 'unknown_region' END, CASE WHEN h%19=0 THEN 'frontier_blocks' END, CASE WHEN h%17=0 THEN 'dynamic_code' END,
+ CASE WHEN h%23=0 THEN 'unknown_call' END, CASE WHEN h%29=0 THEN 'may_call' END, CASE WHEN h%31=0 THEN 'registers_callback' END, CASE WHEN h%37=0 THEN 'escaped_value' END, CASE WHEN h%3=0 THEN 'reads_global' END, CASE WHEN h%41=0 THEN 'heap_state' END,
+ CASE WHEN h%5=3 THEN 'captured_binding' END, CASE WHEN h%14=5 THEN 'external_binding' END, CASE WHEN h%9=4 THEN 'receiver_this' END, CASE WHEN h%43=0 THEN 'callsite_incomplete' END) AS reasons FROM h),
+ c AS (SELECT *, CASE WHEN contains(reasons,'dynamic_code') THEN 'unsupported' WHEN regexp_matches(reasons,'unknown_call|registers_callback|escaped_value|callsite_incomplete') THEN 'needs_entry_driver' WHEN reasons<>'' THEN 'needs_context' ELSE 'pure_callable' END AS class, h%5=3 AND h%2<>0 AS lost FROM r)
+ SELECT fn||':'||n AS id, class, class IN ('pure_callable','needs_entry_driver') OR (class='needs_context' AND NOT lost) AS runnable, reasons,
+ CASE WHEN regexp_matches(reasons,'analysis_partial|unknown_region|frontier_blocks|unknown_call|registers_callback|escaped_value|heap_state|callsite_incomplete') OR (h%3=0 AND h%6<>0) OR (h%5=3 AND h%2=0) THEN 'unknown_calls' ELSE '' END AS grants,
+ concat_ws(',', CASE WHEN h%6=0 THEN 'globals' END, CASE WHEN h%9=4 THEN 'this_arg' END) AS context, CASE WHEN lost THEN 'captures' ELSE '' END AS unsatisfiable FROM c"""
+
+
+@query("d1_fact_profile", D1)
+def d1_facts(spark, d):
+    h = F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_orderkey")
+    one = lambda m, r=0: h % m == r
+    number = lambda m, r=0: F.when(one(m, r), 2).otherwise(0)
+    rows = table(spark, d, "lineitem").select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
+        F.when(one(11), "partial").when(~one(53, 1), "complete_within_profile").alias("status"),
+        F.array_compact(F.array(F.when(one(13), "loop_bound"), F.when(one(17), "uses_eval"))).alias("unknown_reasons"),
+        *[number(*m).alias(c) for c, m in (("frontier", (19,)), ("may_call", (29,)), ("captures", (5, 3)), ("externals", (14, 5)), ("receivers", (9, 4)))],
+        *[one(m).alias(c) for c, m in (("unknown_call", 23), ("registers_callback", 31), ("escaped", 37), ("reads_global", 3), ("heap", 41), ("incomplete_sites", 43), ("top_level", 2))],
+        F.when(one(6), F.array(F.lit("console"))).alias("globals"),
+    )
+    return decisions.execution_profile(rows)
+
+
 @query("d5_run_decision", f"WITH {PROFILE} SELECT id, CASE WHEN class='unsupported' THEN 'refused' WHEN fil OR net THEN 'needs_grants' WHEN class='needs_entry_driver' THEN 'via_entry' ELSE 'run' END AS decision, concat_ws(',', CASE WHEN fil THEN 'files' END, CASE WHEN net THEN 'network' END) AS missing FROM pr")
 def d5(spark, d):
     return decisions.decide(profiles(spark, d), F.array(F.lit("context")))
