@@ -86,9 +86,10 @@ def members(nodes: DataFrame) -> DataFrame:
     return rows.where("parent IS NOT NULL").withColumn("place", F.row_number().over(order)).withColumn("has_children", F.col("child_count") > 0)
 
 
-def latest(rows: DataFrame, per: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group in ``order``."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("place") <= n)
+def latest(rows: DataFrame, per: list[str], order: list[Column], n: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, or all, with their places."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(*order)))
+    return placed if n is None else placed.where(F.col("place") <= n)
 
 
 def request_problem(page: Column, kind: Column, nodes: Column, edges: Column) -> Column:

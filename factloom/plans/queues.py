@@ -45,10 +45,12 @@ def j2(spark, d):
     return queue.submitted(q, requests(q).select("id").unionByName(new), now(q))
 
 
-@query("j3_enqueue", Q + " SELECT id, CASE WHEN event_id%3=0 AND state='failed' THEN 'queued' ELSE state END AS state, CASE WHEN event_id%3=0 AND state IN ('queued','failed') THEN priority+5 ELSE priority END AS priority FROM q")
+@query("j3_enqueue", Q + " SELECT id, CASE WHEN event_id%3=0 AND state='failed' THEN 'queued' ELSE state END AS state, CASE WHEN event_id%3=0 AND state IN ('queued','failed') THEN priority+5 ELSE priority END AS priority FROM q UNION ALL SELECT sha256('new:'||event_id), 'queued', priority FROM q WHERE event_id%100=0")
 def j3(spark, d):
+    """Every third job is asked for again, and a hundredth as many are new."""
     q = jobs(spark, d)
-    return queue.enqueued(q, requests(q)).select("id", "state", "priority")
+    new = q.where("event_id % 100 = 0").select(F.sha2(F.concat(F.lit("new:"), F.col("event_id").cast("string")), 256).alias("id"), "priority", "created_at")
+    return queue.enqueued(q, requests(q).unionByName(new)).select("id", "state", "priority")
 
 
 @query("j4_claim_next", Q + f" SELECT id, 'running' AS state, 'w1' AS lease_holder, CAST({NOW}+60000 AS BIGINT) AS lease_expires_at, CAST({NOW} AS BIGINT) AS heartbeat_at FROM q WHERE state='queued' ORDER BY priority DESC, created_at, id LIMIT 1")
@@ -61,7 +63,7 @@ def j4(spark, d):
 def j4_order(spark, d):
     from factloom.operators.search import latest
 
-    return latest(jobs(spark, d).where("state = 'queued'"), ["owner"], queue.by_urgency(), 1 << 30).select("id", "place")
+    return latest(jobs(spark, d).where("state = 'queued'"), ["owner"], queue.by_urgency()).select("id", "place")
 
 
 @query("j5_claim_by_id", Q + f" SELECT id, 'w2' AS lease_holder, CAST({NOW} AS BIGINT) AS heartbeat_at FROM q WHERE event_id%50=7 AND state='queued'")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions.identity import digest
-from factloom.operators import decisions, documents, folding
+from factloom.operators import dataflow, decisions, documents, folding
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
@@ -67,11 +67,12 @@ def f10(spark, d):
     )
 
 
-@query("f18_contexts", "SELECT l_suppkey AS callee, l_orderkey AS caller, l_linenumber AS op FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem WHERE l_returnflag<>'N') WHERE k<=8")
+@query("f18_contexts", "SELECT callee, caller, op FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller, op) AS k FROM (SELECT CASE WHEN l_partkey%10<>0 THEN l_suppkey END AS callee, l_orderkey AS caller, l_linenumber AS op FROM lineitem WHERE l_returnflag<>'N') WHERE callee IS NOT NULL) WHERE k<=8")
 def f18(spark, d):
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    rows = table(spark, d, "lineitem").where("l_returnflag <> 'N'").withColumn("k", F.row_number().over(w)).where("k <= 8")
-    return rows.select(F.col("l_suppkey").alias("callee"), F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("op"))
+    """An order calls its lines' suppliers, a tenth of them by names that are not resolved; returned lines pass scalars."""
+    callee = F.when(F.col("l_partkey") % 10 != 0, F.col("l_suppkey"))
+    calls = table(spark, d, "lineitem").select(callee.alias("callee"), F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("op"), (F.col("l_returnflag") != "N").alias("scalar"))
+    return dataflow.contexts(calls).select("callee", F.col("fn").alias("caller"), "op")
 
 
 FLAGS = "SELECT p_partkey AS id, p_partkey%11=0 AS u, p_partkey%7=0 AS nst, p_partkey%5=0 AS net, p_partkey%3=0 AS fil, p_partkey%2=0 AS mut FROM part"
