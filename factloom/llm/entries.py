@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import context_tree, decontaminate, licenses, main_text, ngram_join, packing, preference, secrets, toxicity, vptree
+from factloom.llm import context_tree, decontaminate, licenses, main_text, ngram_join, packing, preference, secrets, token_transducer, toxicity, vptree
 from factloom.llm.tables import table
 
 TOKENIZER = os.environ.get("FACTLOOM_TOKENIZER", "")
@@ -15,11 +15,13 @@ TOKENIZER = os.environ.get("FACTLOOM_TOKENIZER", "")
 
 def tokenizer_path() -> str:
     """The vocabulary file: the FACTLOOM_TOKENIZER variable, or the public tokenizers' 49k words."""
-    if TOKENIZER:
-        return TOKENIZER
+    return TOKENIZER or public_path("word_bpe_49k.json")
+
+
+def public_path(name: str) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents")).drop("row", "root")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_transducer.counts(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +99,7 @@ QUERIES = {
         op8_decontamination,
         op9_main_text,
         op10_ngram_jaccard,
+        op11_token_counts,
         pipeline,
     )
 }
