@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import context_tree, decontaminate, licenses, main_text, ngram_join, packing, preference, secrets, token_transducer, toxicity, vptree
+from factloom.llm import context_tree, decontaminate, fill_middle, licenses, main_text, ngram_join, packing, preference, secrets, token_transducer, toxicity, vptree
 from factloom.llm.tables import table
 
 TOKENIZER = os.environ.get("FACTLOOM_TOKENIZER", "")
@@ -80,6 +80,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +106,7 @@ QUERIES = {
         op9_main_text,
         op10_ngram_jaccard,
         op11_token_counts,
+        op12_fill_middle,
         pipeline,
     )
 }
@@ -109,4 +116,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": licenses.oracle(),
     "op8_decontamination": decontaminate.ORACLE,
     "op10_ngram_jaccard": ngram_join.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
