@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import context_tree, decontaminate, fill_middle, licenses, main_text, ngram_join, packing, preference, secrets, token_transducer, toxicity, vptree
+from factloom.llm import alignment, context_tree, decontaminate, fill_middle, licenses, main_text, ngram_join, packing, preference, secrets, token_transducer, toxicity, vptree
 from factloom.llm.tables import table
 
 TOKENIZER = os.environ.get("FACTLOOM_TOKENIZER", "")
@@ -86,6 +86,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment(docs, public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model")).drop("row")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,6 +112,7 @@ QUERIES = {
         op10_ngram_jaccard,
         op11_token_counts,
         op12_fill_middle,
+        op13_tokenizer_alignment,
         pipeline,
     )
 }

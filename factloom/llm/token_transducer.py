@@ -10,13 +10,12 @@ that it joins. It is the product of three machines:
   encoded as themselves, so the encoding of every prefix ends in one token. Its state keeps, for each end of the prefix that
   some token may still grow from, the place in the trie of tokens, the token before it, and how many tokens were made up to there.
 
-States are numbered when they are met first and their transitions kept in a table (compiled lazily, at most ``LIMIT`` at a
-time); what characters and neighbouring tokens are is asked of the tokenizer's own library, so both follow its Unicode tables and merges.
+States and their transitions are compiled when they are met first and kept, about ``LIMIT`` transitions at a time; what characters and neighbouring tokens are is asked of the tokenizer's own library, so both follow its Unicode tables and merges.
 
 Long texts are cut into chunks of ``chunk`` bytes that tasks share out. A chunk's map from the state before it to the state and
-count after it is known without that state: behind the first two ASCII characters of different kinds that show where a word begins, every
-state has become the same one. So a map is (``head``: the bytes up to there, ``count``: the tokens behind them, ``state``: the last
-state); one without such a place is all head. Maps compose associatively, and a prefix scan over the chunks of a text gives the
+count after it is known without that state: between two ASCII characters of different kinds a word surely ends and one begins, and the
+machine goes on as from its start. So a map is (``head``: the bytes up to the first such place, ``count``: the tokens known behind it, ``state``: the last
+state); one without such a place is all head. The maps of short parts between two such places are kept and added up. Maps compose associatively, and a prefix scan over the chunks of a text gives the
 state and the tokens before each of them and after the last.
 
 Null and empty texts have no tokens; each row is a document of its own, whatever its doc_id; texts of any length are counted whole;
@@ -25,10 +24,13 @@ an empty table gives no rows; further columns, whatever their names, are ignored
 
 from __future__ import annotations
 
+import gc
 import pickle
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, pairwise
+from operator import attrgetter, getitem
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +39,16 @@ from factloom.llm.kernels import by_key
 
 #: Texts above this many bytes are cut into chunks of that size.
 CHUNK = 1 << 18
-#: Transitions kept in a worker (some 150 bytes each); a full table is compiled anew.
-LIMIT = 1_500_000
+#: Transitions kept in a worker (some 200 bytes each); beyond, all are compiled anew.
+LIMIT = 1_200_000
+#: Parts up to so many bytes are kept with their count, at most LIMIT of them.
+WORD = 64
+#: The symbol behind a text's last byte.
+END = 256
 OTHER, LETTER, NUMBER, BLANK = range(4)
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")  # fixed values: the public splitting pattern of byte-level BPE
 _NO_WORD = ()
+_weight = attrgetter("weight")
 
 State = tuple  # (held, run, pending, word): see Transducer.START
 
@@ -121,20 +128,20 @@ class Transducer:
             raise Unsupported("only the byte-level splitter, without a space in front")
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
             raise Unsupported("added tokens that take in what stands beside them")
-        self.split = whole.pre_tokenizer
+        self.splitter = whole.pre_tokenizer
         self.added = tuple(t["content"].encode() for t in spec["added_tokens"])
         self.begins = {a[:i] for a in self.added for i in range(1, len(a))}
         self.bpe = Bpe(whole.model, model["vocab"])
         self.kinds: dict[bytes, int] = {}
         self.clear()
-        self.sync = self._sync_pattern()
+        self.sure = self._places()
 
     # The machines ---------------------------------------------------------------------------------------------------
 
     def kind(self, char: bytes) -> int:
         """What the library's splitter takes a character for: what it joins with an ``a``, a ``1`` or a ``!``."""
         if char not in self.kinds:
-            joined = [len(self.split.pre_tokenize_str(c + char.decode(errors="replace"))) == 1 for c in "a1!"]
+            joined = [len(self.splitter.pre_tokenize_str(c + char.decode(errors="replace"))) == 1 for c in "a1!"]
             self.kinds[char] = LETTER if joined[0] else NUMBER if joined[1] else OTHER if joined[2] else BLANK
         return self.kinds[char]
 
@@ -218,80 +225,95 @@ class Transducer:
                 count, held = count + more, held[1:]
         return count + self._flush(*inner)
 
-    # The compiled table ---------------------------------------------------------------------------------------------
+    # The compiled machine ---------------------------------------------------------------------------------------------
 
     def clear(self) -> None:
-        self.states: list[State] = []
-        self.numbers: dict[State, int] = {}
-        self.table: dict[int, tuple[int, int]] = {}
-        self.ends: dict[int, int] = {}
-
-    def _number(self, state: State) -> int:
-        """The state's number, a multiple of 256, so that it and a byte are one key."""
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states) << 8
-            self.states.append(state)
-        return self.numbers[state]
+        """No node is compiled. A node is a state reached with a weight: a dictionary from bytes (and ``END``) to nodes, which compiles what it misses."""
+        machine = self
+
+        class Node(dict):
+            __slots__ = ("state", "weight")
+
+            def __missing__(node, byte: int) -> Node:  # noqa: N805
+                machine.size += 1
+                if byte == END:
+                    to = machine._node(None, machine._finish(node.state))
+                else:
+                    to = machine._node(*machine._feed(node.state, byte))
+                node[byte] = to
+                return to
+
+        class Parts(dict):
+            def __missing__(parts, raw: bytes) -> int:  # noqa: N805
+                n = sum(map(_weight, machine._path(machine.START, chain(raw, (END,)))))
+                if len(raw) <= WORD:
+                    if len(parts) >= LIMIT:
+                        parts.clear()
+                    parts[raw] = n
+                return n
+
+        self.kind_of_node, self.size, self.parts = Node, 0, Parts()
+        self.nodes: dict[tuple[State | None, int], dict] = {}
+
+    def _node(self, state: State | None, weight: int) -> dict:
+        key = (state, weight)
+        if key not in self.nodes:
+            node = self.kind_of_node()
+            node.state, node.weight = key
+            self.nodes[key] = node
+        return self.nodes[key]
+
+    def _path(self, state: State, symbols: Iterable[int]) -> Iterator[dict]:
+        if self.size > LIMIT:
+            self.clear()
+            gc.collect()  # nodes refer to each other
+        return accumulate(symbols, getitem, initial=self._node(state, 0))
 
     def run(self, state: State, raw: bytes) -> tuple[State, int]:
         """The state and the tokens after ``raw``, read from ``state``."""
-        at, total, table = self._number(state), 0, self.table
-        for byte in raw:
-            try:
-                at, weight = table[at | byte]
-            except KeyError:
-                if len(table) >= LIMIT:
-                    now = self.states[at >> 8]
-                    self.clear()
-                    at, table = self._number(now), self.table
-                reached, weight = self._feed(self.states[at >> 8], byte)
-                key, at = at | byte, self._number(reached)
-                table[key] = (at, weight)
-            total += weight
-        return self.states[at >> 8], total
+        met = list(self._path(state, raw))
+        return met[-1].state, sum(map(_weight, met))
 
     def end(self, state: State) -> int:
-        at = self._number(state)
-        if at not in self.ends:
-            self.ends[at] = self._finish(state)
-        return self.ends[at]
+        return sum(map(_weight, self._path(state, (END,))))
 
     def count(self, raw: bytes) -> int:
-        state, n = self.run(self.START, raw)
-        return n + self.end(state)
+        """Tokens of a text: the sum over its parts between synchronising places, each read once."""
+        return sum(map(self.parts.__getitem__, self.split(raw)))
 
     # Maps of chunks -------------------------------------------------------------------------------------------------
 
-    def _sync_pattern(self) -> re.Pattern[bytes]:
-        """Two ASCII characters of different kinds, the first neither blank nor apostrophe, the second neither apostrophe nor the first
-        of an added token, that no added token holds: behind them a word of just the second has begun, whatever came before."""
-        kinds: dict[int, list[bytes]] = {k: [] for k in range(4)}
-        for b in range(128):
-            if b != 0x27:
-                kinds[self.kind(bytes([b]))].append(bytes([b]))
-        some = lambda chars: b"[" + b"".join(map(re.escape, chars)) + b"]"
-        after = {k: [c for o in range(4) if o != k for c in kinds[o] if not any(a.startswith(c) for a in self.added)] for k in kinds}
-        pairs = [some(kinds[k]) + b"(?=" + some(after[k]) + b")" for k in (LETTER, NUMBER, OTHER)]
-        inside = {a[i : i + 2] for a in self.added for i in range(len(a) - 1)}
-        barred = b"".join(b"(?!%s)" % re.escape(p) for p in sorted(inside))
-        return re.compile(barred + b"(?:" + b"|".join(pairs) + b")")
+    def _places(self) -> np.ndarray:
+        """Whether a word surely ends between two bytes and one begins, whatever came before: ASCII characters of different kinds, the first
+        neither blank nor apostrophe, the second neither apostrophe nor the first of an added token, that no added token holds both."""
+        kinds = {bytes([b]): self.kind(bytes([b])) for b in range(128) if b != 0x27}
+        sure = np.zeros((256, 256), bool)
+        for x, first in kinds.items():
+            for y, second in kinds.items():
+                barred = any(a.startswith(y) or x + y in a for a in self.added)
+                sure[x[0], y[0]] = first not in (BLANK, second) and not barred
+        return sure.ravel()
+
+    def split(self, raw: bytes) -> list[bytes]:
+        """The parts of ``raw`` between such places."""
+        at = np.frombuffer(raw, np.uint8).astype(np.uint16)
+        ends = [0, *(np.flatnonzero(self.sure[(at[:-1] << 8) | at[1:]]) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in pairwise(ends)]
 
     def map(self, raw: bytes) -> tuple[bytes, int, State | None]:
         """(head, count, state) of a chunk, whatever the state before it."""
-        found = self.sync.search(raw)
-        if not found:
-            return raw, 0, None
-        at = found.end() + 1
-        known, _ = self.run(self.START, raw[at - 2 : at])
-        state, count = self.run(known, raw[at:])
-        return raw[:at], count, state
+        head, *parts = self.split(raw)
+        if not parts:
+            return head, 0, None
+        state, n = self.run(self.START, parts[-1])
+        return head, n + sum(map(self.parts.__getitem__, parts[:-1])), state
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """The map of chunk ``a`` and then ``b``; associative."""
         if a[2] is None:
             return a[0] + b[0], b[1], b[2]
         state, n = self.run(a[2], b[0])
-        return a[0], a[1] + n + b[1], state if b[2] is None else b[2]
+        return (a[0], a[1] + n, state) if b[2] is None else (a[0], a[1] + n + self.end(state) + b[1], b[2])
 
     def identity(self) -> tuple:
         return b"", 0, self.START
@@ -347,7 +369,7 @@ def _short(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            n = pa.array([machine.count(t.as_buffer()) for t in batch.column("text")], pa.int64())
+            n = pa.array([machine.count(t.as_buffer().to_pybytes()) for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_bytes")), n], ["row", "doc_id", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(run, _COUNTED)
