@@ -9,7 +9,8 @@ from factloom.operators import catalog, graph, validate
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
-from factloom.sources import projections
+from factloom.session import shared_folder
+from factloom.sources import projections, trees
 from factloom.sources.tables import table
 
 
@@ -18,6 +19,43 @@ def s1(spark, d):
     return catalog.with_directories(inputs.cat(spark, d))
 
 
+#: What the folder of s1_tree_scan holds: the projection's files, some below a directory that no scan enters, links beside some, two policies.
+WRITTEN = """, w0 AS (SELECT doc_id, CASE WHEN doc_id%29=5 THEN 'node_modules/'||path ELSE path END AS path, coalesce(text, '') AS text, CAST(NULL AS VARCHAR) AS link FROM cat
+ UNION ALL SELECT doc_id, path||'.link', '', 'doc_'||(doc_id-1) FROM cat WHERE doc_id%31=7
+ UNION ALL SELECT -1, '.gitignore', '# images'||chr(10)||'*.png'||chr(10)||'/src1/de/'||chr(10), NULL UNION ALL SELECT -2, 'src3/.gitignore', '*.js'||chr(10)||'!doc_1*.js'||chr(10), NULL),
+ w AS (SELECT * FROM w0 WHERE NOT starts_with(path, 'node_modules/') AND NOT path LIKE 'src1/de/%'),
+ a AS (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM w0),
+ d AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS path FROM a UNION SELECT '')"""
+
+
+@query(
+    "s1_tree_scan",
+    using("cat")
+    + WRITTEN
+    + """, f AS (SELECT path, text, link, link IS NULL AND (path LIKE '%.png' AND NOT path LIKE 'src3/%.js' OR path LIKE 'src3/%.js' AND NOT contains(path, '/doc_1')) AS ignored FROM w)
+ SELECT path, CASE WHEN link IS NULL THEN 'file' ELSE 'symlink' END AS kind, CASE WHEN link IS NOT NULL THEN 'symlink' WHEN ignored THEN 'ignored' WHEN strlen(text)>8000 THEN 'oversize' ELSE 'captured' END AS disposition,
+  CAST(strlen(text) AS BIGINT) AS bytes, CASE WHEN link IS NULL AND NOT ignored AND strlen(text)<=8000 THEN sha256(text) END AS blob,
+  CASE WHEN link IS NOT NULL THEN 'link_not_followed;target_hash:'||sha256(link) WHEN ignored THEN 'gitignore_boundary' WHEN strlen(text)>8000 THEN 'file_byte_limit' END AS detail FROM f
+ UNION ALL SELECT path, 'directory', CASE WHEN path IN ('node_modules', 'src1/de') THEN 'ignored' ELSE 'directory' END, 0, NULL, CASE path WHEN 'node_modules' THEN 'builtin_or_store_boundary' WHEN 'src1/de' THEN 'gitignore_boundary' END
+ FROM d WHERE NOT starts_with(path, 'node_modules/') AND NOT path LIKE 'src1/de/%'""",
+)
+def s1_tree(spark, d):
+    """A folder of the projection's files, written by tasks and scanned."""
+    root = written_tree(spark, d)
+    return trees.scan(spark, root, projections.OVERSIZE)[0]
+
+
+def written_tree(spark, d) -> str:
+    cat = inputs.cat(spark, d)
+    path = F.when(F.col("doc_id") % 29 == 5, F.concat(F.lit("node_modules/"), "path")).otherwise(F.col("path"))
+    files = cat.select(path.alias("path"), "text", F.lit(None).cast("string").alias("link"))
+    links = cat.where("doc_id % 31 = 7").select(F.concat("path", F.lit(".link")).alias("path"), F.lit("").alias("text"), F.concat(F.lit("doc_"), (F.col("doc_id") - 1).cast("string")).alias("link"))
+    policies = spark.createDataFrame([(".gitignore", "# images\n*.png\n/src1/de/\n", None), ("src3/.gitignore", "*.js\n!doc_1*.js\n", None)], "path string, text string, link string")
+    root = shared_folder(spark, "tree")
+    trees.write_tree(files.unionByName(links).unionByName(policies), root)
+    return root
+
+
 @query("s3_source_filter", using("cat") + " SELECT path FROM cat WHERE regexp_matches(path, '\\.(js|jsx|mjs|cjs|ts|tsx|mts|cts)$')")
 def s3(spark, d):
     return inputs.cat(spark, d).where(is_source(F.col("path"))).select("path")
