@@ -1,12 +1,12 @@
 """Fill-in-the-middle transformation over an index of distinct texts.
 
 Identical texts are grouped by content: by SHA-256, and every text under a digest is compared, so two different texts are never one
-(a digest that two share stops the job). Once for each distinct text the ends of its units (lines with their newline; a last piece
-without one is a unit too) are kept as an Elias-Fano list. Documents meet that index by digest, ship no text themselves, and
-take their cuts from it: two seeded unit numbers choose where the prefix and the middle end, two more the form.
+(a digest that two share stops the job). Documents, which ship no text themselves, are joined back to the distinct texts by digest; once for
+each distinct text the ends of its units (lines with their newline; a last piece without one is a unit too) are made an Elias-Fano list, from which
+all its documents take their cuts: two seeded unit numbers choose where the prefix and the middle end, two more the form.
 
 Texts that more than a ``HOT``-th of all rows hold, of which there are fewer than ``HOT``, are dealt out: their documents by a salt,
-their index entry once to each salt, so that a text of a third of all rows is worked on by many tasks.
+the text once to each salt, so that a text of a third of all rows is worked on by many tasks.
 
 Null is the empty text; without units, or with one of the marks inside, a text is left as it is (``plain``); texts of any length are
 cut whole; rows that repeat, or repeat a doc_id, are documents of their own; a null doc_id seeds as an empty one; an empty table
@@ -60,15 +60,6 @@ class EliasFano:
         window = np.unpackbits(self.lows[first // 8 : (first + self.low + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low]
         return ((place - i) << self.low) | int(window.astype(np.int64) @ (1 << np.arange(self.low)))
 
-    def pack(self) -> bytes:
-        return np.array([self.n, self.low, len(self.lows)], "<i8").tobytes() + self.lows.tobytes() + self.highs.tobytes()
-
-    @classmethod
-    def unpack(cls, raw: bytes) -> EliasFano:
-        n, low, size = np.frombuffer(raw, "<i8", 3).tolist()
-        rest = np.frombuffer(raw, np.uint8, offset=24)
-        return cls(n, low, rest[:size], rest[size:])
-
 
 def unit_ends(raw: np.ndarray) -> np.ndarray:
     """The byte behind each unit of a text."""
@@ -90,20 +81,12 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def index(docs: DataFrame, digest=_digest) -> DataFrame:
-    """digest, text, n_docs, n and ends (Elias-Fano list of bytes) of every distinct text of ``docs``. ``digest``: a column's, for tests."""
+def distinct_texts(docs: DataFrame, digest=_digest) -> DataFrame:
+    """digest, text, n_docs of every distinct text of ``docs``, dealt by digest. ``digest``: a column's, for tests."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    distinct = docs.select(text.alias("text")).groupBy(digest(F.col("text")).alias("digest")).agg(F.collect_set("text").alias("texts"), F.count("*").alias("n_docs"))
+    found = docs.select(text.alias("text")).groupBy(digest(F.col("text")).alias("digest")).agg(F.collect_set("text").alias("texts"), F.count("*").alias("n_docs"))
     clash = F.raise_error(F.concat(F.lit("different texts share the digest "), F.hex("digest")))
-    one = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(clash)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [EliasFano.of(unit_ends(np.frombuffer(t.as_buffer(), np.uint8))) for t in batch.column("text")]
-            n, ends = pa.array([e.n for e in lists], pa.int64()), pa.array([e.pack() for e in lists], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, n, ends], [*batch.schema.names, "n", "ends"])
-
-    return distinct.select("digest", one.alias("text"), "n_docs").mapInArrow(run, "digest binary, text string, n_docs long, n long, ends binary")
+    return found.select("digest", F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(clash).alias("text"), "n_docs")
 
 
 def _seeds(doc: Column, seed: str) -> list[Column]:
@@ -117,30 +100,36 @@ def transform(docs: DataFrame, rate: int = RATE, suffix_first: int = SUFFIX_FIRS
     doc = F.col("doc_id").cast("long")
     rows = docs.select(doc.alias("doc_id"), digest(text).alias("digest"), *_seeds(doc, seed))
     total = docs.count()
+    texts = distinct_texts(docs, digest)
     # fewer than ``hot`` texts can each be held by more than a hot-th of all rows, so their list is bounded
     often = rows.groupBy("digest").agg(F.count("*").alias("held")).where(F.col("held") * hot > total)
     salts = F.broadcast(often.select("digest", F.least(F.ceil(F.col("held") * hot / max(total, 1)), F.col("held")).cast("int").alias("salts")))
-    spread = F.coalesce("salts", F.lit(1))
-    dealt = rows.join(salts, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), spread).cast("int"))
-    entries = index(docs, digest).join(salts, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-    met = dealt.select("doc_id", "digest", "salt", "h1", "h2", "h3", "h4").join(entries.select("digest", "salt", "text", "n", "ends"), ["digest", "salt"])
-
-    def cut(raw: bytes, n: int, ends: bytes, h1: int, h2: int, h3: int, h4: int) -> tuple[str, int | None, int | None, bytes]:
+    dealt = rows.join(salts, "digest", "left")
+    plain = dealt.where("salts IS NULL").drop("salts").hint("merge").join(texts.where(F.col("n_docs") * hot <= total).drop("n_docs"), "digest")
+    salted = dealt.where("salts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("salts")).cast("int")).drop("salts")
+    spread = texts.where(F.col("n_docs") * hot > total).join(salts, "digest").select("digest", "text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    hot_ones = salted.hint("merge").join(spread, ["digest", "salt"]).drop("salt")
+
+    def cut(raw: bytes, units: EliasFano, h1: int, h2: int, h3: int, h4: int) -> tuple[str, int | None, int | None, bytes]:
+        n = units.n
         if not raw or PREFIX in raw or SUFFIX in raw or MIDDLE in raw or h3 % 100 >= rate:
             return "plain", None, None, raw
-        units = EliasFano.unpack(ends)
         a, b = (units.select(k - 1) if k else 0 for k in sorted((h1 % (n + 1), h2 % (n + 1))))
         form = "spm" if h4 % 100 < suffix_first else "psm"
         return form, _characters(raw[:a]), _characters(raw[a:b]), assemble(form, raw[:a], raw[a:b], raw[b:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, raw, units = None, b"", EliasFano.of(np.zeros(0, np.int64))
         for batch in batches:
-            given = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ends", "h1", "h2", "h3", "h4")), batch.column("text"), strict=True)
+            given = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "h1", "h2", "h3", "h4")), batch.column("text"), strict=True)
             out: list[tuple] = []
             size = 0
-            for doc_id, n, ends, h1, h2, h3, h4, text in given:
-                made = cut(text.as_buffer().to_pybytes(), n, ends, h1, h2, h3, h4)
-                out.append((doc_id, n, *made))
+            for doc_id, key, h1, h2, h3, h4, text in given:
+                if key != last:  # rows come in order of their digests: the list is made once for all documents of a text
+                    last, raw = key, text.as_buffer().to_pybytes()
+                    units = EliasFano.of(unit_ends(np.frombuffer(raw, np.uint8)))
+                made = cut(raw, units, h1, h2, h3, h4)
+                out.append((doc_id, units.n, *made))
                 size += len(made[-1])
                 if size > _BATCH_BYTES:
                     yield _batch(out)
@@ -148,7 +137,9 @@ def transform(docs: DataFrame, rate: int = RATE, suffix_first: int = SUFFIX_FIRS
             if out:
                 yield _batch(out)
 
-    return met.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")
+    columns = ["doc_id", "digest", "h1", "h2", "h3", "h4", "text"]
+    schema = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
+    return plain.select(*columns).mapInArrow(run, schema).unionByName(hot_ones.select(*columns).mapInArrow(run, schema))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
