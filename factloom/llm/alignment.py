@@ -23,6 +23,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from factloom.llm.durable import durable
 #: Pairs that every task looks up, at most: 17 bytes each.
 TOP = 1 << 18
 #: Texts are taken to DuckDB together up to so many bytes, tokens of one text up to so many at a time.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 700_000
 SLICE = 1_000_000
+#: Parts of texts that a worker keeps encoded, of 64 bytes at most.
+KNOWN = 200_000
 #: Counts below are told apart one by one where the most frequent pairs are chosen, those above by 64 steps for each doubling.
 FINE = 1024
 _ALIGNED = (
@@ -75,20 +78,46 @@ class Pair:
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         #: A token's digits with what follows it: its own side's next, the other side.
-        self.text_a = [s for i in range(len(self.bytes_a)) for s in (f"{i},", f"{i}|")]
-        self.text_b = [s for i in range(len(self.bytes_b)) for s in (f"{i},", f"{i};")]
+        self.text_a = np.array([s for i in range(len(self.bytes_a)) for s in (f"{i},", f"{i}|")], object)
+        self.text_b = np.array([s for i in range(len(self.bytes_b)) for s in (f"{i},", f"{i};")], object)
+
+        #: Whether no piece goes on over a blank: then no merge does, and parts before blanks are encoded for themselves.
+        self.parted = all("▁" not in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_byte(i))
+        self.known: dict[bytes, tuple[bytes, bytes] | None] = {}
+
+    def _whole(self, raw: bytes) -> tuple[bytes, bytes] | None:
+        """Token ids of both of a text with a space in front, as 32-bit numbers; None where a side's bytes are others."""
+        spaced = raw.decode()
+        a = self.fast.encode_ordinary(spaced) if _SHARED.fullmatch(spaced) else self.a.encode(spaced, add_special_tokens=False).ids
+        b = self.b.encode(spaced[1:], num_threads=1)
+        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
+            return None
+        return np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Token ids of both; of neither where a side's bytes are not the text with a space in front."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of both; of neither where a side's bytes are not the text with a space in front. A blank behind a visible ASCII character
+        begins a word and a piece, so that parts between such places are encoded once and kept."""
+        none = np.zeros(0, np.int32)
         if not text:
-            return [], []
-        spaced = " " + text
-        a = self.fast.encode_ordinary(spaced) if _SHARED.fullmatch(text) else self.a.encode(spaced, add_special_tokens=False).ids
-        b = self.b.encode(text, num_threads=1)
-        raw = spaced.encode()
-        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-            return [], []
-        return a, b
+            return none, none
+        raw = (" " + text).encode()
+        if self.parted:
+            at = np.frombuffer(raw, np.uint8)
+            ends = [0, *(np.flatnonzero((at[1:] == 32) & (at[:-1] > 32) & (at[:-1] < 127)) + 1).tolist(), len(raw)]
+            found = [self.known[p] if (p := raw[i:j]) in self.known else self._part(p) for i, j in pairwise(ends)]
+            if None not in found:
+                a, b = (b"".join(x) for x in zip(*found, strict=True))
+                return np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+        whole = self._whole(raw)
+        return (none, none) if whole is None else (np.frombuffer(whole[0], np.int32), np.frombuffer(whole[1], np.int32))
+
+    def _part(self, raw: bytes) -> tuple[bytes, bytes] | None:
+        ids = self._whole(raw)
+        if len(raw) <= 64:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[raw] = ids
+        return ids
 
 
 _loaded: dict[tuple[str, str], Pair] = {}
@@ -107,8 +136,12 @@ CREATE OR REPLACE TEMP TABLE ga AS
 SELECT doc, id, e, cut, CAST(sum(CAST(cut AS INT)) OVER (ORDER BY e) - CAST(cut AS INT) AS INT) AS g
 FROM (SELECT a.doc, a.id, a.e, coalesce(b.e = a.e, false) AS cut FROM a ASOF LEFT JOIN b ON a.e >= b.e)
 """
-_INTERVALS = "CREATE OR REPLACE TEMP TABLE groups AS SELECT g, doc, lag(e, 1, 0) OVER (ORDER BY e) AS s, e FROM ga WHERE cut"
-_GROUPS_B = "CREATE OR REPLACE TEMP TABLE gb AS SELECT b.id, b.e, groups.g FROM b JOIN groups ON b.e > groups.s AND b.e <= groups.e"
+_INTERVALS = """
+CREATE OR REPLACE TEMP TABLE groups AS
+SELECT g, doc, lag(e, 1, 0) OVER (ORDER BY e) AS s, e, place - lag(place, 1, 0) OVER (ORDER BY e) AS na
+FROM (SELECT *, row_number() OVER (ORDER BY e) AS place FROM ga) WHERE cut
+"""
+_GROUPS_B = "CREATE OR REPLACE TEMP TABLE gb AS SELECT b.id, groups.g FROM b JOIN groups ON b.e > groups.s AND b.e <= groups.e"
 _LINKS = """
 INSERT INTO links
 WITH na AS (SELECT doc, g, id, count(*) AS n FROM ga GROUP BY ALL), nb AS (SELECT g, id, count(*) AS n FROM gb GROUP BY ALL)
@@ -124,6 +157,7 @@ class Aligner:
 
         self.pair, self.slice_tokens = pair, slice_tokens
         self.db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False})
+        self.db.execute("SET merge_join_threshold = 0")  # range joins by sorted ranges whatever sizes are guessed
         self.db.execute("CREATE TEMP TABLE links (doc INT, a INT, b INT, n BIGINT)")
 
     def _slices(self, end_a: np.ndarray, end_b: np.ndarray) -> Iterator[tuple[slice, slice]]:
@@ -140,16 +174,17 @@ class Aligner:
             yield slice(i, to_a), slice(j, to_b)
             i, j = to_a, to_b
 
-    def align(self, texts: list[str]) -> tuple[list[tuple], list[tuple[str, list[int], list[int], list[int], int]], tuple]:
-        """Of each text (n_a, n_b, n_groups), of each with tokens (groups' digest, a, b, n, n_links), and counts by document of their pairs (a, b, n)."""
+    def align(self, texts: list[str]) -> tuple[pa.Table, pa.Table | None]:
+        """Of each text its counts, its groups' digest and its pairs (a, b, n as lists), and in one row how many of the texts hold each pair (a, b, n)."""
         pair = self.pair
         encoded = [pair.encode(t) for t in texts]
         sizes_a, sizes_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
-        ids_a, ids_b = (np.concatenate([np.array(e[k], np.int32) for e in encoded] or [np.zeros(0, np.int32)]) for k in (0, 1))
+        ids_a, ids_b = (np.concatenate([e[k] for e in encoded]) for k in (0, 1))
         del encoded
         groups = np.zeros(len(texts), np.int64)
         if not len(ids_a):
-            return [(0, 0, 0)] * len(texts), [], ([], [], [])
+            none = [0] * len(texts)
+            return pa.table({**dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), none), "groups_sha256": [""] * len(texts), **dict.fromkeys("abn", [[] for _ in texts])}), None
         end_a, end_b = np.cumsum(pair.size_a[ids_a]), np.cumsum(pair.size_b[ids_b])
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes_a)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -158,20 +193,24 @@ class Aligner:
         for of_a, of_b in self._slices(end_a, end_b):
             base = int(end_a[of_a.start - 1]) if of_a.start else 0
             # the tables are named here for DuckDB
-            a = pa.table({"doc": doc[of_a], "id": ids_a[of_a], "e": end_a[of_a] - base})  # noqa: F841
-            b = pa.table({"id": ids_b[of_b], "e": end_b[of_b] - base})  # noqa: F841
+            a = pa.table({"doc": doc[of_a], "id": ids_a[of_a], "e": (end_a[of_a] - base).astype(np.int32)})  # noqa: F841
+            end = (end_b[of_b] - base).astype(np.int32)
+            b = pa.table({"id": ids_b[of_b], "s": end - pair.size_b[ids_b[of_b]].astype(np.int32), "e": end})  # noqa: F841
             for query in (_GROUPS_A, _INTERVALS, _GROUPS_B, _LINKS):
                 self.db.execute(query)
-            found = self.db.execute("SELECT g, doc, x.n AS na, y.n AS nb FROM (SELECT g, doc, count(*) AS n FROM ga GROUP BY ALL) x JOIN (SELECT g, count(*) AS n FROM gb GROUP BY ALL) y USING (g) ORDER BY g").fetchnumpy()
-            parts.append((found["na"].astype(np.int64), found["nb"].astype(np.int64)))
+            found = self.db.execute("SELECT doc, na FROM groups ORDER BY g").fetchnumpy()
+            of_b_tokens = self.db.execute("SELECT count(*) AS nb FROM gb GROUP BY g ORDER BY g").fetchnumpy()
+            parts.append((found["na"].astype(np.int64), of_b_tokens["nb"].astype(np.int64)))
             groups += np.bincount(found["doc"], minlength=len(texts))
             slices += 1
         merged = "links" if slices == 1 else "(SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM links GROUP BY doc, a, b)"
-        rows = self.db.execute(f"SELECT doc, list(a), list(b), list(n), CAST(sum(n) AS BIGINT) FROM {merged} GROUP BY doc ORDER BY doc").fetchall()
         counted = self.db.execute(f"SELECT a, b, count(*) AS n FROM {merged} GROUP BY a, b").fetchnumpy()
+        linked = self.db.execute(f"SELECT doc, a, b, n FROM {merged} ORDER BY doc").fetchnumpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(linked["doc"], minlength=len(texts)))]), pa.int32())
+        pairs = {c: pa.ListArray.from_arrays(offsets, pa.array(linked[c])) for c in "abn"}
+        links = np.bincount(linked["doc"], linked["n"], len(texts)).astype(np.int64)
         digests = self._digests(ids_a, ids_b, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), groups)
-        whole = list(zip(sizes_a.tolist(), sizes_b.tolist(), groups.tolist(), strict=True))
-        return whole, [(digests[r[0]], *r[1:]) for r in rows], tuple(counted[c] for c in ("a", "b", "n"))
+        return pa.table({"n_a": sizes_a, "n_b": sizes_b, "n_groups": groups, "n_links": links, "groups_sha256": digests, **pairs}), pa.table({c: [counted[c]] for c in "abn"})
 
     def _digests(self, ids_a: np.ndarray, ids_b: np.ndarray, na: np.ndarray, nb: np.ndarray, groups: np.ndarray) -> list[str]:
         """SHA-256 of the groups' text of each document: a group's A ids, then its B ids."""
@@ -182,8 +221,8 @@ class Aligner:
         place_a = np.arange(len(ids_a)) + np.repeat(np.cumsum(nb) - nb, na)
         place_b = np.arange(len(ids_b)) + np.repeat(np.cumsum(na), nb)
         text = np.empty(len(ids_a) + len(ids_b), object)
-        text[place_a] = np.array(self.pair.text_a, object)[2 * ids_a + last_a]
-        text[place_b] = np.array(self.pair.text_b, object)[2 * ids_b + last_b]
+        text[place_a] = self.pair.text_a[2 * ids_a + last_a]
+        text[place_b] = self.pair.text_b[2 * ids_b + last_b]
         ends = np.concatenate([[0], np.cumsum(na + nb)])[np.cumsum(groups)]
         out, at = [], 0
         for end in ends.tolist():
@@ -215,15 +254,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, slice_tokens: int = SLICE)
         schema = pa.schema([*((c, pa.int64()) for c in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), *((c, pa.list_(k)) for c, k in (("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())))])
         for batch in batches:
             for first, texts in _runs(batch.column("text"), CHUNK_BYTES):
-                whole, linked, counted = aligner.align(texts)
-                rest = iter(linked)
-                out = []
-                for k, (n_a, n_b, n_groups) in enumerate(whole):
-                    digest, a, b, n, links = next(rest) if n_a else ("", [], [], [], 0)
-                    out.append((batch.column("row")[first + k].as_py(), batch.column("doc_id")[first + k].as_py(), n_a, n_b, n_groups, links, digest, a, b, n))
-                if len(counted[0]):
-                    out.append((None, None, None, None, None, None, None, *counted))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                found, counted = aligner.align(texts)
+                ids = [batch.column(c).slice(first, len(texts)) for c in ("row", "doc_id")]
+                whole = pa.table([*ids, *found.columns], ["row", "doc_id", *found.column_names]).cast(schema)
+                if counted is not None:
+                    whole = pa.concat_tables([whole, pa.table([counted[f.name] if f.name in "abn" else pa.nulls(1, f.type) for f in schema], schema.names).cast(schema)])
+                yield from whole.combine_chunks().to_batches()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _ALIGNED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.ranks import numbered
-from factloom.session import checkpointed
+from factloom.session import checkpointed, stored
 
 #: Rounds that are planned together as one job: fewer jobs against longer plans.
-TRIMS, HOPS = 3, 3
+TRIMS, HOPS, DOUBLINGS = 3, 3, 3
 #: What is left after a trim is finished in one task when it has at most so many edges; larger remainders go on in rounds.
 REST = 200_000
 
@@ -141,41 +142,143 @@ def strong_components(edges: DataFrame, singletons: bool = True, rest: int = RES
     return done.unionByName(alone)
 
 
-def topological_levels(edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """(comp, level) of the condensation, leaves first: a component's level is above those of all it points at."""
+def condensed(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, to): the edges (a, b) between different components, each once."""
     c = comps.select("id", "comp")
-    cond = edges.where("b IS NOT NULL").join(c.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-    left = checkpointed(cond.where("ca <> cb").select("ca", "cb").distinct())
-    todo = checkpointed(c.select("comp").distinct())
-    out, level = None, 0
-    while not todo.isEmpty():
-        ready = checkpointed(todo.join(left.select(F.col("ca").alias("comp")), "comp", "left_anti").withColumn("level", F.lit(level)))
-        out = ready if out is None else out.unionByName(ready)
-        todo = checkpointed(todo.join(ready.select("comp"), "comp", "left_anti"))
-        left = checkpointed(left.join(ready.select(F.col("comp").alias("cb")), "cb", "left_anti"))
-        level += 1
-    return out if out is not None else todo.withColumn("level", F.lit(0))
+    met = edges.where("b IS NOT NULL").join(c.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    return met.where("ca <> cb").select(F.col("ca").alias("id"), F.col("cb").alias("to")).distinct()
+
+
+def jumped(pointers: DataFrame) -> DataFrame:
+    """``pointers`` (id, to, w, k), one for each id and without a cycle, followed to the end: where an id's target is an id too, to is that one's.
+
+    A pointer says that the value of ``id`` is max(k, w + value of ``to``); two such in a row are one again. Every step doubles how far all of
+    them reach, so a chain of n takes log2(n) steps, ``DOUBLINGS`` of them a job.
+    """
+    at = pointers.select("id", "to", "w", "k")
+    while True:
+        for _ in range(DOUBLINGS):
+            on = at.select(F.col("id").alias("to"), F.col("to").alias("on_to"), F.col("w").alias("on_w"), F.col("k").alias("on_k"))
+            at = at.join(on, "to", "left").select(
+                "id",
+                F.coalesce("on_to", "to").alias("to"),
+                (F.col("w") + F.coalesce("on_w", F.lit(0))).alias("w"),
+                F.greatest(F.col("k"), F.col("w") + F.col("on_k")).alias("k"),
+                F.col("on_to").isNotNull().alias("moved"),
+            )
+        at = stored(at)
+        if at.where("moved").isEmpty():
+            return at.drop("moved")
+        at = at.drop("moved")
+
+
+def topological_levels(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(comp, level) of the condensation, leaves first: a component's level is one above the highest of those it points at.
+
+    A component that waits for one other alone is a pointer to it, however many it waited for before; pointers are followed by doubling
+    and set aside until their ends are known. So rounds do not grow with the length of chains, with or without short branches.
+    """
+    # (id, to, w): the level of id is w or more above that of to; without to, w or more
+    floor = comps.select(F.col("comp").alias("id")).distinct().withColumn("to", F.lit(None).cast(comps.schema["comp"].dataType))
+    links = stored(condensed(edges, comps).withColumn("w", F.lit(1).cast("long")).unionByName(floor.withColumn("w", F.lit(0).cast("long"))))
+    known, aside = [], []
+    while True:
+        open_w, floor_w = F.max(F.when(F.col("to").isNotNull(), F.col("w"))), F.max(F.when(F.col("to").isNull(), F.col("w")))
+        state = stored(links.groupBy("id").agg(F.count("to").alias("n"), F.max("to").alias("to"), open_w.alias("w"), floor_w.alias("k")))
+        known.append(state.where("n = 0").select("id", F.col("k").alias("level")))
+        met = known[-1].select(F.col("id").alias("to"), F.lit(None).cast(state.schema["to"].dataType).alias("on"), F.lit(0).cast("long").alias("on_w"), F.col("level").alias("on_k"))
+        one, more = state.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
+        if one:
+            aside.append(jumped(state.where("n = 1")))
+            met = met.unionByName(aside[-1].select(F.col("id").alias("to"), F.col("to").alias("on"), F.col("w").alias("on_w"), F.col("k").alias("on_k")))
+        if not more:
+            break
+        moved = links.join(state.where("n > 1").select("id"), "id", "left_semi").join(met.withColumn("met", F.lit(True)), "to", "left")
+        # an edge to a pointer is one to its end, and no less than what it says itself; one to a known level says no more than that
+        ways = F.when(F.col("met"), F.array(F.struct("on", (F.col("w") + F.col("on_w")).alias("w")), F.struct(F.lit(None).cast(state.schema["to"].dataType).alias("on"), (F.col("w") + F.col("on_k")).alias("w"))))
+        ways = F.coalesce(ways, F.array(F.struct(F.col("to").alias("on"), "w")))
+        way = moved.select("id", F.col("met"), F.explode(ways).alias("way"))
+        links = stored(way.groupBy("id", F.col("way.on").alias("to")).agg(F.max("way.w").alias("w")))
+    out = _union(known)
+    for ends in reversed(aside):
+        found = ends.join(out.select(F.col("id").alias("to"), "level"), "to").select("id", F.greatest(F.col("k"), F.col("w") + F.col("level")).alias("level"))
+        out = stored(out.unionByName(found))
+    return out.select(F.col("id").alias("comp"), F.col("level").cast("int").alias("level"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def paths(links: DataFrame) -> DataFrame:
+    """(id, path, place) of ids on the chains of ``links`` (id, to): each id of a chain but the last points at one id alone, which only it points at.
+    ``path`` is the last id, ``place`` how far from it."""
+    alone = links.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    sole = links.groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to")
+    steps = links.join(alone, "id", "left_semi").join(sole, "to", "left_semi")
+    ends = jumped(steps.select("id", "to", F.lit(1).alias("w"), F.lit(0).alias("k")))
+    last = ends.select(F.col("to").alias("id")).distinct()
+    return ends.select("id", F.col("to").alias("path"), F.col("w").alias("place")).unionByName(last.select("id", F.col("id").alias("path"), F.lit(0).cast("long").alias("place")))
+
+
+def _rolled(rows: DataFrame) -> DataFrame:
+    """(comp, place, path, closure) of ``rows`` (comp, path, place, own, kids), all of a path: a path's last component has the digest of its own and its kids', each
+    other that of its own and the one's after it. A task streams its paths in order and keeps one digest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, digest = None, ""
+        for pdf in batches:
+            out = []
+            for p, own, kids in zip(pdf["path"], pdf["own"], pdf["kids"], strict=True):
+                below = digest if p == path else kids
+                text = own if below is None else f"{own}\0{below}"
+                path, digest = p, hashlib.sha256(text.encode()).hexdigest()
+                out.append(digest)
+            yield pdf[["comp", "path", "place"]].assign(closure=out)
+
+    kind = rows.schema["comp"].dataType.simpleString()
+    dealt = rows.repartition("path").sortWithinPartitions("path", "place")
+    return dealt.mapInPandas(run, f"comp {kind}, path {kind}, place long, closure string")
 
 
-def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame, levels: DataFrame) -> DataFrame:
-    """(comp, closure): Merkle digest of each component from its members' hashes and its children's digests, level by level."""
+def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(comp, closure): Merkle digest of each component from its members' hashes and its children's digests.
+
+    Chains are digested in one go, so that a round is a level of the graph of chains. A round hands the digests that it found to the chains that wait
+    for them and to no others; what is carried on is what a later round needs.
+    """
     members = comps.join(files.select("id", "hash"), "id").groupBy("comp").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "id", "hash"))), "\n").alias("own"))
-    c = comps.select("id", "comp")
-    cond = edges.where("b IS NOT NULL").join(c.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-    cond = checkpointed(cond.where("ca <> cb").select("ca", "cb").distinct())
-    rows = checkpointed(members.join(levels, "comp"))
+    links = stored(condensed(edges, comps))
+    chain = stored(paths(links))
+    of = lambda c, p: chain.select(F.col("id").alias(c), F.col("path").alias(p))
+    between = links.join(of("id", "from_path"), "id", "left").join(of("to", "to_path"), "to", "left")
+    between = between.select("to", F.coalesce("from_path", "id").alias("a"), F.coalesce("to_path", "to").alias("b"))
+    between = stored(between.where("a <> b"))  # from a chain's last component to any place of another
+    rows = members.join(chain.withColumnRenamed("id", "comp"), "comp", "left").select("comp", F.coalesce("path", "comp").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), "own")
+    every = rows.select(F.col("path").alias("id")).distinct().withColumn("comp", F.col("id"))
+    levels = topological_levels(between.select("a", "b"), stored(every)).select(F.col("comp").alias("path"), "level")
+    rows = stored(rows.join(levels, "path"))
+    waits = stored(between.join(levels.withColumnRenamed("path", "a"), "a").select("to", "a", "level"))
     top = rows.agg(F.max("level")).first()[0]
-    done = None
+    done, told = [], []
     for level in range(0 if top is None else top + 1):
-        here = rows.where(F.col("level") == level)
-        if done is None:
-            found = here.select("comp", F.sha2("own", 256).alias("closure"))
+        here = rows.where(F.col("level") == level).drop("level")
+        if told:
+            kids = _union(told).where(F.col("level") == level).groupBy(F.col("a").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("closure")), "\n").alias("kids"))
+            here = here.join(kids, "path", "left")
         else:
-            kids = cond.join(done.select(F.col("comp").alias("cb"), F.col("closure").alias("k")), "cb").groupBy(F.col("ca").alias("comp")).agg(F.array_join(F.array_sort(F.collect_list("k")), "\n").alias("kids"))
-            found = here.join(kids, "comp", "left").select("comp", F.sha2(F.concat_ws("\u0000", "own", F.coalesce("kids", F.lit(""))), 256).alias("closure"))
-        found = checkpointed(found)
-        done = found if done is None else done.unionByName(found)
-    return done if done is not None else rows.select("comp", F.col("own").alias("closure"))
+            here = here.withColumn("kids", F.lit(None).cast("string"))
+        here = here.withColumn("kids", F.when(F.lit(level > 0), F.coalesce("kids", F.lit(""))))
+        found = stored(_rolled(here))
+        done.append(found.select("comp", "closure"))
+        if level < top:
+            told.append(stored(found.select(F.col("comp").alias("to"), "closure").join(waits.where(F.col("level") > level), "to").select("a", "level", "closure")))
+            if len(told) == 8:
+                told = [stored(_union(told).where(F.col("level") > level))]
+    return _union(done) if done else rows.select("comp", F.col("own").alias("closure"))
 
 
 @dataclass
