@@ -188,9 +188,12 @@ def topological_levels(edges: DataFrame, comps: DataFrame) -> DataFrame:
         known.append(state.where("n = 0").select("id", F.col("k").alias("level")))
         met = known[-1].select(F.col("id").alias("to"), F.lit(None).cast(state.schema["to"].dataType).alias("on"), F.lit(0).cast("long").alias("on_w"), F.col("level").alias("on_k"))
         one, more = state.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
-        if one:
-            aside.append(jumped(state.where("n = 1")))
-            met = met.unionByName(aside[-1].select(F.col("id").alias("to"), F.col("to").alias("on"), F.col("w").alias("on_w"), F.col("k").alias("on_k")))
+        if one:  # a pointer that ends at a known level is known; the others wait with what they end at
+            ends = jumped(state.where("n = 1")).join(known[-1].withColumnRenamed("id", "to"), "to", "left")
+            ends = stored(ends.select("id", F.when(F.col("level").isNull(), F.col("to")).alias("to"), "w", F.greatest("k", F.col("w") + F.col("level")).alias("k")))
+            known.append(ends.where("to IS NULL").select("id", F.col("k").alias("level")))
+            aside.append(ends.where("to IS NOT NULL"))
+            met = met.unionByName(ends.select(F.col("id").alias("to"), F.col("to").alias("on"), F.col("w").alias("on_w"), F.col("k").alias("on_k")))
         if not more:
             break
         moved = links.join(state.where("n > 1").select("id"), "id", "left_semi").join(met.withColumn("met", F.lit(True)), "to", "left")

@@ -1,5 +1,6 @@
 """Operators on hand-made and generated inputs; golden behaviours and laws."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -119,13 +120,52 @@ def test_levels_and_closure_digests(spark):
 
     def digests(changed):
         files = spark.createDataFrame([(i, f"h{i}" + ("x" if i == changed else "")) for i in range(1, 5)], "id long, hash string")
-        return {r.comp: r.closure for r in traverse.closure_digests(files, e, comps, levels).collect()}
+        return {r.comp: r.closure for r in traverse.closure_digests(files, e, comps).collect()}
 
     base, deep, top = digests(0), digests(3), digests(4)
     assert all(base[c] != deep[c] for c in base)  # a change moves all that depend on it
     assert top[1] == base[1] and top[2] == base[2] and top[4] != base[4]
 
 
+def levels_by_hand(pairs, n):
+    kids = {}
+    for a, b in pairs:
+        kids.setdefault(a, set()).add(b)
+    level, digest = {}, {}
+    for a in range(n):  # edges point at smaller numbers
+        level[a] = 1 + max((level[b] for b in kids.get(a, ())), default=-1)
+        text = f"{a}=h{a}" + ("\0" + "\n".join(sorted(digest[b] for b in kids[a])) if a in kids else "")
+        digest[a] = hashlib.sha256(text.encode()).hexdigest()
+    return level, digest
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_and_digests_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(a, rng.randrange(max(0, a - 9), a)) for a in range(1, 90) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+    level, digest = levels_by_hand(pairs, 90)
+    comps = spark.range(90).select("id", F.col("id").alias("comp"))
+    files = spark.range(90).select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash"))
+    e = graph_of(spark, pairs)
+    assert {r.comp: r.level for r in traverse.topological_levels(e, comps).collect()} == level
+    assert {r.comp: r.closure for r in traverse.closure_digests(files, e, comps).collect()} == digest
+
+
+def test_long_chains_take_few_jobs(spark):
+    """A chain of 100,000, each link pointing at the chain's end too: rounds grow with the logarithm of its length."""
+    n = 100_000
+    ids = spark.range(n)
+    e = ids.where("id > 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    comps = ids.select("id", F.col("id").alias("comp"))
+    spark.sparkContext.setJobGroup("chain", "levels of a chain")
+    for edges_of in (e, e.unionByName(ids.where("id > 1").select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")))):
+        levels = traverse.topological_levels(edges_of, comps)
+        assert levels.where("comp <> level").count() == 0 and levels.count() == n
+    made = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert made < 400  # two graphs; a job is a stage where plans are adaptive
+
+
 def test_byte_functions(spark):
     df = spark.createDataFrame([("水🫧abc\nd",)], "t string")
     t = F.col("t")
