@@ -9,8 +9,8 @@ from factloom.operators import catalog, graph, validate
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
-from factloom.session import shared_folder
-from factloom.sources import projections, trees
+from factloom.session import checkpointed, shared_folder
+from factloom.sources import projections, stores, trees
 from factloom.sources.tables import table
 
 
@@ -107,6 +107,24 @@ def s11(spark, d):
     return catalog.readable_sources(inputs.cat(spark, d)).select("path", "bytes")
 
 
+@query(
+    "s12_published_version",
+    using("cat", "dirs", "sym", "calls", "bad", "edges", "nodes")
+    + """, all_edges AS (SELECT id, kind FROM calle UNION ALL SELECT 'contains:'||id, 'contains' FROM nodes WHERE parent IS NOT NULL)
+ SELECT 'nodes' AS relation, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM all_edges GROUP BY kind
+ UNION ALL SELECT 'published', 'nodes', (SELECT count(*) FROM nodes) UNION ALL SELECT 'published', 'edges', (SELECT count(*) FROM all_edges)""",
+)
+def s12(spark, d):
+    """Nodes and edges published together under one id, and read back by it; the marker's own counts beside them."""
+    base = shared_folder(spark, "versions")
+    n = checkpointed(inputs.nodes(spark, d))
+    edges = inputs.call_edges(spark, d).select("id", "kind").unionByName(graph.contains_edges(n).select("id", "kind"))
+    stores.publish({"nodes": n, "edges": edges}, base, "v1")
+    found = [stores.load(spark, base, "v1", r).groupBy(F.lit(r).alias("relation"), "kind").agg(F.count("*").alias("n")) for r in ("nodes", "edges")]
+    told = stores.versions(spark, base).select(F.lit("published").alias("relation"), F.col("relation").alias("kind"), "n")
+    return found[0].unionByName(found[1]).unionByName(told)
+
+
 @query(
     "s13_metadata_counters",
     using("cat", "dirs", "sym", "calls", "bad", "edges", "nodes")

@@ -2,6 +2,7 @@
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,25 @@ def test_language_facts_contract(spark, tmp_path):
         language_facts.read(spark, str(tmp_path), "other")
 
 
+def test_of_publishers_that_run_together_one_wins(spark, tmp_path):
+    base = str(tmp_path)
+    with ThreadPoolExecutor(4) as pool:
+        runs = [pool.submit(stores.publish, {"a": spark.range(k + 1), "b": spark.range(10 * (k + 1))}, base, "v") for k in range(4)]
+    won = [k for k, r in enumerate(runs) if r.exception() is None]
+    assert len(won) == 1 and all("conflict" in str(r.exception()) for k, r in enumerate(runs) if k not in won)
+    assert stores.load(spark, base, "v", "a").count() == won[0] + 1 and stores.load(spark, base, "v", "b").count() == 10 * (won[0] + 1)
+    assert len(list((tmp_path / "_versions").iterdir())) == 1  # the others' files are gone
+    assert {(r.relation, r.n) for r in stores.versions(spark, base).collect()} == {("a", won[0] + 1), ("b", 10 * (won[0] + 1))}
+
+
+def test_a_publisher_that_fails_leaves_nothing(spark, tmp_path):
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        stores.publish({"a": spark.range(3), "b": bad}, str(tmp_path), "v")
+    assert not stores.committed(spark, str(tmp_path), "v") and not list((tmp_path / "_versions").iterdir())
+    assert stores.publish({"a": spark.range(3)}, str(tmp_path), "v") == {"a": 3}
+
+
 def test_publishing_is_atomic_and_once(spark, tmp_path):
     base = str(tmp_path / "store")
     rows = {"nodes": spark.range(3), "edges": spark.range(2)}
