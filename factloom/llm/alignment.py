@@ -3,7 +3,7 @@
 Each text is encoded by a byte-level BPE (A, with a space in front) and by a SentencePiece model (B, which adds that space), and both
 become tables of token intervals in bytes. Offsets where tokens of both end cut them into groups; tokens of one group are linked.
 
-Inside a task, DuckDB takes the tables of a few texts at a time: an as-of join finds, for each A token, the last B token that ends no later,
+Inside a task, DuckDB takes the tables of a few texts at a time. Tokens of both that have one interval are groups of their own; of those left, an as-of join finds, for each A token, the last B token that ends no later,
 hence the common ends; a window sum over those numbers the groups; a range join puts B tokens into the groups' intervals; tokens are
 counted by group and id before they are paired, so that a long group of few ids is no square of its length. Each batch's pairs
 are counted by document there, and Spark merges these partial counts. A text of many tokens is worked on in slices that end at common ends.
@@ -130,22 +130,30 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
     return _loaded[path_a, path_b]
 
 
+#: Tokens of A and B with one interval are a group by themselves; the others are left, none of whose ends is one of theirs.
+_SAME = "CREATE OR REPLACE TEMP TABLE same AS SELECT a.doc, a.id AS a, b.id AS b, a.e FROM a JOIN b ON a.s = b.s AND a.e = b.e"
+_LEFT_A = "CREATE OR REPLACE TEMP TABLE la AS SELECT a.doc, a.id, a.e FROM a ANTI JOIN same ON a.e = same.e"
+_LEFT_B = "CREATE OR REPLACE TEMP TABLE lb AS SELECT b.id, b.e FROM b ANTI JOIN same ON b.e = same.e"
 #: A's tokens with the group of each: a group ends where a B token ends with an A token.
 _GROUPS_A = """
 CREATE OR REPLACE TEMP TABLE ga AS
 SELECT doc, id, e, cut, CAST(sum(CAST(cut AS INT)) OVER (ORDER BY e) - CAST(cut AS INT) AS INT) AS g
-FROM (SELECT a.doc, a.id, a.e, coalesce(b.e = a.e, false) AS cut FROM a ASOF LEFT JOIN b ON a.e >= b.e)
+FROM (SELECT la.doc, la.id, la.e, coalesce(lb.e = la.e, false) AS cut FROM la ASOF LEFT JOIN lb ON la.e >= lb.e)
 """
-_INTERVALS = """
-CREATE OR REPLACE TEMP TABLE groups AS
-SELECT g, doc, lag(e, 1, 0) OVER (ORDER BY e) AS s, e, place - lag(place, 1, 0) OVER (ORDER BY e) AS na
-FROM (SELECT *, row_number() OVER (ORDER BY e) AS place FROM ga) WHERE cut
-"""
-_GROUPS_B = "CREATE OR REPLACE TEMP TABLE gb AS SELECT b.id, groups.g FROM b JOIN groups ON b.e > groups.s AND b.e <= groups.e"
+_INTERVALS = "CREATE OR REPLACE TEMP TABLE groups AS SELECT g, lag(e, 1, 0) OVER (ORDER BY e) AS s, e FROM ga WHERE cut"
+_GROUPS_B = "CREATE OR REPLACE TEMP TABLE gb AS SELECT lb.id, groups.g FROM lb JOIN groups ON lb.e > groups.s AND lb.e <= groups.e"
 _LINKS = """
 INSERT INTO links
-WITH na AS (SELECT doc, g, id, count(*) AS n FROM ga GROUP BY ALL), nb AS (SELECT g, id, count(*) AS n FROM gb GROUP BY ALL)
-SELECT doc, na.id AS a, nb.id AS b, CAST(sum(na.n * nb.n) AS BIGINT) AS n FROM na JOIN nb USING (g) GROUP BY ALL
+WITH na AS (SELECT doc, g, id, count(*) AS n FROM ga GROUP BY ALL), nb AS (SELECT g, id, count(*) AS n FROM gb GROUP BY ALL),
+     found AS (SELECT doc, a, b, 1 AS n FROM same UNION ALL SELECT doc, na.id, nb.id, na.n * nb.n FROM na JOIN nb USING (g))
+SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM found GROUP BY ALL
+"""
+#: Each group's tokens of A and of B, in order.
+_SIZES = """
+SELECT doc, na, nb FROM (
+  SELECT doc, 1 AS na, 1 AS nb, e FROM same
+  UNION ALL SELECT x.doc, x.n, y.n, x.e FROM (SELECT g, min(doc) AS doc, count(*) AS n, max(e) AS e FROM ga GROUP BY g) x JOIN (SELECT g, count(*) AS n FROM gb GROUP BY g) y USING (g)
+) ORDER BY e
 """
 
 
@@ -193,14 +201,14 @@ class Aligner:
         for of_a, of_b in self._slices(end_a, end_b):
             base = int(end_a[of_a.start - 1]) if of_a.start else 0
             # the tables are named here for DuckDB
-            a = pa.table({"doc": doc[of_a], "id": ids_a[of_a], "e": (end_a[of_a] - base).astype(np.int32)})  # noqa: F841
-            end = (end_b[of_b] - base).astype(np.int32)
-            b = pa.table({"id": ids_b[of_b], "s": end - pair.size_b[ids_b[of_b]].astype(np.int32), "e": end})  # noqa: F841
-            for query in (_GROUPS_A, _INTERVALS, _GROUPS_B, _LINKS):
+            ends = [(end[of] - base).astype(np.int32) for end, of in ((end_a, of_a), (end_b, of_b))]
+            starts = [np.concatenate([np.zeros(1, np.int32), e[:-1]]) for e in ends]
+            a = pa.table({"doc": doc[of_a], "id": ids_a[of_a], "s": starts[0], "e": ends[0]})  # noqa: F841
+            b = pa.table({"id": ids_b[of_b], "s": starts[1], "e": ends[1]})  # noqa: F841
+            for query in (_SAME, _LEFT_A, _LEFT_B, _GROUPS_A, _INTERVALS, _GROUPS_B, _LINKS):
                 self.db.execute(query)
-            found = self.db.execute("SELECT doc, na FROM groups ORDER BY g").fetchnumpy()
-            of_b_tokens = self.db.execute("SELECT count(*) AS nb FROM gb GROUP BY g ORDER BY g").fetchnumpy()
-            parts.append((found["na"].astype(np.int64), of_b_tokens["nb"].astype(np.int64)))
+            found = self.db.execute(_SIZES).fetchnumpy()
+            parts.append((found["na"].astype(np.int64), found["nb"].astype(np.int64)))
             groups += np.bincount(found["doc"], minlength=len(texts))
             slices += 1
         merged = "links" if slices == 1 else "(SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM links GROUP BY doc, a, b)"
