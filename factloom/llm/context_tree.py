@@ -40,7 +40,9 @@ SHARED = 3
 RUN = 50_000
 CHUNK = 500_000
 #: A task's counters merge what they gathered at MERGE keys, and hold at most HELD.
-MERGE, HELD = 1_000_000, 4_000_000
+MERGE, HELD = 750_000, 2_500_000
+#: Rows of a batch that a counter is sent in: what the JVM takes in at once.
+SENT = 100_000
 TOP_WORDS, TOP_GRAMS = 1 << 18, 1 << 21
 SLOTS = 21
 END = 0xFF  # no byte of UTF-8
@@ -105,11 +107,13 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, codes = _Counter(), _Counter()
 
-        def out(kind: int, c: _Counter) -> pa.RecordBatch:
+        def out(kind: int, c: _Counter) -> Iterator[pa.RecordBatch]:
             c.merge()
-            batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(c.keys[0]), kind, np.int8)), pa.array(c.keys[0]), pa.array(c.counts[0])], ["kind", "key", "n"])
+            keys, counted = c.keys[0], c.counts[0]
             c.__init__()
-            return batch
+            for at in range(0, max(len(keys), 1), SENT):
+                k, n = keys[at : at + SENT], counted[at : at + SENT]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
@@ -125,9 +129,9 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 words.add(np.full(int((~part).sum()), END_KEY, np.int64), 1)
                 for kind, c in ((WORD, words), (GRAM, codes)):
                     if c.size() > HELD and c.merge() > HELD // 2:
-                        yield out(kind, c)
-        yield out(WORD, words)
-        yield out(GRAM, codes)
+                        yield from out(kind, c)
+        yield from out(WORD, words)
+        yield from out(GRAM, codes)
 
     return _inputs(docs).mapInArrow(run, "kind byte, key long, n long")
 
