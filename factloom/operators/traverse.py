@@ -216,12 +216,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def paths(links: DataFrame) -> DataFrame:
+def paths(links: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(id, path, place) of ids on the chains of ``links`` (id, to): each id of a chain but the last points at one id alone, which only it points at.
-    ``path`` is the last id, ``place`` how far from it."""
+    ``path`` is the last id, ``place`` how far from it. ``among`` (id): the ids that chains may hold."""
     alone = links.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
     sole = links.groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to")
     steps = links.join(alone, "id", "left_semi").join(sole, "to", "left_semi")
+    if among is not None:
+        steps = steps.join(among.select(F.col("id").alias("to")), "to", "left_semi")
     ends = jumped(steps.select("id", "to", F.lit(1).alias("w"), F.lit(0).alias("k")))
     last = ends.select(F.col("to").alias("id")).distinct()
     return ends.select("id", F.col("to").alias("path"), F.col("w").alias("place")).unionByName(last.select("id", F.col("id").alias("path"), F.lit(0).cast("long").alias("place")))
@@ -247,26 +249,33 @@ def _rolled(rows: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, f"comp {kind}, path {kind}, place long, closure string")
 
 
-def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """(comp, closure): Merkle digest of each component from its members' hashes and its children's digests.
+def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(comp, closure): Merkle digest of each component from its members' hashes and its children's digests; ``known`` (comp, closure) are
+    taken as they are and not given again.
 
     Chains are digested in one go, so that a round is a level of the graph of chains. A round hands the digests that it found to the chains that wait
     for them and to no others; what is carried on is what a later round needs.
     """
+    links = condensed(edges, comps)
+    if known is not None:
+        comps = stored(comps.join(known.select("comp"), "comp", "left_anti"))
+        links = links.join(comps.select(F.col("comp").alias("id")).distinct(), "id", "left_semi")
+    links = stored(links)
     members = comps.join(files.select("id", "hash"), "id").groupBy("comp").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "id", "hash"))), "\n").alias("own"))
-    links = stored(condensed(edges, comps))
-    chain = stored(paths(links))
+    chain = stored(paths(links, comps.select(F.col("comp").alias("id")).distinct()))
     of = lambda c, p: chain.select(F.col("id").alias(c), F.col("path").alias(p))
     between = links.join(of("id", "from_path"), "id", "left").join(of("to", "to_path"), "to", "left")
     between = between.select("to", F.coalesce("from_path", "id").alias("a"), F.coalesce("to_path", "to").alias("b"))
     between = stored(between.where("a <> b"))  # from a chain's last component to any place of another
     rows = members.join(chain.withColumnRenamed("id", "comp"), "comp", "left").select("comp", F.coalesce("path", "comp").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), "own")
-    every = rows.select(F.col("path").alias("id")).distinct().withColumn("comp", F.col("id"))
-    levels = topological_levels(between.select("a", "b"), stored(every)).select(F.col("comp").alias("path"), "level")
+    every = stored(rows.select(F.col("path").alias("id")).distinct().withColumn("comp", F.col("id")))
+    levels = topological_levels(between.select("a", "b"), every).select(F.col("comp").alias("path"), "level")
     rows = stored(rows.join(levels, "path"))
     waits = stored(between.join(levels.withColumnRenamed("path", "a"), "a").select("to", "a", "level"))
     top = rows.agg(F.max("level")).first()[0]
     done, told = [], []
+    if known is not None:
+        told.append(stored(known.select(F.col("comp").alias("to"), "closure").join(waits, "to").select("a", "level", "closure")))
     for level in range(0 if top is None else top + 1):
         here = rows.where(F.col("level") == level).drop("level")
         if told:
@@ -274,7 +283,6 @@ def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame) -> Dat
             here = here.join(kids, "path", "left")
         else:
             here = here.withColumn("kids", F.lit(None).cast("string"))
-        here = here.withColumn("kids", F.when(F.lit(level > 0), F.coalesce("kids", F.lit(""))))
         found = stored(_rolled(here))
         done.append(found.select("comp", "closure"))
         if level < top:
@@ -284,6 +292,18 @@ def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame) -> Dat
     return _union(done) if done else rows.select("comp", F.col("own").alias("closure"))
 
 
+def changed_closures(before: DataFrame, old: DataFrame, new: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(comp, closure, fresh): closure digests of ``new`` files (id, hash) from those ``before`` (comp, closure) of ``old``, over one graph. Components
+    that reach no changed file keep theirs; the others (fresh), found backwards from the changes, are digested anew."""
+    changed = new.join(old.select("id", F.col("hash").alias("was")), "id", "left").where(~F.col("hash").eqNullSafe(F.col("was")))
+    seeds = stored(comps.join(changed.select("id"), "id", "left_semi").select(F.col("comp").alias("id")).distinct())
+    back = condensed(edges, comps).select(F.col("to").alias("a"), F.col("id").alias("b"))
+    touched = reachable(back, seeds).select(F.col("id").alias("comp"))
+    kept = stored(before.join(touched, "comp", "left_anti").select("comp", "closure"))
+    fresh = closure_digests(new, edges, comps, kept)
+    return kept.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+
+
 @dataclass
 class Reach:
     nodes: set[str] = field(default_factory=set)

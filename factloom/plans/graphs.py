@@ -9,7 +9,7 @@ from factloom.operators import catalog, graph, ranks, traverse
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
-from factloom.session import checkpointed
+from factloom.session import checkpointed, stored
 from factloom.sources import projections
 from factloom.sources.tables import table
 
@@ -165,6 +165,28 @@ def g9(spark, d):
     return merkle(spark, d).select("id", digest(F.lit("bundle-1"), "id", "hash", "closure").alias("key"))
 
 
+@query(
+    "x6_incremental_closures",
+    using("cat", "imports", recursive=True)
+    + FILE_GRAPH
+    + CLOSE
+    + """, changed AS (SELECT path AS id FROM p WHERE doc_id%97=3), touched AS (SELECT id FROM changed UNION SELECT a FROM tc JOIN changed ON b=id)
+ SELECT path AS id, CASE WHEN path IN (SELECT id FROM changed) THEN 'own_content' WHEN path IN (SELECT id FROM touched) THEN 'dependency' ELSE 'unchanged' END AS verdict, path IN (SELECT id FROM touched) AS fresh FROM p""",
+)
+def x6_incremental(spark, d):
+    """Every 97th file is edited: closure digests brought up to date from the old ones, and whose moved by its own content or by what it depends on."""
+    e = stored(file_graph(spark, d))
+    old = stored(inputs.cat(spark, d).where("disposition = 'captured'").select("doc_id", F.col("path").alias("id"), F.col("blob").alias("hash")))
+    new = old.select("id", F.when(F.col("doc_id") % 97 == 3, F.sha2("hash", 256)).otherwise(F.col("hash")).alias("hash"))
+    comps = traverse.strong_components(e)
+    comps = stored(comps.unionByName(old.select("id").join(comps.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))))
+    before = stored(traverse.closure_digests(old, e, comps))
+    after = traverse.changed_closures(before, old, new, e, comps).join(before.select("comp", F.col("closure").alias("was")), "comp")
+    rows = comps.join(after, "comp").join(old.select("id", F.col("hash").alias("old_hash")), "id").join(new, "id")
+    verdict = F.when(F.col("hash") != F.col("old_hash"), "own_content").when(F.col("closure") != F.col("was"), "dependency").otherwise("unchanged")
+    return rows.select("id", verdict.alias("verdict"), "fresh")
+
+
 @query("g10_import_closure", using("cat", "imports", recursive=True) + ", e AS (SELECT i.id AS import_id, i.path AS a, c.path AS b FROM imports i LEFT JOIN cat c ON c.doc_id=i.target_doc WHERE NOT type_only), s AS (SELECT path FROM cat WHERE doc_id=1), r AS (SELECT path AS id FROM s UNION SELECT e.b FROM r JOIN e ON e.a=r.id WHERE e.b IS NOT NULL) SELECT import_id, a FROM e WHERE b IS NULL AND a IN (SELECT id FROM r)")
 def g10(spark, d):
     seed = inputs.cat(spark, d).where("doc_id = 1").select(F.col("path").alias("id"))

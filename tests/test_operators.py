@@ -148,7 +148,14 @@ def test_levels_and_digests_of_random_graphs(spark, seed):
     files = spark.range(90).select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash"))
     e = graph_of(spark, pairs)
     assert {r.comp: r.level for r in traverse.topological_levels(e, comps).collect()} == level
-    assert {r.comp: r.closure for r in traverse.closure_digests(files, e, comps).collect()} == digest
+    before = traverse.closure_digests(files, e, comps)
+    assert {r.comp: r.closure for r in before.collect()} == digest
+    edited = files.withColumn("hash", F.when(F.col("id").isin(3, 40, 77), "new").otherwise(F.col("hash")))
+    whole = {r.comp: r.closure for r in traverse.closure_digests(edited, e, comps).collect()}
+    rows = traverse.changed_closures(before, files, edited, e, comps).collect()
+    assert {r.comp: r.closure for r in rows} == whole and len(rows) == 90
+    assert {r.comp for r in rows if r.fresh} == {c for c in whole if whole[c] != digest[c]}  # no component is digested for nothing
+    assert {r.closure for r in traverse.changed_closures(before, files, files, e, comps).collect()} == set(digest.values())
 
 
 def test_long_chains_take_few_jobs(spark):
