@@ -37,8 +37,8 @@ TOP = 1 << 18
 #: Texts are taken to DuckDB together up to so many bytes, tokens of one text up to so many at a time.
 CHUNK_BYTES = 700_000
 SLICE = 1_000_000
-#: Parts of texts that a worker keeps encoded, of 64 bytes at most.
-KNOWN = 200_000
+#: Parts of texts that a worker keeps encoded, of 64 bytes at most: twice so many, and those of one run of texts.
+KNOWN = 120_000
 #: Counts below are told apart one by one where the most frequent pairs are chosen, those above by 64 steps for each doubling.
 FINE = 1024
 _ALIGNED = (
@@ -84,6 +84,7 @@ class Pair:
         #: Whether no piece goes on over a blank: then no merge does, and parts before blanks are encoded for themselves.
         self.parted = all("▁" not in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.known: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.older: dict[bytes, tuple[bytes, bytes] | None] = {}
 
     def _whole(self, raw: bytes) -> tuple[bytes, bytes] | None:
         """Token ids of both of a text with a space in front, as 32-bit numbers; None where a side's bytes are others."""
@@ -104,7 +105,8 @@ class Pair:
         if self.parted:
             at = np.frombuffer(raw, np.uint8)
             ends = [0, *(np.flatnonzero((at[1:] == 32) & (at[:-1] > 32) & (at[:-1] < 127)) + 1).tolist(), len(raw)]
-            found = [self.known[p] if (p := raw[i:j]) in self.known else self._part(p) for i, j in pairwise(ends)]
+            known = self.known
+            found = [known[p] if (p := raw[i:j]) in known else self._part(p) for i, j in pairwise(ends)]
             if None not in found:
                 a, b = (b"".join(x) for x in zip(*found, strict=True))
                 return np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
@@ -112,13 +114,16 @@ class Pair:
         return (none, none) if whole is None else (np.frombuffer(whole[0], np.int32), np.frombuffer(whole[1], np.int32))
 
     def _part(self, raw: bytes) -> tuple[bytes, bytes] | None:
-        ids = self._whole(raw)
+        ids = self.older[raw] if raw in self.older else self._whole(raw)
         if len(raw) <= 64:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
             self.known[raw] = ids
         return ids
 
+    def forget(self) -> None:
+        """Between runs of texts: of more than KNOWN parts, those that were met since the last time stay within reach."""
+        if len(self.known) >= KNOWN:
+            self.known, self.older = {}, self.known
+
 
 _loaded: dict[tuple[str, str], Pair] = {}
 
@@ -185,6 +190,7 @@ class Aligner:
     def align(self, texts: list[str]) -> tuple[pa.Table, pa.Table | None]:
         """Of each text its counts, its groups' digest and its pairs (a, b, n as lists), and in one row how many of the texts hold each pair (a, b, n)."""
         pair = self.pair
+        pair.forget()
         encoded = [pair.encode(t) for t in texts]
         sizes_a, sizes_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
         ids_a, ids_b = (np.concatenate([e[k] for e in encoded]) for k in (0, 1))
