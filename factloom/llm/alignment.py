@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -95,23 +95,45 @@ class Pair:
             return None
         return np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of both; of neither where a side's bytes are not the text with a space in front. A blank behind a visible ASCII character
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Token ids of both of each text; of neither where a side's bytes are not the text with a space in front. A blank behind a visible ASCII character
         begins a word and a piece, so that parts between such places are encoded once and kept."""
+        raws = [(" " + t).encode() if t else b"" for t in texts]
+        parts = [self._parts(r) if self.parted else [r] for r in raws]
+        self._learn(dict.fromkeys(p for some in parts for p in some))
         none = np.zeros(0, np.int32)
-        if not text:
-            return none, none
-        raw = (" " + text).encode()
-        if self.parted:
-            at = np.frombuffer(raw, np.uint8)
-            ends = [0, *(np.flatnonzero((at[1:] == 32) & (at[:-1] > 32) & (at[:-1] < 127)) + 1).tolist(), len(raw)]
-            known = self.known
-            found = [known[p] if (p := raw[i:j]) in known else self._part(p) for i, j in pairwise(ends)]
-            if None not in found:
-                a, b = (b"".join(x) for x in zip(*found, strict=True))
-                return np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
-        whole = self._whole(raw)
-        return (none, none) if whole is None else (np.frombuffer(whole[0], np.int32), np.frombuffer(whole[1], np.int32))
+        out = []
+        for raw, some in zip(raws, parts, strict=True):
+            found = [self.known[p] if p in self.known else self._part(p) for p in some] if raw else [None]
+            if None in found:  # parts that differ may still be a text that does not
+                whole = self._whole(raw) if len(some) > 1 else None
+                out.append((none, none) if whole is None else tuple(np.frombuffer(x, np.int32) for x in whole))
+            else:
+                out.append(tuple(np.frombuffer(b"".join(x), np.int32) for x in zip(*found, strict=True)))
+        return out
+
+    @staticmethod
+    def _parts(raw: bytes) -> list[bytes]:
+        at = np.frombuffer(raw, np.uint8)
+        ends = [0, *(np.flatnonzero((at[1:] == 32) & (at[:-1] > 32) & (at[:-1] < 127)) + 1).tolist(), len(raw)]
+        return [raw[i:j] for i, j in pairwise(ends)]
+
+    def _learn(self, parts: Iterable[bytes]) -> None:
+        """Encode short parts that are not known, many at a time: written together, those that end in a visible ASCII character keep their tokens."""
+        new = []
+        for p in parts:
+            if p in self.older:
+                self.known[p] = self.older[p]
+            elif p not in self.known and 1 < len(p) <= 64 and 32 < p[-1] < 127:
+                new.append(p)
+        for first in range(0, len(new), 512):
+            some = new[first : first + 512]
+            whole = self._whole(b"".join(some))
+            if whole is not None:  # else each is tried for itself
+                ends = np.cumsum([len(p) for p in some])
+                cuts = [[0, *(4 * (np.searchsorted(np.cumsum(size[np.frombuffer(ids, np.int32)]), ends) + 1)).tolist()] for ids, size in zip(whole, (self.size_a, self.size_b), strict=True)]
+                for p, (i, j), (k, m) in zip(some, pairwise(cuts[0]), pairwise(cuts[1]), strict=True):
+                    self.known[p] = whole[0][i:j], whole[1][k:m]
 
     def _part(self, raw: bytes) -> tuple[bytes, bytes] | None:
         ids = self.older[raw] if raw in self.older else self._whole(raw)
@@ -191,7 +213,7 @@ class Aligner:
         """Of each text its counts, its groups' digest and its pairs (a, b, n as lists), and in one row how many of the texts hold each pair (a, b, n)."""
         pair = self.pair
         pair.forget()
-        encoded = [pair.encode(t) for t in texts]
+        encoded = pair.encode(texts)
         sizes_a, sizes_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
         ids_a, ids_b = (np.concatenate([e[k] for e in encoded]) for k in (0, 1))
         del encoded
