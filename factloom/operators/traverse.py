@@ -155,9 +155,9 @@ def jumped(pointers: DataFrame) -> DataFrame:
     A pointer says that the value of ``id`` is max(k, w + value of ``to``); two such in a row are one again. Every step doubles how far all of
     them reach, so a chain of n takes log2(n) steps, ``DOUBLINGS`` of them a job.
     """
-    at = pointers.select("id", "to", "w", "k")
+    at, steps = pointers.select("id", "to", "w", "k"), 1
     while True:
-        for _ in range(DOUBLINGS):
+        for _ in range(steps):
             on = at.select(F.col("id").alias("to"), F.col("to").alias("on_to"), F.col("w").alias("on_w"), F.col("k").alias("on_k"))
             at = at.join(on, "to", "left").select(
                 "id",
@@ -169,7 +169,7 @@ def jumped(pointers: DataFrame) -> DataFrame:
         at = stored(at)
         if at.where("moved").isEmpty():
             return at.drop("moved")
-        at = at.drop("moved")
+        at, steps = at.drop("moved"), DOUBLINGS  # most chains are short
 
 
 def topological_levels(edges: DataFrame, comps: DataFrame) -> DataFrame:

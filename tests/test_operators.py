@@ -127,35 +127,33 @@ def test_levels_and_closure_digests(spark):
     assert top[1] == base[1] and top[2] == base[2] and top[4] != base[4]
 
 
-def levels_by_hand(pairs, n):
+def levels_by_hand(pairs, n, hashes=()):
     kids = {}
     for a, b in pairs:
         kids.setdefault(a, set()).add(b)
     level, digest = {}, {}
     for a in range(n):  # edges point at smaller numbers
         level[a] = 1 + max((level[b] for b in kids.get(a, ())), default=-1)
-        text = f"{a}=h{a}" + ("\0" + "\n".join(sorted(digest[b] for b in kids[a])) if a in kids else "")
+        text = f"{a}={dict(hashes).get(a, f'h{a}')}" + ("\0" + "\n".join(sorted(digest[b] for b in kids[a])) if a in kids else "")
         digest[a] = hashlib.sha256(text.encode()).hexdigest()
     return level, digest
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_levels_and_digests_of_random_graphs(spark, seed):
-    rng = random.Random(seed)
-    pairs = [(a, rng.randrange(max(0, a - 9), a)) for a in range(1, 90) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
-    level, digest = levels_by_hand(pairs, 90)
-    comps = spark.range(90).select("id", F.col("id").alias("comp"))
-    files = spark.range(90).select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash"))
+def test_levels_and_digests_of_a_random_graph(spark):
+    rng = random.Random(1)
+    pairs = [(a, rng.randrange(max(0, a - 9), a)) for a in range(1, 40) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+    level, digest = levels_by_hand(pairs, 40)
+    comps = spark.range(40).select("id", F.col("id").alias("comp"))
+    files = spark.range(40).select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash"))
     e = graph_of(spark, pairs)
     assert {r.comp: r.level for r in traverse.topological_levels(e, comps).collect()} == level
     before = traverse.closure_digests(files, e, comps)
     assert {r.comp: r.closure for r in before.collect()} == digest
-    edited = files.withColumn("hash", F.when(F.col("id").isin(3, 40, 77), "new").otherwise(F.col("hash")))
-    whole = {r.comp: r.closure for r in traverse.closure_digests(edited, e, comps).collect()}
+    edited = files.withColumn("hash", F.when(F.col("id") == 20, "h99").otherwise(F.col("hash")))
+    whole = levels_by_hand(pairs, 40, {20: "h99"})[1]
     rows = traverse.changed_closures(before, files, edited, e, comps).collect()
-    assert {r.comp: r.closure for r in rows} == whole and len(rows) == 90
+    assert {r.comp: r.closure for r in rows} == whole and len(rows) == 40
     assert {r.comp for r in rows if r.fresh} == {c for c in whole if whole[c] != digest[c]}  # no component is digested for nothing
-    assert {r.closure for r in traverse.changed_closures(before, files, files, e, comps).collect()} == set(digest.values())
 
 
 def test_long_chains_take_few_jobs(spark):
@@ -164,13 +162,13 @@ def test_long_chains_take_few_jobs(spark):
     ids = spark.range(n)
     e = ids.where("id > 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     comps = ids.select("id", F.col("id").alias("comp"))
+    e = e.unionByName(ids.where("id > 1").select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")))
     spark.sparkContext.setJobGroup("chain", "levels of a chain")
-    for edges_of in (e, e.unionByName(ids.where("id > 1").select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")))):
-        levels = traverse.topological_levels(edges_of, comps)
-        assert levels.where("comp <> level").count() == 0 and levels.count() == n
+    levels = traverse.topological_levels(e, comps)
+    assert levels.where("comp <> level").count() == 0 and levels.count() == n
     made = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert made < 400  # two graphs; a job is a stage where plans are adaptive
+    assert made < 150  # a job is a stage where plans are adaptive
 
 
 def test_byte_functions(spark):
