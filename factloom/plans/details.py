@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import decisions, documents, rollup
+from factloom.operators import decisions, documents, nested, rollup
 from factloom.plans import inputs
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query
 from factloom.plans.sql import using
@@ -74,7 +74,8 @@ def d8(spark, d):
         .when(k == 7, '{"kind":"promise","of":1}')
         .otherwise(text('{"a":', s, "}"))
     )
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), decisions.decoded(encoded).alias("value"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), encoded.alias("encoded"))
+    return nested.untagged(rows, "encoded", "value").drop("encoded")
 
 
 @query("d11_effect_journal", "SELECT user_id AS id, event_type AS effect, count(*) AS n FROM events WHERE event_id%3=0 GROUP BY ALL")

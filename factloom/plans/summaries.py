@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, rollup
+from factloom.operators import graph, nested, rollup
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
@@ -108,6 +108,26 @@ def a12(spark, d):
     return rows.groupBy(F.substring_index("o", "(", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "a12_nested_origins",
+    """WITH f AS (SELECT l_orderkey AS o, l_linenumber AS n, '"'||l_returnflag||'('||l_linenumber||')"' AS r, '"'||l_linestatus||'(0)"' AS s FROM lineitem),
+ j AS (SELECT CASE n%4 WHEN 0 THEN '{"origin":'||r||'}' WHEN 1 THEN '{"args":[{"origin":'||r||',"of":[[{"origin":'||s||'}]]},{"name":"origin"}]}' WHEN 2 THEN '[{"effects":{"reads":[{"at":1,"origin":'||s||'}],"origin":'||r||'}}]' ELSE '{"origin":' END AS text FROM f)
+ SELECT split_part(json_extract_string(t.value, '$'), '(', 1) AS kind, count(*) AS n FROM (SELECT text FROM j WHERE json_valid(text)) v, json_tree(v.text) t WHERE t.key='origin' GROUP BY 1""",
+)
+def a12_nested(spark, d):
+    """Origins at any depth of facts whose shape is not known; every fourth is cut short and holds none."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    r, s, k = text('"', F.col("l_returnflag"), "(", F.col("l_linenumber").cast("string"), ')"'), text('"', F.col("l_linestatus"), '(0)"'), F.col("l_linenumber") % 4
+    fact = (
+        F.when(k == 0, text('{"origin":', r, "}"))
+        .when(k == 1, text('{"args":[{"origin":', r, ',"of":[[{"origin":', s, '}]]},{"name":"origin"}]}'))
+        .when(k == 2, text('[{"effects":{"reads":[{"at":1,"origin":', s, '}],"origin":', r, "}}]"))
+        .otherwise(F.lit('{"origin":'))
+    )
+    found = nested.fields(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), fact.alias("text")), "origin")
+    return found.groupBy(F.substring_index("value", "(", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("a13_value_merge", "SELECT l_orderkey//2 AS id, CASE WHEN count(DISTINCT l_quantity)>8 THEN '' ELSE string_agg(DISTINCT CAST(l_quantity::INT AS VARCHAR), ',' ORDER BY CAST(l_quantity::INT AS VARCHAR)) END AS constants, count(DISTINCT l_quantity)>8 AS overflow FROM lineitem GROUP BY 1", also="a13_value_merge_whole")
 def a13(spark, d):
     rows = table(spark, d, "lineitem")
