@@ -64,8 +64,8 @@ def values(blocks: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
     none = uses.select("fn", "use").join(chain.select("fn", "use"), ["fn", "use"], "left_anti").withColumn("value", F.lit(UNKNOWN))
     seed = base.where("value IS NOT NULL").select("fn", "use", "value").unionByName(none)
     held = _grow(seed, lambda new: new.join(copies, ["fn", "use"]).select("fn", F.col("to").alias("use"), "value"), ["fn", "use", "value"])
-    constants, over = rollup.capped_union(F.when(F.col("value") != UNKNOWN, F.col("value")), rollup.CONSTANTS)
-    return held.groupBy("fn", "use").agg(constants.alias("constants"), over.alias("overflow"), F.bool_or(F.col("value") == UNKNOWN).alias("has_unknown")).select(
+    unknown = held.groupBy("fn", "use").agg(F.bool_or(F.col("value") == UNKNOWN).alias("has_unknown"))
+    return rollup.capped_unions(held, ["fn", "use"], F.when(F.col("value") != UNKNOWN, F.col("value")), rollup.CONSTANTS).join(unknown, ["fn", "use"]).select(
         "fn", "use", "constants", "overflow", (F.col("has_unknown") | F.col("overflow")).alias("unknown")
     )
 

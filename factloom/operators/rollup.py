@@ -71,6 +71,14 @@ def capped_union(values: Column, limit: int) -> tuple[Column, Column]:
     return F.when(over, "").otherwise(F.array_join(found, ",")), over
 
 
+def capped_unions(rows: DataFrame, keys: list[str], value: Column, limit: int) -> DataFrame:
+    """(keys, constants, overflow): ``capped_union`` of every group, of which no more than one value above the cap are brought together. Nulls are no values."""
+    first = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("value"))
+    few = rows.select(*keys, value.alias("value")).distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit + 1)
+    constants, over = capped_union(F.col("value"), limit)
+    return few.groupBy(*keys).agg(constants.alias("constants"), over.alias("overflow"))
+
+
 def initialised(state: Column) -> Column:
     """Join of the initialisation lattice: equal states stay, different ones are maybe."""
     return F.when(F.min(state) == F.max(state), F.min(state)).otherwise("maybe")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from factloom.operators import dataflow, ignore, traverse
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
-from factloom.session import checkpointed
+from factloom.session import checkpointed, new_place
 from factloom.sources import language_facts, projections
 from factloom.sources.tables import table
 from factloom.streaming import jobs
@@ -152,7 +150,4 @@ def stream_outcomes(spark, d):
     schema = table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"outcomes_{uuid.uuid4().hex}"
-    run = jobs.outcome_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(epoch_us(F.col("start").cast("timestamp_ntz")).alias("start"), "event_type", "n")
+    return jobs.drained(jobs.outcome_counts(rows), new_place(spark, "outcomes")).select(epoch_us(F.col("start").cast("timestamp_ntz")).alias("start"), "event_type", "n")

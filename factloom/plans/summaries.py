@@ -130,9 +130,8 @@ def a12_nested(spark, d):
 
 @query("a13_value_merge", "SELECT l_orderkey//2 AS id, CASE WHEN count(DISTINCT l_quantity)>8 THEN '' ELSE string_agg(DISTINCT CAST(l_quantity::INT AS VARCHAR), ',' ORDER BY CAST(l_quantity::INT AS VARCHAR)) END AS constants, count(DISTINCT l_quantity)>8 AS overflow FROM lineitem GROUP BY 1", also="a13_value_merge_whole")
 def a13(spark, d):
-    rows = table(spark, d, "lineitem")
-    constants, over = rollup.capped_union(F.col("l_quantity").cast("int").cast("string"), rollup.CONSTANTS)
-    return rows.groupBy(F.floor(F.col("l_orderkey") / 2).alias("id")).agg(constants.alias("constants"), over.alias("overflow"))
+    rows = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 2).alias("id"), "l_quantity")
+    return rollup.capped_unions(rows, ["id"], F.col("l_quantity").cast("int").cast("string"), rollup.CONSTANTS)
 
 
 @query("a14_effect_join", "SELECT l_suppkey AS id, bool_or(l_quantity>49) AS writes, bool_or(l_discount>0.09) AS throws, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS targets FROM lineitem GROUP BY l_suppkey")

@@ -34,18 +34,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, as an operating system's path, below spark.checkpoint.dir, which all executors see."""
+def new_place(spark: SparkSession, name: str) -> str:
+    """A new place, in whatever store, below spark.checkpoint.dir, which all executors see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, as an operating system's path, below spark.checkpoint.dir, which all executors see."""
+    folder = new_place(spark, name)
     if folder.startswith("file:"):
         folder = folder.removeprefix("file:").replace("///", "/")
     if "://" in folder:
         raise ValueError(f"{folder} is no mounted folder")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:

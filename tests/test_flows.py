@@ -150,6 +150,31 @@ def test_lease_stream(spark, tmp_path):
     assert got == {("a", "expired"), ("b", "finished")}
 
 
+def test_drained_stream_goes_on_after_a_stop(spark, tmp_path):
+    src, folder = tmp_path / "in", str(tmp_path / "kept")
+
+    def feed(keys):
+        rows = [(k, f"2024-01-01 00:{k:02}:00", "a" if k % 2 else "b") for k in keys]
+        spark.createDataFrame(rows, "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(src))
+
+    def counts(place, files=1):
+        rows = spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", files).parquet(str(src))
+        return {r.event_type: r.n for r in jobs.drained(jobs.outcome_counts(rows), place).collect()}
+
+    spark.createDataFrame([], "event_id long, ts timestamp, event_type string").write.parquet(str(src))
+    feed(range(0, 10))
+    feed(range(5, 15))
+    assert counts(folder) == {"a": 7, "b": 8}
+    assert counts(folder) == {"a": 7, "b": 8}
+    feed(range(10, 20))
+    # as if the driver had stopped between the batch's rows and its mark: its folder is there, and it is run again
+    whole = counts(folder)
+    marks = sorted((tmp_path / "kept" / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    marks[-1].unlink()
+    (marks[-1].parent / f".{marks[-1].name}.crc").unlink(missing_ok=True)
+    assert counts(folder) == whole == counts(str(tmp_path / "anew"), 100) == {"a": 10, "b": 10}
+
+
 def test_no_local_checkpoint():
     import pathlib
 

@@ -327,6 +327,12 @@ def test_lattice(spark):
     assert got == {1: ("a", False, "a"), 2: ("a,b", False, "maybe"), 3: ("", True, "maybe")}
 
 
+def test_capped_unions_of_large_groups(spark):
+    rows = [(1, f"v{i % 500}") for i in range(2000)] + [(2, "b"), (2, None), (2, "a"), (3, None), (4, None), *((4, c) for c in "abc"), *((5, c) for c in "ab")]
+    got = {r.k: tuple(r)[1:] for r in rollup.capped_unions(spark.createDataFrame(rows, "k long, v string"), ["k"], F.col("v"), 2).collect()}
+    assert got == {1: ("", True), 2: ("a,b", False), 3: ("", False), 4: ("", True), 5: ("a,b", False)}
+
+
 def test_decision_names_all_that_is_missing(spark):
     f = spark.createDataFrame([(1, False, False, True, True, True)], "id long, unknown boolean, is_nested boolean, network boolean, files boolean, mutates boolean")
     got = decisions.decide(decisions.profile(f), F.array(F.lit("context"))).first()
