@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.ranks import numbered
-from factloom.session import checkpointed, stored
+from factloom.session import checkpointed, shuffled, stored
 
 #: Rounds that are planned together as one job: fewer jobs against longer plans.
 TRIMS, HOPS, DOUBLINGS = 3, 3, 3
@@ -26,7 +26,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, levels: int | None = None) ->
     step = edges.select(F.col("a").alias("id"), "b").where("b IS NOT NULL")
     while levels is None or level < levels:
         level += 1
-        front = front.select("id").join(step, "id").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = front.select("id").join(shuffled(step), "id").select(F.col("b").alias("id")).distinct().join(shuffled(seen.select("id")), "id", "left_anti")
         front = checkpointed(front.withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
@@ -106,7 +106,7 @@ def strong_components(edges: DataFrame, singletons: bool = True, rest: int = RES
     live = live.where("a <> b")
     while True:
         for _ in range(TRIMS):  # any number is right: what is not trimmed is coloured alone
-            live = live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+            live = live.join(shuffled(live.select(F.col("b").alias("a")).distinct()), "a", "left_semi").join(shuffled(live.select(F.col("a").alias("b")).distinct()), "b", "left_semi")
         live = checkpointed(live.select("a", "b"))
         left = live.count()
         if left <= rest:
@@ -118,23 +118,23 @@ def strong_components(edges: DataFrame, singletons: bool = True, rest: int = RES
         while True:  # the least label spreads forward, HOPS edges a job
             new = colour
             for _ in range(HOPS):
-                told = live.join(new, live.a == new.id).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("in_c"))
-                new = new.join(told, "id", "left").select("id", F.least("c", "in_c").alias("c"))
-            new = checkpointed(new.join(colour.withColumnRenamed("c", "was"), "id"))
+                told = live.join(shuffled(new), live.a == new.id).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("in_c"))
+                new = new.join(shuffled(told), "id", "left").select("id", F.least("c", "in_c").alias("c"))
+            new = checkpointed(new.join(shuffled(colour.withColumnRenamed("c", "was")), "id"))
             still = new.where("c <> was").isEmpty()
             colour = new.select("id", "c")
             if still:
                 break
-        inner = live.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+        inner = live.join(shuffled(colour.select(F.col("id").alias("a"), F.col("c").alias("ca"))), "a").join(shuffled(colour.select(F.col("id").alias("b"), F.col("c").alias("cb"))), "b")
         inner = checkpointed(inner.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
         back = reachable(inner, colour.where("id = c").select("id")).select("id")
-        found = checkpointed(back.join(colour, "id").select("id", F.col("c").alias("comp")))
+        found = checkpointed(back.join(shuffled(colour), "id").select("id", F.col("c").alias("comp")))
         done = found if done is None else done.unionByName(found)
-        live = live.join(found.select(F.col("id").alias("a")), "a", "left_anti").join(found.select(F.col("id").alias("b")), "b", "left_anti")
+        live = live.join(shuffled(found.select(F.col("id").alias("a"))), "a", "left_anti").join(shuffled(found.select(F.col("id").alias("b"))), "b", "left_anti")
     if done is None:
         done = every.where("false").select("id", F.col("id").alias("comp"))
     if singletons:
-        alone = every.join(done.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
+        alone = every.join(shuffled(done.select("id")), "id", "left_anti").select("id", F.col("id").alias("comp"))
     else:
         size = done.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
         done = done.join(size, "comp", "left_semi").select("id", "comp")
@@ -144,7 +144,7 @@ def strong_components(edges: DataFrame, singletons: bool = True, rest: int = RES
 
 def condensed(edges: DataFrame, comps: DataFrame) -> DataFrame:
     """(id, to): the edges (a, b) between different components, each once."""
-    c = comps.select("id", "comp")
+    c = shuffled(comps.select("id", "comp"))
     met = edges.where("b IS NOT NULL").join(c.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
     return met.where("ca <> cb").select(F.col("ca").alias("id"), F.col("cb").alias("to")).distinct()
 
@@ -159,7 +159,7 @@ def jumped(pointers: DataFrame) -> DataFrame:
     while True:
         for _ in range(steps):
             on = at.select(F.col("id").alias("to"), F.col("to").alias("on_to"), F.col("w").alias("on_w"), F.col("k").alias("on_k"))
-            at = at.join(on, "to", "left").select(
+            at = at.join(shuffled(on), "to", "left").select(
                 "id",
                 F.coalesce("on_to", "to").alias("to"),
                 (F.col("w") + F.coalesce("on_w", F.lit(0))).alias("w"),
@@ -189,14 +189,14 @@ def topological_levels(edges: DataFrame, comps: DataFrame) -> DataFrame:
         met = known[-1].select(F.col("id").alias("to"), F.lit(None).cast(state.schema["to"].dataType).alias("on"), F.lit(0).cast("long").alias("on_w"), F.col("level").alias("on_k"))
         one, more = state.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
         if one:  # a pointer that ends at a known level is known; the others wait with what they end at
-            ends = jumped(state.where("n = 1")).join(known[-1].withColumnRenamed("id", "to"), "to", "left")
+            ends = jumped(state.where("n = 1")).join(shuffled(known[-1].withColumnRenamed("id", "to")), "to", "left")
             ends = stored(ends.select("id", F.when(F.col("level").isNull(), F.col("to")).alias("to"), "w", F.greatest("k", F.col("w") + F.col("level")).alias("k")))
             known.append(ends.where("to IS NULL").select("id", F.col("k").alias("level")))
             aside.append(ends.where("to IS NOT NULL"))
             met = met.unionByName(ends.select(F.col("id").alias("to"), F.col("to").alias("on"), F.col("w").alias("on_w"), F.col("k").alias("on_k")))
         if not more:
             break
-        moved = links.join(state.where("n > 1").select("id"), "id", "left_semi").join(met.withColumn("met", F.lit(True)), "to", "left")
+        moved = links.join(shuffled(state.where("n > 1").select("id")), "id", "left_semi").join(shuffled(met.withColumn("met", F.lit(True))), "to", "left")
         # an edge to a pointer is one to its end, and no less than what it says itself; one to a known level says no more than that
         ways = F.when(F.col("met"), F.array(F.struct("on", (F.col("w") + F.col("on_w")).alias("w")), F.struct(F.lit(None).cast(state.schema["to"].dataType).alias("on"), (F.col("w") + F.col("on_k")).alias("w"))))
         ways = F.coalesce(ways, F.array(F.struct(F.col("to").alias("on"), "w")))
@@ -204,7 +204,7 @@ def topological_levels(edges: DataFrame, comps: DataFrame) -> DataFrame:
         links = stored(way.groupBy("id", F.col("way.on").alias("to")).agg(F.max("way.w").alias("w")))
     out = _union(known)
     for ends in reversed(aside):
-        found = ends.join(out.select(F.col("id").alias("to"), "level"), "to").select("id", F.greatest(F.col("k"), F.col("w") + F.col("level")).alias("level"))
+        found = ends.join(shuffled(out.select(F.col("id").alias("to"), "level")), "to").select("id", F.greatest(F.col("k"), F.col("w") + F.col("level")).alias("level"))
         out = stored(out.unionByName(found))
     return out.select(F.col("id").alias("comp"), F.col("level").cast("int").alias("level"))
 
@@ -221,9 +221,9 @@ def paths(links: DataFrame, among: DataFrame | None = None) -> DataFrame:
     ``path`` is the last id, ``place`` how far from it. ``among`` (id): the ids that chains may hold."""
     alone = links.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
     sole = links.groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to")
-    steps = links.join(alone, "id", "left_semi").join(sole, "to", "left_semi")
+    steps = links.join(shuffled(alone), "id", "left_semi").join(shuffled(sole), "to", "left_semi")
     if among is not None:
-        steps = steps.join(among.select(F.col("id").alias("to")), "to", "left_semi")
+        steps = steps.join(shuffled(among.select(F.col("id").alias("to"))), "to", "left_semi")
     ends = jumped(steps.select("id", "to", F.lit(1).alias("w"), F.lit(0).alias("k")))
     last = ends.select(F.col("to").alias("id")).distinct()
     return ends.select("id", F.col("to").alias("path"), F.col("w").alias("place")).unionByName(last.select("id", F.col("id").alias("path"), F.lit(0).cast("long").alias("place")))
@@ -261,17 +261,17 @@ def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame, known:
         comps = stored(comps.join(known.select("comp"), "comp", "left_anti"))
         links = links.join(comps.select(F.col("comp").alias("id")).distinct(), "id", "left_semi")
     links = stored(links)
-    members = comps.join(files.select("id", "hash"), "id").groupBy("comp").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "id", "hash"))), "\n").alias("own"))
+    members = comps.join(shuffled(files.select("id", "hash")), "id").groupBy("comp").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "id", "hash"))), "\n").alias("own"))
     chain = stored(paths(links, comps.select(F.col("comp").alias("id")).distinct()))
     of = lambda c, p: chain.select(F.col("id").alias(c), F.col("path").alias(p))
-    between = links.join(of("id", "from_path"), "id", "left").join(of("to", "to_path"), "to", "left")
+    between = links.join(shuffled(of("id", "from_path")), "id", "left").join(shuffled(of("to", "to_path")), "to", "left")
     between = between.select("to", F.coalesce("from_path", "id").alias("a"), F.coalesce("to_path", "to").alias("b"))
     between = stored(between.where("a <> b"))  # from a chain's last component to any place of another
-    rows = members.join(chain.withColumnRenamed("id", "comp"), "comp", "left").select("comp", F.coalesce("path", "comp").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), "own")
+    rows = members.join(shuffled(chain.withColumnRenamed("id", "comp")), "comp", "left").select("comp", F.coalesce("path", "comp").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), "own")
     every = stored(rows.select(F.col("path").alias("id")).distinct().withColumn("comp", F.col("id")))
     levels = topological_levels(between.select("a", "b"), every).select(F.col("comp").alias("path"), "level")
-    rows = stored(rows.join(levels, "path"))
-    waits = stored(between.join(levels.withColumnRenamed("path", "a"), "a").select("to", "a", "level"))
+    rows = stored(rows.join(shuffled(levels), "path"))
+    waits = stored(between.join(shuffled(levels.withColumnRenamed("path", "a")), "a").select("to", "a", "level"))
     top = rows.agg(F.max("level")).first()[0]
     done, told = [], []
     if known is not None:
@@ -280,7 +280,7 @@ def closure_digests(files: DataFrame, edges: DataFrame, comps: DataFrame, known:
         here = rows.where(F.col("level") == level).drop("level")
         if told:
             kids = _union(told).where(F.col("level") == level).groupBy(F.col("a").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("closure")), "\n").alias("kids"))
-            here = here.join(kids, "path", "left")
+            here = here.join(shuffled(kids), "path", "left")
         else:
             here = here.withColumn("kids", F.lit(None).cast("string"))
         found = stored(_rolled(here))

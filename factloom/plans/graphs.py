@@ -9,7 +9,7 @@ from factloom.operators import catalog, graph, ranks, traverse
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
-from factloom.session import checkpointed, stored
+from factloom.session import checkpointed, shuffled, stored
 from factloom.sources import projections
 from factloom.sources.tables import table
 
@@ -115,8 +115,8 @@ def g6(spark, d):
 def file_graph(spark, d):
     """Imports among captured files, without loops."""
     p = inputs.cat(spark, d).where("disposition = 'captured'").select("doc_id", "path")
-    i = inputs.imports(spark, d).join(p.select(F.col("doc_id")), "doc_id", "left_semi")
-    rows = i.join(p.select(F.col("doc_id").alias("target_doc"), F.col("path").alias("b")), "target_doc")
+    i = inputs.imports(spark, d).join(shuffled(p.select(F.col("doc_id"))), "doc_id", "left_semi")
+    rows = i.join(shuffled(p.select(F.col("doc_id").alias("target_doc"), F.col("path").alias("b"))), "target_doc")
     return rows.select(F.col("path").alias("a"), "b").where("a <> b").distinct()
 
 
@@ -150,9 +150,9 @@ def merkle(spark, d):
     e = checkpointed(file_graph(spark, d))
     files = inputs.cat(spark, d).where("disposition = 'captured'").select(F.col("path").alias("id"), F.col("blob").alias("hash"))
     comps = traverse.strong_components(e)
-    alone = files.select("id").join(comps.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
+    alone = files.select("id").join(shuffled(comps.select("id")), "id", "left_anti").select("id", F.col("id").alias("comp"))
     comps = checkpointed(comps.unionByName(alone))
-    return files.join(comps, "id").join(traverse.closure_digests(files, e, comps), "comp")
+    return files.join(shuffled(comps), "id").join(shuffled(traverse.closure_digests(files, e, comps)), "comp")
 
 
 @query("g8_merkle_closure", MERKLE + " SELECT id, comp, closure FROM merkle")
@@ -182,7 +182,7 @@ def x6_incremental(spark, d):
     comps = stored(comps.unionByName(old.select("id").join(comps.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))))
     before = stored(traverse.closure_digests(old, e, comps))
     after = traverse.changed_closures(before, old, new, e, comps).join(before.select("comp", F.col("closure").alias("was")), "comp")
-    rows = comps.join(after, "comp").join(old.select("id", F.col("hash").alias("old_hash")), "id").join(new, "id")
+    rows = comps.join(shuffled(after), "comp").join(shuffled(old.select("id", F.col("hash").alias("old_hash"))), "id").join(shuffled(new), "id")
     verdict = F.when(F.col("hash") != F.col("old_hash"), "own_content").when(F.col("closure") != F.col("was"), "dependency").otherwise("unchanged")
     return rows.select("id", verdict.alias("verdict"), "fresh")
 

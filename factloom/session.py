@@ -54,8 +54,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for joins that no side of is broadcast: a table's estimated size is that of its compressed files, and the driver would hold its rows many times that large."""
+    return df.hint("merge")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir: one job, read by column, and safe from lost executors as a checkpoint is."""
+    """``df`` as a table in the folder of spark.checkpoint.dir: one job, read by column, and safe from lost executors as a checkpoint is. Joins do not broadcast it."""
     context = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -65,4 +70,4 @@ def stored(df: DataFrame) -> DataFrame:
         df.sparkSession.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/stored/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return shuffled(df.sparkSession.read.schema(df.schema).parquet(path))

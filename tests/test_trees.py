@@ -82,3 +82,16 @@ def test_a_file_that_is_gone_or_too_large_is_not_captured(spark, tmp_path):
     files = spark.createDataFrame([("f",), ("gone",)], "path string")
     assert {r.path: r.content for r in trees.capture(files, str(tmp_path), 4).collect()} == {"f": None, "gone": None}
     assert {r.path: r.content and bytes(r.content) for r in trees.capture(files, str(tmp_path), 5).collect()} == {"f": b"12345", "gone": None}
+
+
+def test_rounds_broadcast_no_table(spark):
+    """A stored table of long alike ids is small on disk and large on the driver."""
+    from factloom.operators import traverse
+    from factloom.session import stored
+
+    edges = stored(spark.range(3000).selectExpr("concat(repeat('x', 200), id) AS a", "concat(repeat('x', 200), id + 1) AS b"))
+    comps = traverse.strong_components(edges)
+    for df in (comps, traverse.condensed(edges, comps)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
