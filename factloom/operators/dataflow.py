@@ -3,85 +3,132 @@
 A program is rows: blocks (fn, block, succ), definitions (fn, block, idx, var, def, value, origin) and uses (fn, block, idx, var, use). A
 round joins what is new alone (semi-naive), so that its cost follows the frontier, and a fixpoint is reached when a round adds
 nothing. Facts that a front-end could not derive come in as rows with an unknown reason and are carried to the end.
+
+A program's rows meet only rows of the same function. ``by_function`` deals tables by it once, and rounds over small functions then shuffle nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import rollup, traverse
-from factloom.session import checkpointed
+from factloom.session import buckets, checkpointed, dealt, shuffled
 
 UNKNOWN = "unknown"
+#: Rows of a function that may meet in one task; the rounds of larger ones are shuffled by all keys.
+SMALL = 32
+
+
+@dataclass(frozen=True)
+class Rounds:
+    """How rounds keep what they derive, and how the new rows, few by few, are joined to the old."""
+
+    keep: Callable[[DataFrame], DataFrame] = checkpointed
+    hint: str = ""
+
+    def few(self, new: DataFrame) -> DataFrame:
+        return new.hint(self.hint) if self.hint else new
+
+    def without(self, new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+        """``new`` rows whose ``keys`` are not among ``old``, which is streamed past them."""
+        if not self.hint:
+            return new.join(shuffled(old), keys, "left_anti")
+        return self.few(new).join(old.select(*keys, F.lit(True).alias("_old")), keys, "left").where("_old IS NULL").drop("_old")
 
 
-def _grow(start: DataFrame, step, keys: list[str]) -> DataFrame:
+SPREAD = Rounds()
+
+
+def by_function(rows: DataFrame, n_rows: int, solve: Callable[[DataFrame, Rounds], DataFrame], small: int = SMALL) -> DataFrame:
+    """``solve`` over ``rows`` (fn, n, ...), about ``n_rows`` of them, where n is how many the function has: small functions where they lie once
+    they are dealt, larger ones apart and spread by block, in the same rounds."""
+    n = buckets(rows.sparkSession, n_rows)
+    keep = lambda df: dealt(df, n, "fn")
+    laid = keep(rows)
+    out = solve(laid.where(F.col("n") <= small), Rounds(keep, "shuffle_hash"))
+    large = laid.where(F.col("n") > small)
+    return out if large.isEmpty() else out.unionByName(solve(large, SPREAD))
+
+
+def _grow(start: DataFrame, step, keys: list[str], rounds: Rounds = SPREAD) -> DataFrame:
     """The least set that holds ``start`` and what ``step`` derives from its rows."""
-    seen = checkpointed(start.select(*keys).distinct())
-    new, rounds = seen, 0
-    while not new.isEmpty():
-        new = checkpointed(step(new).select(*keys).distinct().join(seen, keys, "left_anti"))
-        seen = seen.unionByName(new)
-        rounds += 1
-        if rounds % 8 == 0:
-            seen = checkpointed(seen)
-    return seen
-
-
-def reaching(blocks: DataFrame, defs: DataFrame) -> DataFrame:
+    parts = [rounds.keep(start.select(*keys).distinct())]
+    while not parts[-1].isEmpty():
+        new = step(parts[-1]).select(*keys).distinct()
+        for old in reversed(parts):  # one by one: Spark shuffles a union again
+            new = rounds.without(new, old, keys)
+        parts.append(rounds.keep(new))
+        if len(parts) > 16:
+            parts = [rounds.keep(reduce(DataFrame.unionByName, parts[:-1])), parts[-1]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reaching(blocks: DataFrame, defs: DataFrame, rounds: Rounds = SPREAD) -> DataFrame:
     """(fn, block, var, def): definitions that reach the start of a block; a later definition of the variable in a block kills."""
     last = defs.groupBy("fn", "block", "var").agg(F.max_by("def", "idx").alias("def"))
-    kills = checkpointed(last.select("fn", "block", "var"))
-    edges = checkpointed(blocks.where("succ IS NOT NULL").select("fn", "block", "succ").distinct())
+    kills = rounds.keep(last.select("fn", "block", "var"))
+    edges = rounds.keep(blocks.where("succ IS NOT NULL").select("fn", "block", "succ").distinct())
 
     def across(at_end: DataFrame) -> DataFrame:
-        return at_end.join(edges, ["fn", "block"]).select("fn", F.col("succ").alias("block"), "var", "def")
+        return rounds.few(at_end).join(edges, ["fn", "block"]).select("fn", F.col("succ").alias("block"), "var", "def")
 
     def step(at_start: DataFrame) -> DataFrame:
-        return across(at_start.join(kills, ["fn", "block", "var"], "left_anti"))
+        return across(rounds.without(at_start, kills, ["fn", "block", "var"]))
 
-    return _grow(across(last), step, ["fn", "block", "var", "def"])
+    return _grow(across(last), step, ["fn", "block", "var", "def"], rounds)
 
 
-def def_use(blocks: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
+def def_use(blocks: DataFrame, defs: DataFrame, uses: DataFrame, rounds: Rounds = SPREAD) -> DataFrame:
     """(fn, var, def, use): the definitions that a use may read: the last one before it in its block, else those that reach the block."""
     before = uses.alias("u").join(
-        defs.alias("d"), (F.col("u.fn") == F.col("d.fn")) & (F.col("u.block") == F.col("d.block")) & (F.col("u.var") == F.col("d.var")) & (F.col("d.idx") < F.col("u.idx"))
+        shuffled(defs).alias("d"), (F.col("u.fn") == F.col("d.fn")) & (F.col("u.block") == F.col("d.block")) & (F.col("u.var") == F.col("d.var")) & (F.col("d.idx") < F.col("u.idx"))
     )
     local = before.groupBy(F.col("u.fn").alias("fn"), F.col("u.var").alias("var"), F.col("u.use").alias("use")).agg(F.max_by("d.def", "d.idx").alias("def"))
-    far = uses.join(local.select("fn", "use"), ["fn", "use"], "left_anti").join(reaching(blocks, defs), ["fn", "block", "var"])
-    return local.select("fn", "var", "def", "use").unionByName(far.select("fn", "var", "def", "use"))
+    far = uses.join(shuffled(local.select("fn", "use")), ["fn", "use"], "left_anti").join(shuffled(reaching(blocks, defs, rounds)), ["fn", "block", "var"])
+    return rounds.keep(local.select("fn", "var", "def", "use").unionByName(far.select("fn", "var", "def", "use")))
 
 
-def values(blocks: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
+def values(blocks: DataFrame, defs: DataFrame, uses: DataFrame, rounds: Rounds = SPREAD) -> DataFrame:
     """(fn, use, constants, overflow, unknown): what a use may read, as a capped set of constants. A copy (origin: another use) reads what that use
     reads; an uncapped or unknown source makes the reader unknown; a use without a definition reads an unknown."""
-    chain = checkpointed(def_use(blocks, defs, uses))
-    d = defs.select("fn", "def", "value", "origin")
-    base = chain.join(d, ["fn", "def"]).select("fn", "use", F.when(F.col("origin").isNull(), F.coalesce("value", F.lit(UNKNOWN))).alias("value"), "origin")
-    copies = checkpointed(base.where("origin IS NOT NULL").select("fn", F.col("use").alias("to"), F.col("origin").alias("use")))
-    none = uses.select("fn", "use").join(chain.select("fn", "use"), ["fn", "use"], "left_anti").withColumn("value", F.lit(UNKNOWN))
+    chain = def_use(blocks, defs, uses, rounds)
+    d = shuffled(defs.select("fn", "def", "value", "origin"))
+    base = rounds.keep(chain.join(d, ["fn", "def"]).select("fn", "use", F.when(F.col("origin").isNull(), F.coalesce("value", F.lit(UNKNOWN))).alias("value"), "origin"))
+    copies = rounds.keep(base.where("origin IS NOT NULL").select("fn", F.col("use").alias("to"), F.col("origin").alias("use")))
+    none = uses.select("fn", "use").join(shuffled(chain.select("fn", "use")), ["fn", "use"], "left_anti").withColumn("value", F.lit(UNKNOWN))
     seed = base.where("value IS NOT NULL").select("fn", "use", "value").unionByName(none)
-    held = _grow(seed, lambda new: new.join(copies, ["fn", "use"]).select("fn", F.col("to").alias("use"), "value"), ["fn", "use", "value"])
-    unknown = held.groupBy("fn", "use").agg(F.bool_or(F.col("value") == UNKNOWN).alias("has_unknown"))
-    return rollup.capped_unions(held, ["fn", "use"], F.when(F.col("value") != UNKNOWN, F.col("value")), rollup.CONSTANTS).join(unknown, ["fn", "use"]).select(
-        "fn", "use", "constants", "overflow", (F.col("has_unknown") | F.col("overflow")).alias("unknown")
-    )
+    held = _grow(seed, lambda new: rounds.few(new).join(copies, ["fn", "use"]).select("fn", F.col("to").alias("use"), "value"), ["fn", "use", "value"], rounds)
+    first = Window.partitionBy("fn", "use").orderBy(F.asc_nulls_last("known"))
+    placed = held.withColumn("known", F.when(F.col("value") != UNKNOWN, F.col("value"))).withColumn("place", F.row_number().over(first))
+    constants, over = rollup.capped_union(F.when(F.col("place") <= rollup.CONSTANTS + 1, F.col("known")), rollup.CONSTANTS)
+    return placed.groupBy("fn", "use").agg(constants.alias("constants"), over.alias("overflow"), (F.bool_or(F.col("value") == UNKNOWN) | over).alias("unknown"))
 
 
-def live_blocks(blocks: DataFrame, entries: DataFrame, dead: DataFrame) -> DataFrame:
+def live_blocks(blocks: DataFrame, entries: DataFrame, dead: DataFrame, rounds: Rounds = SPREAD) -> DataFrame:
     """(fn, block): blocks reached from the entries without the ``dead`` edges (fn, block, succ), such as branches on a constant."""
-    edges = checkpointed(blocks.where("succ IS NOT NULL").select("fn", "block", "succ").distinct().join(dead, ["fn", "block", "succ"], "left_anti"))
-    return _grow(entries, lambda new: new.join(edges, ["fn", "block"]).select("fn", F.col("succ").alias("block")), ["fn", "block"])
-
-
-def loop_blocks(blocks: DataFrame) -> DataFrame:
-    """(fn, block): blocks on a cycle."""
-    key = lambda c: F.concat_ws("\u0000", "fn", F.col(c).cast("string"))
-    comps = traverse.strong_components(blocks.where("succ IS NOT NULL").select(key("block").alias("a"), key("succ").alias("b")), singletons=False)
+    edges = rounds.keep(blocks.where("succ IS NOT NULL").select("fn", "block", "succ").distinct().join(shuffled(dead), ["fn", "block", "succ"], "left_anti"))
+    return _grow(entries, lambda new: rounds.few(new).join(edges, ["fn", "block"]).select("fn", F.col("succ").alias("block")), ["fn", "block"], rounds)
+
+
+def loop_blocks(blocks: DataFrame, rounds: Rounds = SPREAD) -> DataFrame:
+    """(fn, block): blocks on a cycle. Blocks without an edge in or out are trimmed first, as long as that leaves half of the edges or fewer."""
+    live = rounds.keep(blocks.where("succ IS NOT NULL").select("fn", "block", "succ").distinct())
+    left, was = live.count(), None
+    while left and (was is None or 2 * left <= was):
+        for _ in range(traverse.TRIMS):
+            out, into = live.select("fn", F.col("block").alias("succ")).distinct(), live.select("fn", F.col("succ").alias("block")).distinct()
+            live = live.join(shuffled(out), ["fn", "succ"], "left_semi").join(shuffled(into), ["fn", "block"], "left_semi")
+        live = rounds.keep(live.select("fn", "block", "succ"))
+        left, was = live.count(), left
+    key = lambda c: F.concat_ws("\u0000", F.col("fn").cast("string"), F.col(c).cast("string"))
+    comps = traverse.strong_components(live.select(key("block").alias("a"), key("succ").alias("b")), singletons=False)
     parts = F.split("id", "\u0000")
-    return comps.select(parts[0].alias("fn"), parts[1].cast("long").alias("block"))
+    return comps.select(parts[0].cast(blocks.schema["fn"].dataType).alias("fn"), parts[1].cast("long").alias("block"))
 
 
 def effects(own: DataFrame, calls: DataFrame) -> DataFrame:
@@ -119,9 +166,9 @@ def invalid_flow(bindings: DataFrame, scopes: DataFrame, references: DataFrame)
     twice = lambda df, what: df.groupBy("fn", "id").agg(F.count("*").alias("n")).where("n > 1").select("fn", "id", F.lit(f"duplicate_{what}").alias("problem"))
     s = scopes.select("fn", F.col("id").alias("scope"))
     b = bindings.select("fn", F.col("id").alias("binding"))
-    loose = bindings.join(s, ["fn", "scope"], "left_anti").select("fn", "id", F.lit("binding_without_scope").alias("problem"))
-    parent = scopes.where("parent IS NOT NULL").join(s.withColumnRenamed("scope", "parent"), ["fn", "parent"], "left_anti").select("fn", "id", F.lit("scope_without_parent").alias("problem"))
-    refs = references.join(b, ["fn", "binding"], "left_anti").select("fn", "id", F.lit("unknown_binding").alias("problem"))
+    loose = bindings.join(shuffled(s), ["fn", "scope"], "left_anti").select("fn", "id", F.lit("binding_without_scope").alias("problem"))
+    parent = scopes.where("parent IS NOT NULL").join(shuffled(s.withColumnRenamed("scope", "parent")), ["fn", "parent"], "left_anti").select("fn", "id", F.lit("scope_without_parent").alias("problem"))
+    refs = references.join(shuffled(b), ["fn", "binding"], "left_anti").select("fn", "id", F.lit("unknown_binding").alias("problem"))
     return twice(scopes, "scope").unionByName(twice(bindings, "binding")).unionByName(loose).unionByName(parent).unionByName(refs)
 
 
@@ -130,6 +177,6 @@ def invalid_cover(bindings: DataFrame, symbols: DataFrame, budget: int) -> DataF
     per = bindings.groupBy("fn").agg(F.count("*").alias("n"))
     row = lambda df, what: df.select("fn", F.lit(None).cast("long").alias("id"), F.lit(what).alias("problem"))
     known = symbols.select("fn").distinct()
-    loose = per.join(known, "fn", "left_anti")
-    bare = known.join(per, "fn", "left_anti")
+    loose = per.join(shuffled(known), "fn", "left_anti")
+    bare = known.join(shuffled(per), "fn", "left_anti")
     return row(per.where(F.col("n") > budget), "binding_budget").unionByName(row(loose, "flow_of_no_symbol")).unionByName(row(bare, "symbol_without_flow"))

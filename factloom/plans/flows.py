@@ -23,21 +23,24 @@ REACH = f"""WITH RECURSIVE {PROGRAM}, r AS (SELECT d.fn, b.succ AS block, d.var,
  UNION SELECT r.fn, b.succ, r.var, r.def FROM r JOIN bl b ON b.fn=r.fn AND b.block=r.block LEFT JOIN de k ON k.fn=r.fn AND k.block=r.block AND k.var=r.var WHERE k.def IS NULL)"""
 
 
-def program(spark, d):
-    """(blocks, defs, uses) of all orders: a use at the start of each block, a definition at the end of some."""
+def of_programs(spark, d, solve):
+    """``solve`` (blocks, defs, uses, rounds) over all orders: a use at the start of each block, a definition at the end of some."""
     rows = table(spark, d, "lineitem")
     w = Window.partitionBy("l_orderkey")
-    ln = checkpointed(
-        rows.select(
-            F.col("l_orderkey").alias("fn"),
-            F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("block"),
-            F.count("*").over(w).alias("n"),
-            F.col("l_quantity").cast("int").cast("string").alias("qty"),
-        )
+    ln = rows.select(
+        F.col("l_orderkey").alias("fn"),
+        F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("block"),
+        F.count("*").over(w).alias("n"),
+        F.col("l_quantity").cast("int").cast("string").alias("qty"),
     )
+    return dataflow.by_function(ln, rows.count(), lambda part, rounds: solve(*program(part), rounds))
+
+
+def program(ln):
     b = F.col("block")
-    edge = lambda cond, to: ln.where(cond).select("fn", "block", to.cast("long").alias("succ"))
-    blocks = edge(b < F.col("n"), b + 1).unionByName(edge((b % 3 == 0) & (b + 2 <= F.col("n")), b + 2)).unionByName(edge((b == F.col("n")) & (F.col("fn") % 20 == 0), F.lit(1))).distinct()
+    edge = lambda cond, to: F.when(cond, to.cast("long"))
+    to = F.array(edge(b < F.col("n"), b + 1), edge((b % 3 == 0) & (b + 2 <= F.col("n")), b + 2), edge((b == F.col("n")) & (F.col("fn") % 20 == 0), F.lit(1)))
+    blocks = ln.select("fn", "block", F.explode(F.array_distinct(F.array_compact(to))).alias("succ"))
     defs = ln.where((b % 2 == 0) | (b == 1)).select("fn", "block", F.lit(1).alias("idx"), (b % 3).alias("var"), b.alias("def"), F.when(b % 4 != 0, F.col("qty")).alias("value"), F.when(b % 4 == 0, b).alias("origin"))
     uses = ln.select("fn", "block", F.lit(0).alias("idx"), ((b + 1) % 3).alias("var"), b.alias("use"))
     return blocks, defs, uses
@@ -45,13 +48,12 @@ def program(spark, d):
 
 @query("f4_reaching_definitions", REACH + " SELECT fn, block, var, def FROM r", also="f4_reaching_definitions_whole")
 def f4(spark, d):
-    blocks, defs, _ = program(spark, d)
-    return dataflow.reaching(blocks, defs)
+    return of_programs(spark, d, lambda blocks, defs, _, rounds: dataflow.reaching(blocks, defs, rounds))
 
 
 @query("f16_def_use", REACH + " SELECT u.fn, u.var, r.def, u.use FROM us u JOIN r ON r.fn=u.fn AND r.block=u.block AND r.var=u.var", also="f16_def_use_whole")
 def f16(spark, d):
-    return dataflow.def_use(*program(spark, d))
+    return of_programs(spark, d, dataflow.def_use)
 
 
 @query(
@@ -64,20 +66,22 @@ def f16(spark, d):
     also="f7_use_values_whole",
 )
 def f7(spark, d):
-    return dataflow.values(*program(spark, d))
+    return of_programs(spark, d, dataflow.values)
 
 
 @query("f11_live_blocks", f"WITH RECURSIVE {PROGRAM}, e AS (SELECT * FROM bl WHERE NOT (block%3=0 AND succ=block+1)), r AS (SELECT DISTINCT fn, CAST(1 AS BIGINT) AS block FROM ln UNION SELECT r.fn, e.succ FROM r JOIN e ON e.fn=r.fn AND e.block=r.block) SELECT fn, block FROM r", also="f11_live_blocks_whole")
 def f11(spark, d):
-    blocks, _, uses = program(spark, d)
-    entries = uses.select("fn").distinct().withColumn("block", F.lit(1).cast("long"))
-    return dataflow.live_blocks(blocks, entries, blocks.where("block % 3 = 0 AND succ = block + 1"))
+    def solve(blocks, _, uses, rounds):
+        entries = uses.select("fn").distinct().withColumn("block", F.lit(1).cast("long"))
+        return dataflow.live_blocks(blocks, entries, blocks.where("block % 3 = 0 AND succ = block + 1"), rounds)
+
+    return of_programs(spark, d, solve)
 
 
 @query("g12_loop_blocks", f"WITH {PROGRAM} SELECT CAST(fn AS VARCHAR) AS fn, block FROM ln WHERE fn%20=0", also="g12_loop_blocks_whole")
 def g12(spark, d):
-    blocks, _, _ = program(spark, d)
-    return dataflow.loop_blocks(blocks.withColumn("fn", F.col("fn").cast("string")))
+    found = of_programs(spark, d, lambda blocks, _, __, rounds: dataflow.loop_blocks(blocks, rounds))
+    return found.select(F.col("fn").cast("string"), "block")
 
 
 N = using("nations", recursive=True)

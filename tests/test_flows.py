@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.operators import dataflow, ignore
 from factloom.sources import language_facts, stores
 from factloom.streaming import jobs
@@ -46,6 +47,58 @@ def test_branches_and_loops(spark):
     assert dataflow.loop_blocks(blocks.where("succ > block")).isEmpty()
 
 
+def unshuffled(spark, monkeypatch):
+    """The plans of tables that are dealt again from dealt ones."""
+    plans = []
+
+    def dealt(df, n, *keys):
+        with session._met_in_place(spark):
+            plans.append(df.repartition(n, *keys)._jdf.queryExecution().executedPlan().toString())
+        return session.dealt(df, n, *keys)
+
+    monkeypatch.setattr(dataflow, "dealt", dealt)
+    return plans
+
+
+def lines(spark):
+    """Chains of 1 to 9 blocks, each third one a loop; odd blocks define what the next reads."""
+    rows = [(f, b, n) for f in range(40) for n in [f % 9 + 1] for b in range(1, n + 1)]
+    ln = spark.createDataFrame(rows, "fn long, block long, n long")
+    solve = lambda ln: (
+        ln.select("fn", "block", F.when(F.col("block") < F.col("n"), F.col("block") + 1).when(F.col("fn") % 3 == 0, 1).cast("long").alias("succ")),
+        ln.where("block % 2 = 1").select("fn", "block", F.lit(1).alias("idx"), (F.col("block") % 3).alias("var"), F.col("block").alias("def"), F.when(F.col("block") % 5 > 0, F.col("block").cast("string")).alias("value"), F.when(F.col("block") % 5 == 0, F.col("block")).alias("origin")),
+        ln.select("fn", "block", F.lit(0).alias("idx"), (F.col("block") % 3).alias("var"), F.col("block").alias("use")),
+    )
+    return ln, len(rows), solve
+
+
+@pytest.mark.parametrize("what", [dataflow.values, lambda b, d, u, *r: dataflow.loop_blocks(b, *r)])
+def test_dealt_functions_and_spread_ones_agree(spark, what):
+    ln, n, solve = lines(spark)
+    want = sorted(tuple(r) for r in what(*solve(ln)).collect())
+    got = dataflow.by_function(ln, n, lambda part, rounds: what(*solve(part), rounds), small=5)
+    assert want and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_rounds_of_dealt_functions_shuffle_nothing(spark, monkeypatch):
+    ln, n, solve = lines(spark)
+    plans = unshuffled(spark, monkeypatch)
+    monkeypatch.setattr(dataflow, "buckets", lambda *_: 3)
+    dataflow.by_function(ln, n, lambda part, rounds: dataflow.values(*solve(part), rounds))
+    shuffles = [p.count("Exchange ") for p in plans]
+    # the first deals the rows; copies' readers and uses without a definition come as a union
+    assert shuffles[0] == 1 and len(shuffles) > 12 and sum(shuffles[1:]) <= 2
+
+
+def test_validation_of_dealt_flows_shuffles_nothing(spark):
+    ln = session.dealt(lines(spark)[0].select("fn", F.col("block").alias("id")), 3, "fn")
+    one = ln.select("fn", "id", F.col("id").alias("scope")), ln.select("fn", "id", (F.col("id") - 1).alias("parent")), ln.select("fn", "id", (F.col("id") + 1).alias("binding"))
+    with session._met_in_place(spark):
+        bad = dataflow.invalid_flow(*one)
+        assert "Exchange" not in bad._jdf.queryExecution().executedPlan().toString()
+        assert {(r.fn, r.id) for r in bad.where("problem = 'scope_without_parent'").collect()} == {(f, 1) for f in range(40)}
+
+
 def test_effects_and_returns(spark):
     own = spark.createDataFrame([("c", "writes")], "fn string, effect string")
     calls = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", None)], "fn string, callee string")
