@@ -9,7 +9,7 @@ from factloom.operators import catalog, dataflow, patch, queue, search
 from factloom.plans import inputs
 from factloom.plans.registry import query
 from factloom.plans.sql import using
-from factloom.session import checkpointed
+from factloom.session import buckets, checkpointed, dealt, in_place
 from factloom.sources import projections
 from factloom.sources.tables import table
 
@@ -104,13 +104,14 @@ def x17(spark, d):
 )
 def v10(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    ln = checkpointed(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), F.row_number().over(w).cast("long").alias("id")))
+    rows = table(spark, d, "lineitem")
+    ln = dealt(rows.select(F.col("l_orderkey").alias("fn"), F.row_number().over(w).cast("long").alias("id")), buckets(spark, rows.count()), "fn")
     scopes = ln.select("fn", "id", F.when(F.col("id") > 1, F.when((F.col("fn") % 13 == 0) & (F.col("id") == 2), F.lit(1000)).otherwise(F.col("id") - 1)).alias("parent"))
-    bindings = ln.select("fn", "id", (F.col("id") + F.when(F.col("fn") % 11 == 0, 50).otherwise(0)).alias("scope"))
-    bindings = bindings.unionByName(bindings.where("fn % 17 = 0"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("fn") % 17 == 0, 2).otherwise(1)))
+    bindings = ln.select("fn", "id", (F.col("id") + F.when(F.col("fn") % 11 == 0, 50).otherwise(0)).alias("scope"), times.alias("time")).drop("time")
     references = ln.select("fn", "id", F.when((F.col("fn") % 7 == 0) & (F.col("id") % 5 == 0), F.lit(1000)).otherwise(F.col("id")).alias("binding"))
     symbols = ln.where("fn % 19 <> 0").select("fn").distinct().unionByName(ln.where("fn % 23 = 0").select((-F.col("fn") - 1).alias("fn")).distinct())
-    return dataflow.invalid_flow(bindings, scopes, references).unionByName(dataflow.invalid_cover(bindings, symbols, 6))
+    return in_place(dataflow.invalid_flow(bindings, scopes, references).unionByName(dataflow.invalid_cover(bindings, symbols, 6)))
 
 
 @query(
