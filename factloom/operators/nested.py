@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import stored
+from factloom.session import buckets, shuffled, stored
 
 #: Kinds of encoded values that carry their value with them.
 CARRIED = ("number", "string", "boolean", "bigint")
+#: Rows of one text that are looked up in one place.
+MOST = 20_000
 
 
 def opened(rows: DataFrame, inner: str) -> DataFrame:
@@ -52,8 +54,8 @@ def untagged(rows: DataFrame, encoded: str, name: str) -> DataFrame:
 
     Every different text is opened once: containers alone go on to the next round, which holds their members, and are put together from the deepest up.
     """
-    texts = rows.select(F.col(encoded).alias("text")).where("text IS NOT NULL").distinct()
-    top = texts.select(F.sha2("text", 256).alias("id"), F.array().cast("array<int>").alias("at"), F.lit(None).cast("string").alias("key"), F.try_parse_json("text").alias("v"))
+    counts = stored(rows.select(F.col(encoded).alias("text")).where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("n")).withColumn("id", F.sha2("text", 256)))
+    top = counts.select("id", F.array().cast("array<int>").alias("at"), F.lit(None).cast("string").alias("key"), F.try_parse_json("text").alias("v"))
     levels = [stored(_read(top.where("v IS NOT NULL")))]
     while not levels[-1].where("inner IS NOT NULL").isEmpty():
         levels.append(stored(_read(opened(levels[-1].where("inner IS NOT NULL"), "inner"))))
@@ -65,7 +67,18 @@ def untagged(rows: DataFrame, encoded: str, name: str) -> DataFrame:
         whole = F.concat(F.substring("said", 1, 1), F.coalesce("members", F.lit("")), F.substring("said", 2, 1))
         containers = level.where("inner IS NOT NULL").join(inner, ["id", "at"], "left").select("id", "at", "key", whole.alias("said"))
         done = stored(level.where("inner IS NULL").select("id", "at", "key", "said").unionByName(containers))
-    return rows.withColumn("_id", F.sha2(F.col(encoded), 256)).join(done.select(F.col("id").alias("_id"), F.col("said").alias(name)), "_id", "left").drop("_id")
+    return _told(rows.withColumn("_id", F.sha2(F.col(encoded), 256)), done.select(F.col("id").alias("_id"), F.col("said").alias(name)), counts.select(F.col("id").alias("_id"), "n"))
+
+
+def _told(rows: DataFrame, said: DataFrame, counts: DataFrame, most: int = MOST) -> DataFrame:
+    """``rows`` (_id, ...) with what ``said`` (_id, ...) says of theirs, about ``most`` rows of one id in a place. ``counts``: _id, n, the rows of each. Ids of more rows alone
+    are broadcast, of which there are no more than rows by ``most``; rows without an id go anywhere."""
+    often = counts.where(F.col("n") > most).select("_id", F.ceil(F.col("n") / most).cast("int").alias("_places"))
+    n = buckets(rows.sparkSession, rows.count())
+    places = F.when(F.col("_id").isNull(), n).otherwise(F.coalesce("_places", F.lit(1)))
+    far = rows.join(F.broadcast(often), "_id", "left").withColumn("_place", F.floor(F.rand(7) * places).cast("int")).drop("_places")
+    each = said.join(F.broadcast(often), "_id", "left").withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("_places")
+    return far.repartition(n, "_id", "_place").join(shuffled(each), ["_id", "_place"], "left").drop("_id", "_place")
 
 
 def _read(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from factloom.operators import nested
 
 
@@ -70,3 +72,14 @@ def test_untagged_at_any_depth(spark):
     assert all(kept == "kept" for _, kept in got.values())
     assert [json.loads(got[i][0]) for i in range(len(cases))] == [w for _, w in cases]
     assert [got[len(cases) + i][0] for i in range(5)] == [got[i][0] for i in range(5)]
+
+
+def test_rows_of_one_text_are_looked_up_in_many_places(spark, monkeypatch):
+    monkeypatch.setattr(nested, "buckets", lambda *_: 8)
+    ids = ["often"] * 4000 + ["other", "none", None] * 20
+    rows = spark.createDataFrame(list(enumerate(ids)), "k long, _id string")
+    said = spark.createDataFrame([("often", "x"), ("other", "y")], "_id string, value string")
+    got = nested._told(rows, said, rows.where("_id IS NOT NULL").groupBy("_id").count().withColumnRenamed("count", "n"), most=100)
+    assert {r.k: r.value for r in got.collect()} == {k: {"often": "x", "other": "y"}.get(i) for k, i in enumerate(ids)}
+    places = got.where("value = 'x'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(places) > 4 and max(r["count"] for r in places) < 2000
