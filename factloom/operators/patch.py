@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from factloom.operators.versions import node_diff
 
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 LINES = "patch string, path string, op string, hunk int, seq int, old_start int, kind string, line string, problem string"
+#: Lines, and characters of them, that are handed on together.
+AT_ONCE, CHARS = 8192, 1 << 20
 
 
 def hunk_lines(text: str) -> Iterator[tuple]:
@@ -79,14 +81,26 @@ def hunk_lines(text: str) -> Iterator[tuple]:
 
 
 def parse(diffs: DataFrame) -> DataFrame:
-    """Lines of every diff (patch, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in LINES.split(", ")]
-        for pdf in batches:
-            yield pd.DataFrame([(p, *row) for p, t in zip(pdf["patch"], pdf["text"], strict=True) for row in hunk_lines(t or "")], columns=cols)
-
-    return diffs.select("patch", "text").mapInPandas(run, LINES)
+    """Lines of every diff (patch, text). A task holds the lines of one diff, and at most ``AT_ONCE`` lines or ``CHARS`` characters that are not handed on."""
+    return diffs.select("patch", "text").mapInArrow(_parsed, LINES)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(c.split() for c in LINES.split(", ")), strict=True)
+    schema = pa.schema([(n, pa.int32() if k == "int" else pa.string()) for n, k in zip(names, kinds, strict=True)])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    rows, held = [], 0
+    for batch in batches:
+        for patch, text in zip(batch.column(0), batch.column(1), strict=True):
+            name = patch.as_py()
+            for row in hunk_lines(text.as_py() or ""):
+                rows.append((name, *row))
+                held += len(row[6])
+                if len(rows) == AT_ONCE or held >= CHARS:
+                    yield made(rows)
+                    rows, held = [], 0
+    if rows:
+        yield made(rows)
 
 
 def report(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import pyarrow as pa
+
 from factloom import plans
 from factloom.operators import documents, geometry, patch
 
@@ -80,3 +82,15 @@ def test_rays_against_all_boxes(spark):
 def test_diff_that_says_no_newline(spark):
     diff = "--- a/p\n+++ b/p\n@@ -1,1 +1,1 @@\n-a\n\\ No newline at end of file\n+b\n\\ No newline at end of file\n"
     assert [(x[5], x[6], x[7]) for x in patch.hunk_lines(diff)] == [("-", "a", None), ("+", "b", None)]
+
+
+def test_lines_of_diffs_are_handed_on_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(patch, "AT_ONCE", 50)
+    monkeypatch.setattr(patch, "CHARS", 300)
+    body = "".join(f"+line {i}\n" for i in range(400)) + f"+{'w' * 1000}\n"
+    batch = pa.RecordBatch.from_pydict({"patch": ["a", "none", "b"], "text": [f"--- /dev/null\n+++ b/p\n@@ -0,0 +1,401 @@\n{body}", None, "rename from x\n"]})
+    parts = list(patch._parsed(iter([batch])))
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert rows == [("a", *r) for r in patch.hunk_lines(batch["text"][0].as_py())] + [("b", *r) for r in patch.hunk_lines("rename from x\n")]
+    assert len(parts) > 8 and all(p.num_rows <= 50 for p in parts)
+    assert list(patch._parsed(iter([]))) == []
