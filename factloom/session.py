@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,24 +85,32 @@ def buckets(spark: SparkSession, rows: int) -> int:
 
 
 @contextmanager
-def _met_in_place(spark: SparkSession) -> Iterator[None]:
-    """Plans made meanwhile join tables that are dealt by some of the join's keys where they lie."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
+def _held(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     was = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, was)
 
 
-def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """``df`` as a table of ``n`` buckets by ``keys`` in the folder of spark.checkpoint.dir, so that what is derived from tables dealt alike, by these keys and others, is
+def _met_in_place(spark: SparkSession) -> AbstractContextManager[None]:
+    """Plans made meanwhile join tables that are dealt by some of the join's keys where they lie."""
+    return _held(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def grouped_in_memory(spark: SparkSession) -> AbstractContextManager[None]:
+    """Lists of groups that are collected meanwhile are kept by key, not sorted first: for buckets of at most ``ROWS`` short rows."""
+    return _held(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(ROWS))
+
+
+def dealt(df: DataFrame, n: int, *keys: str, there: bool = False) -> DataFrame:
+    """``df`` (``there``: whose rows already lie as ``repartition(n, *keys)`` puts them) as a table of ``n`` buckets by ``keys`` in the folder of spark.checkpoint.dir, so that what is derived from tables dealt alike, by these keys and others, is
     dealt again without a shuffle. Its name leaves the catalog at once; the rows stay, as those of ``stored`` do."""
     spark = df.sparkSession
     name = f"dealt_{uuid.uuid4().hex}"
     with _met_in_place(spark):
-        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", new_place(spark, "dealt")).saveAsTable(name)
+        (df if there else df.repartition(n, *keys)).write.format("parquet").bucketBy(n, *keys).option("path", new_place(spark, "dealt")).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out

@@ -35,6 +35,34 @@ def test_a_node_of_many_edges_is_cut(spark):
     assert (set(r.nodes), set(r.edges), r.unresolved, set(r.frontier), r.truncated) == fifo(rows, "r", 40, 120)
 
 
+def test_frequent_and_large_nodes(spark, monkeypatch):
+    monkeypatch.setattr(contexts, "FREQUENT", 3)
+    monkeypatch.setattr(contexts, "LARGE", 4)
+    rows = [(f"e{i:02}", f"n{i % 9}", "hub" if i % 3 else None) for i in range(27)] + [(f"h{i:02}", "hub", f"n{i}") for i in range(11)]
+    roots = [f"n{j}" for j in range(11)] + ["hub"]
+    for max_nodes, max_edges in ((5, 9), (40, 120)):
+        got = contexts.reach_of_all(edges(spark, rows), spark.createDataFrame([(r,) for r in roots], "root string"), max_nodes, max_edges).collect()
+        assert sorted(r.root for r in got) == sorted(roots)
+        for r in got:
+            assert (set(r.nodes), set(r.edges), r.unresolved, set(r.frontier), r.truncated) == fifo(rows, r.root, max_nodes, max_edges)
+
+
+def test_a_round_moves_what_it_looks_up_alone(spark, monkeypatch):
+    rounds, dealt = [], contexts.dealt
+
+    def seen(df, n, *keys, there=False):
+        if there and keys == ("root",):
+            rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return dealt(df, n, *keys, there=there)
+
+    monkeypatch.setattr(contexts, "dealt", seen)
+    monkeypatch.setattr(contexts, "buckets", lambda *_: 3)
+    rows = [(f"e{i}", f"n{i}", f"n{i + 1}") for i in range(3)]
+    contexts.reach_of_all(edges(spark, rows), spark.createDataFrame([("n0",)], "root string"), 40, 120)
+    # the nodes go to their edges and these back to the searches, which stay
+    assert len(rounds) == 4 and all(p.count("Exchange hashpartitioning") == 2 for p in rounds)
+
+
 def test_context_ids(spark):
     files = spark.createDataFrame([("f", "alpha\nbeta")], "path string, text string")
     spans = spark.createDataFrame([("a", "f", 0, 5), ("b", "f", 6, 10)], "id string, path string, lo long, hi long")
