@@ -129,7 +129,7 @@ def _level(live: DataFrame, near: DataFrame, n: int, max_nodes: int, max_edges:
 def frozen(analysis: str, spans: DataFrame, files: DataFrame, edges: DataFrame, limitations: str) -> DataFrame:
     """(selection, id, window, window_cut, nodes, edges, unresolved, frontier, truncated): the context of each of ``spans`` (id, path, lo, hi), its source and
     what it reaches, under an id that is the digest of it all. Lists are in order, so that equal contexts have equal ids."""
-    source = documents.source_windows(spans, files, SOURCE).select("id", "window", F.col("truncated").alias("window_cut"))
+    source = documents.windows(spans, files, SOURCE).select("id", "window", F.col("truncated").alias("window_cut"))
     reach = reach_of_all(stored(edges.select("id", "source", "target")), spans.select(F.col("id").alias("root")), NODES, EDGES)
     lists = ("nodes", "edges", "unresolved", "frontier")
     rows = source.join(reach.withColumnRenamed("root", "id"), "id").withColumns({c: F.array_sort(c) for c in lists})

@@ -42,7 +42,13 @@ def line_numbers(positions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def source_windows(spans: DataFrame, files: DataFrame, size: int) -> DataFrame:
-    """``spans`` (id, path, lo, hi) with w_start, w_end, start_line, truncated, window: at most ``size`` bytes from lo on, the end moved back to a
+    """``windows`` with start_line."""
+    at = line_numbers(spans.select("id", "path", F.col("lo").alias("at")), files).select("id", F.col("line_no").alias("start_line"))
+    return windows(spans, files, size).join(at, "id")
+
+
+def windows(spans: DataFrame, files: DataFrame, size: int) -> DataFrame:
+    """``spans`` (id, path, lo, hi) with w_start, w_end, truncated, window: at most ``size`` bytes from lo on, the end moved back to a
     character border. A file's text meets all of its spans once."""
     size = min(size, WINDOW_LIMIT)
     per = spans.groupBy("path").agg(F.collect_list(F.struct("id", "lo", "hi")).alias("spans"))
@@ -55,9 +61,7 @@ def source_windows(spans: DataFrame, files: DataFrame, size: int) -> DataFrame:
         end = F.when(want == s.hi, want).otherwise(F.coalesce(*[F.when(~inner(want - k), want - k) for k in range(4)], want))
         return F.struct(s.id.alias("id"), s.lo.alias("w_start"), end.alias("w_end"), (end < s.hi).alias("truncated"), F.decode(F.substring("raw", (s.lo + 1).cast("int"), (end - s.lo).cast("int")), "UTF-8").alias("window"))
 
-    cut = raw.select("path", F.explode(F.transform("spans", window)).alias("w")).select("path", "w.*")
-    at = line_numbers(spans.select("id", "path", F.col("lo").alias("at")), files).select("id", F.col("line_no").alias("start_line"))
-    return cut.join(at, "id")
+    return raw.select("path", F.explode(F.transform("spans", window)).alias("w")).select("path", "w.*")
 
 
 def frame_offsets(frames: DataFrame, files: DataFrame, root: str) -> DataFrame:

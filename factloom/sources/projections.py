@@ -35,11 +35,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbols(cat: DataFrame) -> DataFrame:
     """A symbol per non-empty line, with byte offsets; name = first word and length of the line."""
     rows = cat.select("doc_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long"))
-    rows = rows.where("line <> ''").withColumn("end", F.col("start") + F.octet_length("line"))
+    # before the lines are dealt by document: who needs no text moves none
     name = F.concat_ws("_", F.substring_index("line", " ", 1), F.length("line").cast("string"))
-    return rows.select("doc_id", "path", F.col("i").cast("long").alias("i"), "start", "end", name.alias("name"), "line").withColumn(
+    rows = rows.withColumns({"size": F.octet_length("line"), "name": name})
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0)).cast("long"))
+    rows = rows.where("size > 0").withColumn("end", F.col("start") + F.col("size"))
+    return rows.select("doc_id", "path", F.col("i").cast("long").alias("i"), "start", "end", "name", "line").withColumn(
         "id", symbol_id("path", "start", "end")
     )
 

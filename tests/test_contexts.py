@@ -1,11 +1,13 @@
 """Searches from many roots against a queue, root by root; ids of contexts."""
 
 import random
+import re
 
 import pytest
 from test_operators import edges, fifo
 
 from factloom.operators import contexts
+from factloom.sources import projections
 
 
 @pytest.mark.parametrize("seed,max_nodes,max_edges", [(1, 4, 5), (2, 8, 14), (3, 1, 1), (4, 5, 9), (5, 40, 120), (6, 3, 7)])
@@ -63,6 +65,15 @@ def test_a_round_moves_what_it_looks_up_alone(spark, monkeypatch):
     assert len(rounds) == 4 and all(p.count("Exchange hashpartitioning") == 2 for p in rounds)
 
 
+def test_lines_are_dealt_without_their_text(spark):
+    files = spark.createDataFrame([(1, "a/b/doc_1.txt", "alpha x\n\nbeta")], "doc_id long, path string, text string")
+    rows = projections.symbols(files)
+    assert [(r.i, r.start, r.end, r.name, r.line) for r in rows.orderBy("i").collect()] == [(0, 0, 7, "alpha_7", "alpha x"), (2, 9, 13, "beta_4", "beta")]
+    plan = rows.select("id", "path", "start", "end", "name")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [") :].split("\n")[1]
+    assert "name#" in below and not re.search(r"[\[ ]line#\d+[,\]]", below)
+
+
 def test_context_ids(spark):
     files = spark.createDataFrame([("f", "alpha\nbeta")], "path string, text string")
     spans = spark.createDataFrame([("a", "f", 0, 5), ("b", "f", 6, 10)], "id string, path string, lo long, hi long")
