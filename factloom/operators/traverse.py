@@ -98,8 +98,10 @@ def strong_components(edges: DataFrame, singletons: bool = True, rest: int = RES
 
     Trim, then forward-backward colouring: nodes without an edge in or out of what is left are components of their own; then the
     least label that reaches a node colours it, and what reaches the colour's root backwards inside the colour is one component.
+    Rounds are stored tables, whose size is that of their files: a checkpoint keeps the estimate of its plan, and as a round joins the labels with themselves,
+    such an estimate has twice as many digits after each.
     """
-    live = checkpointed(edges.where("b IS NOT NULL").select("a", "b").distinct())
+    live = stored(edges.where("b IS NOT NULL").select("a", "b").distinct())
     every = live.select(F.col("a").alias("id")).unionByName(live.select(F.col("b").alias("id"))).distinct()
     loops = live.where("a = b").select(F.col("a").alias("id"))
     done = None
@@ -107,28 +109,28 @@ def strong_components(edges: DataFrame, singletons: bool = True, rest: int = RES
     while True:
         for _ in range(TRIMS):  # any number is right: what is not trimmed is coloured alone
             live = live.join(shuffled(live.select(F.col("b").alias("a")).distinct()), "a", "left_semi").join(shuffled(live.select(F.col("a").alias("b")).distinct()), "b", "left_semi")
-        live = checkpointed(live.select("a", "b"))
+        live = stored(live.select("a", "b"))
         left = live.count()
         if left <= rest:
             if left:
                 found = _small_components(live)
                 done = found if done is None else done.unionByName(found)
             break
-        colour = checkpointed(live.select(F.col("a").alias("id")).unionByName(live.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")))
+        colour = stored(live.select(F.col("a").alias("id")).unionByName(live.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")))
         while True:  # the least label spreads forward, HOPS edges a job
             new = colour
             for _ in range(HOPS):
                 told = live.join(shuffled(new), live.a == new.id).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("in_c"))
                 new = new.join(shuffled(told), "id", "left").select("id", F.least("c", "in_c").alias("c"))
-            new = checkpointed(new.join(shuffled(colour.withColumnRenamed("c", "was")), "id"))
+            new = stored(new.join(shuffled(colour.withColumnRenamed("c", "was")), "id"))
             still = new.where("c <> was").isEmpty()
             colour = new.select("id", "c")
             if still:
                 break
         inner = live.join(shuffled(colour.select(F.col("id").alias("a"), F.col("c").alias("ca"))), "a").join(shuffled(colour.select(F.col("id").alias("b"), F.col("c").alias("cb"))), "b")
-        inner = checkpointed(inner.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        inner = stored(inner.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
         back = reachable(inner, colour.where("id = c").select("id")).select("id")
-        found = checkpointed(back.join(shuffled(colour), "id").select("id", F.col("c").alias("comp")))
+        found = stored(back.join(shuffled(colour), "id").select("id", F.col("c").alias("comp")))
         done = found if done is None else done.unionByName(found)
         live = live.join(shuffled(found.select(F.col("id").alias("a"))), "a", "left_anti").join(shuffled(found.select(F.col("id").alias("b"))), "b", "left_anti")
     if done is None:

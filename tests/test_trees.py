@@ -95,3 +95,13 @@ def test_rounds_broadcast_no_table(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_rounds_of_colours_keep_no_growing_estimate(spark):
+    """The driver holds the estimated size of each round's rows as a whole number; were it that of the round's plan, its digits would double every round."""
+    from factloom.operators import traverse
+
+    ring = spark.range(24).selectExpr("id AS a", "(id + 1) % 24 AS b")
+    comps = traverse.strong_components(ring, rest=0)
+    assert comps._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+    assert [tuple(r) for r in comps.sort("id").collect()] == [(i, 0) for i in range(24)]
