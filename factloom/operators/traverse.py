@@ -6,17 +6,20 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.ranks import numbered
-from factloom.session import checkpointed, shuffled, stored
+from factloom.session import ROWS, checkpointed, dealt, shuffled, stored
 
 #: Rounds that are planned together as one job: fewer jobs against longer plans.
-TRIMS, HOPS, DOUBLINGS = 3, 3, 3
+TRIMS, DOUBLINGS = 3, 3
 #: What is left after a trim is finished in one task when it has at most so many edges; larger remainders go on in rounds.
 REST = 200_000
+#: Ends of edges in a lot of neighbouring nodes, and how often lots are joined at most.
+LOT, JOINS = ROWS, 24
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, levels: int | None = None) -> DataFrame:
@@ -93,18 +96,106 @@ def _small_components(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInPandas(run, f"id {kind}, comp {kind}")
 
 
-def strong_components(edges: DataFrame, singletons: bool = True, rest: int = REST) -> DataFrame:
+def lots(edges: DataFrame, n: int, lot: int = LOT) -> DataFrame:
+    """(id, lot): the nodes of ``n`` ``edges`` (a, b) in lots that one task each can hold. Neighbours are joined in rounds, by a coin that each tosses, to
+    blocks of at most ``lot`` ends of edges; lots are blocks dealt by number. Any lots are right, and near ones save rounds; a node of more edges is a block of its own."""
+    tasks = -(-2 * n // lot)
+    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to")))
+    if tasks <= 1:
+        return stored(ends.select("id").distinct().withColumn("lot", F.lit(0)))
+    of = stored(ends.groupBy("id").agg(F.count("*").alias("n")).withColumn("x", F.xxhash64("id")))
+    size = stored(of.groupBy("x").agg(F.sum("n").alias("n")))
+    links = stored(ends.select(F.xxhash64("id").alias("x"), F.xxhash64("to").alias("y")).where("x <> y").groupBy("x", "y").agg(F.count("*").alias("w")))
+    moves = []
+    for k in range(JOINS):
+        coin = lambda c: F.xxhash64(c, F.lit(k)).bitwiseAND(F.lit(1))
+        to = links.where((coin("x") == 0) & (coin("y") == 1)).groupBy("x").agg(F.max_by("y", F.struct("w", "y")).alias("y"))
+        to = to.join(shuffled(size), "x").join(shuffled(size.select(F.col("x").alias("y"), F.col("n").alias("has"))), "y")
+        # a block takes in its least neighbours first, as long as there is room
+        to = to.withColumn("all", F.col("has") + F.sum("n").over(Window.partitionBy("y").orderBy("n", "x"))).where(F.col("all") <= lot)
+        moved = stored(to.select("x", "y"))
+        if moved.isEmpty() and k > 2:  # not for want of luck
+            break
+        moves.append(moved)
+        at = lambda rows, c: rows.join(shuffled(moved.select(F.col("x").alias(c), F.col("y").alias("_y"))), c, "left").withColumn(c, F.coalesce("_y", c)).drop("_y")  # noqa: E731, B023
+        links = stored(at(at(links, "x"), "y").where("x <> y").groupBy("x", "y").agg(F.sum("w").alias("w")))
+        size = stored(at(size, "x").groupBy("x").agg(F.sum("n").alias("n")))
+        of = at(of, "x")
+        if len(moves) % 4 == 0:
+            of = stored(of)
+    return stored(of.select("id", F.pmod(F.xxhash64("x"), F.lit(2 * tasks)).cast("int").alias("lot")))
+
+
+def spread(edges: DataFrame, labels: DataFrame, of: DataFrame) -> DataFrame:
+    """(id, lot, c): the least label that reaches each node along ``edges`` (a, b), its own too. ``labels``: id, lot, c, null where a node has none; ``of``: ``lots``.
+
+    A task spreads the labels of a lot as far as they go in it, and hands on those that go to other lots; rounds end when none does.
+    """
+    kind = dict(labels.dtypes)["id"]
+    there = edges.join(shuffled(of.withColumnRenamed("id", "a")), "a").join(shuffled(of.select(F.col("id").alias("b"), F.col("lot").alias("to"))), "b").select("lot", "a", "b", "to")
+    count = of.agg(F.countDistinct("lot")).first()[0]
+    there = dealt(there, max(count, 1), "lot")
+
+    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        told = s[s["kind"] != 0]
+        s = s[s["kind"] == 0]
+        lot = s["lot"].iloc[0]
+        index = pd.Index(s["id"])
+        named = np.sort(pd.unique(pd.concat([s["c"], told["c"]]).dropna()))  # labels as numbers in their order
+        none = len(named)
+        rank = lambda c: np.where(c.isna(), none, np.searchsorted(named, c.fillna(named[0]))) if none else np.zeros(len(c), dtype="int64")
+        c = rank(s["c"]).astype("int64")
+        first = bool(s["first"].iloc[0])
+        was = np.full(len(c), none, dtype="int64") if first else c.copy()
+        np.minimum.at(c, index.get_indexer(told["id"]), rank(told["c"]).astype("int64"))
+        inside = (e["to"] == lot).to_numpy()
+        a, b = index.get_indexer(e["a"]), index.get_indexer(e["b"])  # -1 for nodes of other lots
+        x, y = a[inside], b[inside]
+        order = np.argsort(x, kind="stable")
+        begin, y = np.searchsorted(x[order], np.arange(len(c) + 1)).tolist(), y[order].tolist()
+        start = np.flatnonzero(c < was)
+        start = start[np.argsort(c[start], kind="stable")].tolist()
+        now = c.tolist()
+        for node in start:  # least labels first: each node is passed once
+            label, todo = now[node], [node]
+            while todo:
+                at = todo.pop()
+                for n in y[begin[at] : begin[at + 1]]:
+                    if now[n] > label:
+                        now[n] = label
+                        todo.append(n)
+        c = np.array(now, dtype="int64")
+        known = lambda k: pd.Series([named[i] if i < none else None for i in k.tolist()], dtype=s["id"].dtype if not (k >= none).any() else object)
+        state = pd.DataFrame({"lot": s["lot"].to_numpy(), "id": s["id"].to_numpy(), "c": known(c), "kind": 0})
+        out = np.flatnonzero(~inside & (c < was)[a]) if len(a) else np.zeros(0, dtype="int64")
+        sent = pd.DataFrame({"lot": e["to"].to_numpy()[out], "id": e["b"].to_numpy()[out], "c": c[a[out]] if len(out) else np.zeros(0, dtype="int64")})
+        sent = sent.groupby(["lot", "id"], as_index=False, sort=False)["c"].min()
+        sent["c"] = known(sent["c"].to_numpy())
+        return pd.concat([state, sent.assign(kind=1)], ignore_index=True) if len(sent) else state
+
+    rows, first = labels.select("lot", "id", "c", F.lit(0).alias("kind")), True
+    while True:
+        state = rows.where("kind = 0")
+        told = rows.where("kind = 1").groupBy("lot", "id").agg(F.min("c").alias("c")).withColumn("kind", F.lit(1)) if not first else rows.where("false")
+        all_rows = state.unionByName(told.select("lot", "id", "c", "kind")).withColumn("first", F.lit(first))
+        rows = stored(there.groupBy("lot").cogroup(all_rows.groupBy("lot")).applyInPandas(run, f"lot int, id {kind}, c {kind}, kind int"))
+        first = False
+        if rows.where("kind = 1").isEmpty():
+            return rows.select("id", "lot", "c")
+
+
+def strong_components(edges: DataFrame, singletons: bool = True, rest: int = REST, lot: int = LOT) -> DataFrame:
     """(id, comp): strongly connected components of ``edges`` (a, b); comp is the least member.
 
     Trim, then forward-backward colouring: nodes without an edge in or out of what is left are components of their own; then the
     least label that reaches a node colours it, and what reaches the colour's root backwards inside the colour is one component.
-    Rounds are stored tables, whose size is that of their files: a checkpoint keeps the estimate of its plan, and as a round joins the labels with themselves,
-    such an estimate has twice as many digits after each.
+    Labels spread in lots of neighbouring nodes, a task each, so rounds do not grow with the length of paths but with the lots that these pass. Rounds are
+    stored tables, whose size is that of their files: a checkpoint keeps the estimate of its plan, with twice as many digits each time that labels meet themselves.
     """
     live = stored(edges.where("b IS NOT NULL").select("a", "b").distinct())
     every = live.select(F.col("a").alias("id")).unionByName(live.select(F.col("b").alias("id"))).distinct()
     loops = live.where("a = b").select(F.col("a").alias("id"))
-    done = None
+    done, of = None, None
     live = live.where("a <> b")
     while True:
         for _ in range(TRIMS):  # any number is right: what is not trimmed is coloured alone
@@ -116,22 +207,15 @@ def strong_components(edges: DataFrame, singletons: bool = True, rest: int = RES
                 found = _small_components(live)
                 done = found if done is None else done.unionByName(found)
             break
-        colour = stored(live.select(F.col("a").alias("id")).unionByName(live.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")))
-        while True:  # the least label spreads forward, HOPS edges a job
-            new = colour
-            for _ in range(HOPS):
-                told = live.join(shuffled(new), live.a == new.id).groupBy(F.col("b").alias("id")).agg(F.min("c").alias("in_c"))
-                new = new.join(shuffled(told), "id", "left").select("id", F.least("c", "in_c").alias("c"))
-            new = stored(new.join(shuffled(colour.withColumnRenamed("c", "was")), "id"))
-            still = new.where("c <> was").isEmpty()
-            colour = new.select("id", "c")
-            if still:
-                break
+        of = lots(live, left, lot) if of is None else of
+        ids = live.select(F.col("a").alias("id")).unionByName(live.select(F.col("b").alias("id"))).distinct()
+        colour = spread(live, of.join(shuffled(ids), "id", "left_semi").select("id", "lot", F.col("id").alias("c")), of)
         inner = live.join(shuffled(colour.select(F.col("id").alias("a"), F.col("c").alias("ca"))), "a").join(shuffled(colour.select(F.col("id").alias("b"), F.col("c").alias("cb"))), "b")
         inner = stored(inner.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        back = reachable(inner, colour.where("id = c").select("id")).select("id")
-        found = stored(back.join(shuffled(colour), "id").select("id", F.col("c").alias("comp")))
+        back = spread(inner, colour.select("id", "lot", F.when(F.col("id") == F.col("c"), F.col("c")).alias("c")), of)
+        found = stored(back.where("c IS NOT NULL").select("id", F.col("c").alias("comp")))
         done = found if done is None else done.unionByName(found)
+        live = inner.select(F.col("b").alias("a"), F.col("a").alias("b"))  # no component has edges between colours
         live = live.join(shuffled(found.select(F.col("id").alias("a"))), "a", "left_anti").join(shuffled(found.select(F.col("id").alias("b"))), "b", "left_anti")
     if done is None:
         done = every.where("false").select("id", F.col("id").alias("comp"))

@@ -105,3 +105,15 @@ def test_rounds_of_colours_keep_no_growing_estimate(spark):
     comps = traverse.strong_components(ring, rest=0)
     assert comps._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
     assert [tuple(r) for r in comps.sort("id").collect()] == [(i, 0) for i in range(24)]
+
+
+def test_colours_spread_in_lots(spark):
+    """Two long rings with a one-way bridge, in lots of some 100 ends of edges: as many rounds as lots are passed, not as there are nodes."""
+    from factloom.operators import traverse
+
+    pairs = [(i, (i + 1) % 300) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 150) for i in range(150)] + [(5, 1000)]
+    edges = spark.createDataFrame(pairs, "a long, b long").selectExpr("CAST(a AS string) AS a", "CAST(b AS string) AS b")
+    of = traverse.lots(edges, len(pairs), 100)
+    assert of.select("id").distinct().count() == of.count() == 450 and of.select("lot").distinct().count() > 3
+    got = {(int(r.id), int(r.comp)) for r in traverse.strong_components(edges, rest=0, lot=100).collect()}
+    assert got == {(i, 0) for i in range(300)} | {(1000 + i, 1000) for i in range(150)}
